@@ -12,7 +12,10 @@ METADATA_IS_SET = (
     "coalesce({0}.type, cast({0}.duration_seconds as string),"
     " cast({0}.transcript_coverage as string), if({0}.speakers is null, null, '')) is not null"
 )
-NEWEST_FIRST = (F.desc("published_at"), F.asc("video_id"))
+
+
+def newest_first() -> tuple[Column, Column]:
+    return F.desc("published_at"), F.asc("video_id")
 
 
 # -- selection ---------------------------------------------------------------
@@ -53,7 +56,7 @@ def of_type(episodes: DataFrame, wanted: str = E.FULL) -> DataFrame:
 
 def latest(episodes: DataFrame, limit: int = 10) -> DataFrame:
     """The ``limit`` newest episodes; 0 or less means all of them."""
-    return episodes.orderBy(*NEWEST_FIRST).limit(limit) if limit > 0 else episodes
+    return episodes.orderBy(*newest_first()).limit(limit) if limit > 0 else episodes
 
 
 def needs_download(episodes: DataFrame, full_only: bool = True) -> DataFrame:

@@ -81,19 +81,19 @@ def readable_documents(transcripts: DataFrame) -> DataFrame:
 def enrich(
     rows: DataFrame,
     episodes: DataFrame,
-    utterances: DataFrame | None = None,
+    lengths: DataFrame | None = None,
     *,
     block_rows: int = blocks.BLOCK_ROWS,
 ) -> DataFrame:
     """Left join catalogue columns to utterance or chunk rows, block by block.
 
-    Rows of unknown episodes stay, with the defaults of an absent one. For
-    ``rows`` derived from ``utterances`` (same positions), passing that table
-    lets the blocks be listed without redoing the derivation.
+    Rows of unknown episodes stay, with the defaults of an absent one.
+    ``lengths`` (video_id, length) states how many positions each transcript
+    has, where that is known, as the catalogue records it; else it is counted.
     """
-    in_use = blocks.blocks_in_use(
-        rows if utterances is None else utterances, "video_id", "pos", size=block_rows
-    )
+    if lengths is None:
+        lengths = blocks.lengths_of(rows, "video_id", "pos")
+    in_use = blocks.blocks_in_use(lengths, "video_id", size=block_rows)
     if "block" not in rows.columns:
         rows = rows.withColumn("block", blocks.block_of("pos", block_rows))
     return _with_defaults(

@@ -89,10 +89,10 @@ def parse_responses(responses: DataFrame, text: str = "response") -> DataFrame:
 
     parsed = F.from_json(F.coalesce(usable(whole), usable(inner)), schemas.SPEAKER_RESPONSE_DDL)
     nobody = F.expr(f"cast(array() as array<{schemas.PERSON_DDL}>)")
-    return responses.withColumn("_r", parsed).select(
+    return responses.select("video_id", F.inline(F.array(parsed))).select(
         "video_id",
-        F.coalesce("_r.hosts", nobody).alias("hosts"),
-        F.coalesce("_r.guests", nobody).alias("guests"),
+        F.coalesce("hosts", nobody).alias("hosts"),
+        F.coalesce("guests", nobody).alias("guests"),
     )
 
 

@@ -69,16 +69,16 @@ def names_by_video(speakers: DataFrame) -> DataFrame:
 def name_turns(
     turns: DataFrame,
     names: DataFrame,
-    words: DataFrame,
+    lengths: DataFrame,
     *,
     how: str = "left",
     block_rows: int = blocks.BLOCK_ROWS,
 ) -> DataFrame:
     """Add ``name`` from :func:`names_by_video`, else ``Speaker <id>``.
 
-    ``words`` is the table the turns came from; it lists the blocks in use.
+    ``lengths`` (video_id, length) has the number of words of each transcript.
     """
-    in_use = blocks.blocks_in_use(words, "video_id", "pos", size=block_rows)
+    in_use = blocks.blocks_in_use(lengths, "video_id", size=block_rows)
     named = F.expr("if(speaker is null, null, names[speaker])")
     return (
         blocks.attach_by_block(turns, names, in_use, "video_id", how=how)
@@ -123,6 +123,7 @@ def readable_transcript(
     episodes: DataFrame,
     words: DataFrame,
     speakers: DataFrame,
+    lengths: DataFrame | None = None,
     *,
     block_rows: int = blocks.BLOCK_ROWS,
 ) -> DataFrame:
@@ -130,13 +131,15 @@ def readable_transcript(
 
     Lines sort by (video_id, line_no). Episodes whose transcript has no words get
     the no-data line instead of turns; words of unknown episodes are left out.
+    ``lengths`` (video_id, length) has the number of words where that is known.
     """
+    if lengths is None:
+        lengths = blocks.lengths_of(words.where("pos is not null"), "video_id", "pos")
     transcribed = episodes.where("coalesce(transcript_filename, '') <> ''")
     names = transcribed.select("video_id").join(names_by_video(speakers), "video_id", "left")
     turns = speaker_turns(words, block_rows=block_rows)
-    lines = render_turns(name_turns(turns, names, words, how="inner", block_rows=block_rows))
-    spoken = words.where("pos is not null").select("video_id").distinct()
-    silent = transcribed.join(spoken, "video_id", "left_anti").select(
+    lines = render_turns(name_turns(turns, names, lengths, how="inner", block_rows=block_rows))
+    silent = transcribed.join(lengths.where("length > 0"), "video_id", "left_anti").select(
         "video_id", F.lit(0).cast("bigint").alias("line_no"), F.lit(NO_DATA).alias("line")
     )
     return header_lines(transcribed).unionByName(lines).unionByName(silent)

@@ -154,11 +154,17 @@ def with_run_start(
     )
 
 
+def lengths_of(rows: DataFrame, key: str, pos: str) -> DataFrame:
+    """(key, length) of each sequence, from its last position."""
+    return rows.groupBy(key).agg((F.max(pos) + 1).alias("length"))
+
+
 def blocks_in_use(
-    rows: DataFrame, key: str, pos: str, *, size: int = BLOCK_ROWS, block: str = "block"
+    lengths: DataFrame, key: str, *, size: int = BLOCK_ROWS, block: str = "block"
 ) -> DataFrame:
-    """The distinct (key, block) pairs of a table, from its positions alone."""
-    return rows.select(key, block_of(pos, size).alias(block)).distinct()
+    """The (key, block) pairs of sequences of known ``length``."""
+    numbers = F.expr(f"sequence(0L, (length - 1) div {size})")
+    return lengths.where("length > 0").select(key, F.explode(numbers).alias(block))
 
 
 def attach_by_block(

@@ -45,6 +45,10 @@ def _classified(spark: SparkSession, d: str) -> DataFrame:
     return C.classify(T.catalogue(spark, d))
 
 
+def _lengths(spark: SparkSession, d: str, column: str) -> DataFrame:
+    return T.transcript_facts(spark, d).select("video_id", F.col(column).alias("length"))
+
+
 def _flat_chunks(documents: DataFrame) -> DataFrame:
     return documents.select(
         "chunk_id", "video_id", "chunk_index", "content", "start_time", "end_time", "duration",
@@ -335,8 +339,8 @@ def verify_missing(spark: SparkSession, d: str) -> DataFrame:
 # -- chunks ------------------------------------------------------------------
 
 def _enriched(spark: SparkSession, d: str) -> DataFrame:
-    u = T.utterances(spark, d)
-    return K.enrich(K.with_context(u), C.classify(T.episodes(spark, d)), u)
+    chunks = K.with_context(T.utterances(spark, d))
+    return K.enrich(chunks, C.classify(T.episodes(spark, d)), _lengths(spark, d, "n_lines"))
 
 
 @query
@@ -353,7 +357,8 @@ def confidence_tier(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def enrich_utterances(spark: SparkSession, d: str) -> DataFrame:
-    return K.enrich(T.utterances(spark, d), C.classify(T.episodes(spark, d))).select(
+    known = C.classify(T.episodes(spark, d))
+    return K.enrich(T.utterances(spark, d), known, _lengths(spark, d, "n_lines")).select(
         "video_id", "pos", "episode_title", "episode_type", "episode_duration", "view_count",
         "like_count", "comment_count",
     )
@@ -399,7 +404,9 @@ def merge_short_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 def _readable(spark: SparkSession, d: str) -> DataFrame:
     episodes = C.with_coverage(_classified(spark, d))
-    return U.readable_transcript(episodes, T.words(spark, d), _assigned(spark, d))
+    return U.readable_transcript(
+        episodes, T.words(spark, d), _assigned(spark, d), _lengths(spark, d, "n_words")
+    )
 
 
 @query
@@ -559,8 +566,8 @@ def speakers_map_merge(spark: SparkSession, d: str) -> DataFrame:
 # -- streams -----------------------------------------------------------------
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
-    schema = spark.read.parquet(f"{d}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    files = spark.readStream.schema(T.SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet")
+    return files.parquet(d)
 
 
 @query

@@ -24,8 +24,17 @@ _TOKENS = "filter(split({}, ' '), t -> t <> '')"
 _SPEAKER = "case role when 'user' then 0 when 'assistant' then 1 when 'system' then 2 end"
 
 
+# Columns of the driver's tables used here; stating them saves a footer scan per read.
+SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "benchmark": "item_id bigint, text string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,14 +72,19 @@ def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per word; the words of a line share its time evenly."""
-    return utterances(spark, sf_dir).select(
+    tokens = F.expr(_TOKENS.format("transcript"))
+    # Counted before the explode: what stands beside it is evaluated per word.
+    lines = utterances(spark, sf_dir).select(
         "video_id",
         "words_before",
         F.expr("if(speaker = 2, null, speaker)").alias("speaker"),
         F.expr(f"chars_before * {MS_PER_CHAR}").alias("from_ms"),
         F.expr(f"length(transcript) * {MS_PER_CHAR}").alias("line_ms"),
-        F.expr(f"size({_TOKENS.format('transcript')})").alias("n"),
-        F.posexplode(F.expr(_TOKENS.format("transcript"))).alias("i", "token"),
+        tokens.alias("tokens"),
+    ).withColumn("n", F.size("tokens"))
+    return lines.select(
+        "video_id", "words_before", "speaker", "from_ms", "line_ms", "n",
+        F.posexplode("tokens").alias("i", "token"),
     ).select(
         "video_id",
         F.expr("words_before + i").alias("pos"),
@@ -121,10 +135,12 @@ def transcript_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumns({
         "n": F.expr("cast(size(lines) as bigint)"),
         "chars": F.expr("aggregate(lines, 0L, (a, l) -> a + length(l))"),
+        "words": F.expr(f"aggregate(lines, 0L, (a, l) -> a + size({_TOKENS.format('l')}))"),
     })
     return lines.groupBy("video_id").agg(
         F.sum("n").alias("n_lines"),
         F.sum("chars").alias("n_line_chars"),
+        F.sum("words").alias("n_words"),
         *[F.sum(F.when(F.col("role") == r, F.col("n")).otherwise(0)).alias(f"n_{r}")
           for r in ("user", "assistant", "system")],
     )
@@ -155,7 +171,7 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
             "transcript_utterances": F.col("n_lines"),
             "metadata": F.col("metadata").withField("speakers", stored),
         })
-        .drop("n_lines", "n_line_chars", "n_user", "n_assistant", "n_system")
+        .drop("n_lines", "n_line_chars", "n_words", "n_user", "n_assistant", "n_system")
     )
 
 
@@ -299,5 +315,5 @@ def documents_of(conversations: DataFrame) -> DataFrame:
     built = conversations.withColumn("lines", F.expr(_LINES)).withColumn("_d", F.expr(document))
     return built.select(
         F.concat("conv_id", F.lit("-"), "turn", F.lit(".json")).alias("file_name"),
-        F.expr("if(role = 'system', left(_d, length(_d) - 3), _d)").alias("document"),
+        F.expr("left(_d, length(_d) - if(role = 'system', 3, 0))").alias("document"),
     )

@@ -75,7 +75,7 @@ def iso_text(timestamp: Column | str) -> Column:
 def parse_video_items(landed: DataFrame, text: str = "item") -> DataFrame:
     """Parse landed video-API items kept as JSON text."""
     parsed = F.from_json(text, schemas.VIDEO_ITEM_DDL)
-    return landed.select(parsed.alias("_i")).select("_i.*")
+    return landed.select(F.inline(F.array(parsed)))
 
 
 def read_video_items(spark: SparkSession, path: str) -> DataFrame:

@@ -24,10 +24,14 @@ def read_transcripts(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def parse_transcripts(landed: DataFrame, text: str = "document") -> DataFrame:
-    """The same columns from transcripts landed as JSON text in a table."""
+    """The same columns from transcripts landed as JSON text in a table.
+
+    ``inline`` parses each document once: the columns it yields are not replaced
+    by the parsing expression in filters and lambdas further up.
+    """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
     parsed = F.from_json(text, schemas.TRANSCRIPT_DOCUMENT_DDL, options)
-    return landed.withColumn("_d", parsed).select("file_name", "_d.*")
+    return landed.select("file_name", F.inline(F.array(parsed)))
 
 
 def accepted(transcripts: DataFrame) -> DataFrame:
