@@ -270,6 +270,8 @@ def _block_begins(
         block_maps(max_chars, fold_rows, reach),
         f"video_id {kind['video_id']}, fold {kind['fold']}, map array<int>",
     ).withColumn("grp", F.expr(f"fold div {maps_per_group}"))
+    # Said here so that both uses of the groups have one plan, and share one shuffle.
+    maps = maps.where("video_id is not null and grp is not null")
 
     in_order = F.sort_array(F.collect_list(F.struct("fold", "map")))
     groups = maps.groupBy("video_id", "grp").agg(in_order.alias("ms"))

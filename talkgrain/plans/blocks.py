@@ -183,3 +183,16 @@ def attach_by_block(
     side keeps its partitioning and is not shuffled again.
     """
     return df.join(in_use.join(small, key), [key, block], how)
+
+
+def attach_salted(
+    df: DataFrame, small: DataFrame, key: str, by: str, *, how: str = "left", parts: int = 64
+) -> DataFrame:
+    """Join ``small`` (one row per key) to unordered rows, a hot key in ``parts``.
+
+    The part comes from another column, ``by``, so it is the same on a retry.
+    ``small`` is repeated only for the parts its key uses, once for a rare key.
+    """
+    salted = df.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(parts)))
+    in_use = salted.select(key, "_part").distinct()
+    return salted.join(in_use.join(small, key), [key, "_part"], how).drop("_part")

@@ -169,7 +169,7 @@ def transcript_to_json(spark: SparkSession, d: str) -> DataFrame:
 def chunk_files(spark: SparkSession, d: str) -> DataFrame:
     """Write chunk documents one directory per video, read them back."""
     path = scratch_dir(spark, "chunks")
-    ST.write_chunks(K.chunk_documents(_enriched(spark, d)), path)
+    ST.write_chunks(K.chunk_documents(_enriched(spark, d)), path, co_located=True)
     return ST.read_chunks(spark, path).select(
         "chunk_id", "content", F.col("context.next").alias("next"),
         F.col("metadata.confidence_tier").alias("confidence_tier"),
@@ -181,7 +181,7 @@ def readable_files(spark: SparkSession, d: str) -> DataFrame:
     """Write readable transcripts one directory per video, read the lines back."""
     path = scratch_dir(spark, "readable")
     ST.write_readable(_readable(spark, d), path)
-    return ST.read_readable(spark, path)
+    return ST.read_readable(spark, path).select("video_id", "line")
 
 
 # -- catalogue ---------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkgrain import schemas
+from talkgrain.plans import blocks
 from talkgrain.sources.catalogue import iso_text
 
 
@@ -96,7 +97,7 @@ def attach_episode_metadata(transcripts: DataFrame, episodes: DataFrame) -> Data
     )
     stamps = episodes.select("video_id", stamp.alias("_stamp"))
     return (
-        transcripts.join(stamps, "video_id")
+        blocks.attach_salted(transcripts, stamps, "video_id", "file_name", how="inner")
         .withColumn("episode_metadata", F.coalesce("episode_metadata", "_stamp"))
         .drop("_stamp")
     )
@@ -110,39 +111,42 @@ def as_json(transcripts: DataFrame) -> DataFrame:
     )
 
 
-def write_chunks(chunks: DataFrame, directory: str) -> None:
+def write_chunks(chunks: DataFrame, directory: str, *, co_located: bool = False) -> None:
     """Write chunk documents as JSON, one directory per video.
 
-    Rows are ranged on (video, index) first: each directory gets as few files as
-    its size allows, and a long video still spreads over many tasks.
+    Each stretch of a video goes to one task: a directory gets one file, a very
+    long video one per stretch. Rows that come out of ``operators.chunks.enrich``
+    lie that way already; ``co_located`` then saves the shuffle.
     """
+    rows = chunks if co_located else chunks.repartition(
+        "video_id", blocks.block_of("chunk_index")
+    )
     (
-        chunks.repartitionByRange("video_id", "chunk_index")
-        .withColumn("video", F.col("video_id"))
+        rows.withColumn("video", F.col("video_id"))
         .write.mode("errorifexists").partitionBy("video").json(directory)
     )
 
 
 def read_chunks(spark: SparkSession, directory: str) -> DataFrame:
-    return spark.read.schema(schemas.CHUNK_DOCUMENT_DDL).json(directory)
+    return spark.read.schema(schemas.CHUNK_DOCUMENT_DDL).json(directory).drop("video")
 
 
 def write_readable(lines: DataFrame, directory: str) -> None:
-    """Write rendered lines as text, one directory per video, in line order.
+    """Write rendered lines (video_id, line_no, line) as text, in line order.
 
-    ``lines`` has video_id, line_no, line. Ranging on (video_id, line_no) keeps
-    part files in order and lets a long video use several of them.
+    A video is a directory with one file, or one numbered part per stretch of a
+    very long video, so no task writes a whole recording of unbounded length.
     """
+    part = F.greatest(blocks.block_of("line_no"), F.lit(0).cast("bigint"))
     (
-        lines.repartitionByRange("video_id", "line_no")
-        .sortWithinPartitions("video_id", "line_no")
-        .select("video_id", "line")
-        .write.mode("errorifexists").partitionBy("video_id").text(directory)
+        lines.withColumn("part", part)
+        .repartition("video_id", "part")
+        .sortWithinPartitions("video_id", "part", "line_no")
+        .select("video_id", "part", "line")
+        .write.mode("errorifexists").partitionBy("video_id", "part").text(directory)
     )
 
 
 def read_readable(spark: SparkSession, directory: str) -> DataFrame:
-    """Rendered lines; the video id comes from the directory name."""
-    return spark.read.schema("line string, video_id string").text(directory).select(
-        "video_id", "line"
-    )
+    """Rendered lines; video id and part come from the directory names."""
+    return spark.read.schema("line string, video_id string, part bigint").text(directory)
