@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +40,13 @@ def with_context(
     })
 
 
-def context_in_document(transcripts: DataFrame, chars: int = X.SNIPPET_CHARS) -> DataFrame:
+def context_in_document(
+    transcripts: DataFrame, *, chars: int = X.SNIPPET_CHARS, also: Sequence[str] = ()
+) -> DataFrame:
     """Chunk rows straight from transcript documents, without any shuffle.
 
     Neighbours are read from the document's own array, so this also runs on a
-    stream of newly landed documents.
+    stream of newly landed documents. ``also`` names columns to keep.
     """
     cut = "if(length({0}) <= {1}, {0}, concat(substring({0}, 1, {1}), '...'))"
     texts = "get(results.utterances, i {}).transcript"
@@ -58,8 +60,10 @@ def context_in_document(transcripts: DataFrame, chars: int = X.SNIPPET_CHARS) ->
         F.col("episode_metadata.video_id").alias("video_id"),
         F.col("episode_metadata.title").alias("episode_title"),
         F.to_timestamp("episode_metadata.published_at").alias("published_at"),
+        *also,
         F.explode(F.expr(chunk)).alias("c"),
-    ).select("video_id", "episode_title", "published_at", "c.pos", "c.u.*", "c.previous", "c.next")
+    ).select("video_id", "episode_title", "published_at", *also,
+             "c.pos", "c.u.*", "c.previous", "c.next")
 
 
 # What makes a whole document unusable: all of its utterances or none become chunks.
@@ -101,10 +105,17 @@ def enrich(
     )
 
 
-def enrich_documents(chunks: DataFrame, episodes: DataFrame) -> DataFrame:
-    """The same for chunk rows of :func:`context_in_document`, a plain left join."""
+def document_chunk_rows(transcripts: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Chunk rows with context and catalogue columns from readable documents.
+
+    Title and date are the document's own. The catalogue meets whole documents,
+    one row each; they are exploded after that.
+    """
     known = _catalogue_columns(episodes).drop("episode_title", "published_at")
-    return _with_defaults(chunks.join(known, "video_id", "left"))
+    also = [c for c in known.columns if c != "video_id"]
+    stamped = transcripts.withColumn("video_id", F.col("episode_metadata.video_id"))
+    joined = stamped.join(known, "video_id", "left")
+    return _with_defaults(context_in_document(joined, also=also))
 
 
 def _catalogue_columns(episodes: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talkgrain import schemas
 from talkgrain.functions import transcripts as X
+from talkgrain.plans import blocks
 
 # Samples kept per speaker, and the confidence of an unstated,
 # or an unknown, name.
@@ -69,12 +70,12 @@ def document_stats(transcripts: DataFrame) -> DataFrame:
 
 
 def ranked_speakers(stats: DataFrame) -> DataFrame:
-    """Most talkative first, ties by first appearance.
-
-    Input is one small row per speaker, already counted.
-    """
-    order = Window.partitionBy("video_id").orderBy(F.desc("utterance_count"), "first_pos")
-    return stats.withColumn("speaker_rank", F.row_number().over(order))
+    """Most talkative first, ties by first appearance."""
+    blocks_of_order = F.struct(-F.col("utterance_count"), blocks.block_of("first_pos"))
+    return blocks.with_rank(
+        stats, "video_id", blocks_of_order, (F.desc("utterance_count"), F.asc("first_pos")),
+        "speaker_rank",
+    )
 
 
 # -- answers -----------------------------------------------------------------
@@ -135,11 +136,14 @@ def assign_names(stats: DataFrame, candidates: DataFrame) -> DataFrame:
     ranked = ranked_speakers(stats).withColumnRenamed("speaker_rank", "_rank")
     hosted = ranked.join(of("host"), ["video_id", "_rank"], "left").drop("_rank")
     unnamed = F.col("host_name").isNull()
-    order = Window.partitionBy("video_id", unnamed).orderBy("first_pos")
-    both = (
-        hosted.withColumn("_rank", F.when(unnamed, F.row_number().over(order)).otherwise(0))
-        .join(of("guest"), ["video_id", "_rank"], "left")
+    # Counted over all speakers, a speaker's rank among the unnamed ones so far.
+    placed = blocks.with_running_totals(
+        hosted.withColumn("_block", blocks.block_of("first_pos")),
+        "video_id", "_block", ("first_pos",), {"_free": F.when(unnamed, 1).otherwise(0)},
     )
+    both = placed.withColumn(
+        "_rank", F.when(unnamed, F.col("_free") + 1).otherwise(0)
+    ).join(of("guest"), ["video_id", "_rank"], "left")
     is_guest = unnamed & F.col("guest_name").isNotNull()
     is_unknown = unnamed & F.col("guest_name").isNull()
     unknown = F.concat(F.lit("Unknown Speaker "), F.col("speaker").cast("string"))

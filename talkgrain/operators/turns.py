@@ -12,15 +12,27 @@ from talkgrain.plans import blocks
 RULE = "=" * 80
 NO_DATA = "No transcript data found"
 
+# Blocks of words joined into one row of a turn.
+BLOCKS_PER_PART = 16
 
-def speaker_turns(words: DataFrame, *, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+
+def speaker_turns(
+    words: DataFrame,
+    *,
+    block_rows: int = blocks.BLOCK_ROWS,
+    blocks_per_part: int = BLOCKS_PER_PART,
+) -> DataFrame:
     """Maximal runs of words by one speaker.
 
-    Gives (video_id, block, turn_pos, speaker, start, words, text), where
+    Gives (video_id, block, turn_pos, part, speaker, start, words, text), where
     ``turn_pos`` is the position of the first word. An absent speaker is a value
-    of its own. Texts are joined within each block first, on the partitioning of
-    the block windows; only those pieces are shuffled to build whole turns, and
-    the result is partitioned on (video_id, block) for what follows.
+    of its own. A turn is one row, ``part`` 0, unless it runs on for more than
+    ``blocks_per_part`` blocks (a million words); then it continues in parts 1,
+    2, ..., because a text of unbounded length fits no row and no task.
+
+    Texts are joined within each block first, on the partitioning of the block
+    windows; only those pieces are shuffled to build whole turns, and the result
+    is partitioned on (video_id, block) for what follows.
     """
     rows = words.where("pos is not null").select(
         "video_id", "pos", "speaker",
@@ -34,17 +46,22 @@ def speaker_turns(words: DataFrame, *, block_rows: int = blocks.BLOCK_ROWS) -> D
     runs = blocks.with_run_start(near, "video_id", "pos", "_starts", name="turn_pos")
     pieces = runs.groupBy("video_id", "block", "turn_pos").agg(
         _joined("pos", "text").alias("text"),
-        F.min_by("speaker", "pos").alias("speaker"),
+        F.any_value("speaker").alias("speaker"),
         F.min_by("start", "pos").alias("start"),
         F.count("*").alias("words"),
     )
-    home = blocks.block_of("turn_pos", block_rows)
+    first = f"turn_pos div {block_rows}"
+    part = f"(block - {first}) div {blocks_per_part}"
     return (
-        pieces.withColumns({"piece": F.col("block"), "block": home})
+        pieces.withColumns({
+            "piece": F.col("block"),
+            "part": F.expr(part),
+            "block": F.expr(f"{first} + {part} * {blocks_per_part}"),
+        })
         .repartition("video_id", "block")
-        .groupBy("video_id", "block", "turn_pos")
+        .groupBy("video_id", "block", "turn_pos", "part")
         .agg(
-            F.min_by("speaker", "piece").alias("speaker"),
+            F.any_value("speaker").alias("speaker"),
             F.min_by("start", "piece").alias("start"),
             F.sum("words").alias("words"),
             _joined("piece", "text").alias("text"),
@@ -111,10 +128,12 @@ def header_lines(episodes: DataFrame) -> DataFrame:
     return numbered.select("video_id", (F.col("i") - 100).cast("bigint").alias("line_no"), "line")
 
 
-def render_turns(named_turns: DataFrame) -> DataFrame:
-    """Turn lines (video_id, line_no, line); line_no is the first word's position."""
+def render_turns(named_turns: DataFrame, *, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+    """Turn lines (video_id, line_no, line); line_no is where in the words they begin."""
     return named_turns.select(
-        "video_id", F.col("turn_pos").alias("line_no"),
+        "video_id",
+        F.when(F.col("part") == 0, F.col("turn_pos"))
+        .otherwise(F.col("block") * block_rows).alias("line_no"),
         X.turn_line("start", "name", "text").alias("line"),
     )
 
@@ -138,7 +157,8 @@ def readable_transcript(
     transcribed = episodes.where("coalesce(transcript_filename, '') <> ''")
     names = transcribed.select("video_id").join(names_by_video(speakers), "video_id", "left")
     turns = speaker_turns(words, block_rows=block_rows)
-    lines = render_turns(name_turns(turns, names, lengths, how="inner", block_rows=block_rows))
+    named = name_turns(turns, names, lengths, how="inner", block_rows=block_rows)
+    lines = render_turns(named, block_rows=block_rows)
     silent = transcribed.join(lengths.where("length > 0"), "video_id", "left_anti").select(
         "video_id", F.lit(0).cast("bigint").alias("line_no"), F.lit(NO_DATA).alias("line")
     )

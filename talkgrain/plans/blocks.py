@@ -83,7 +83,7 @@ def with_running_totals(
     df: DataFrame,
     key: str,
     block: str,
-    order: Sequence[str],
+    order: Sequence[Column | str],
     amounts: Mapping[str, Column],
 ) -> DataFrame:
     """Add exclusive running totals per key, in ``order``, block by block.
@@ -119,6 +119,20 @@ def with_running_totals(
     )
 
 
+def with_rank(
+    df: DataFrame, key: str, block: Column, order: Sequence[Column | str], name: str
+) -> DataFrame:
+    """Add the 1-based rank per key in ``order``, which must be total.
+
+    ``block`` cuts that order: it never decreases along it, and few rows share a
+    value, so no task ranks all the rows of a key.
+    """
+    ranked = with_running_totals(
+        df.withColumn("_block", block), key, "_block", order, {name: F.lit(1).cast("bigint")}
+    )
+    return ranked.withColumn(name, F.col(name) + 1).drop("_block")
+
+
 def with_run_start(
     df: DataFrame,
     key: str,

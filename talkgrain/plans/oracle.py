@@ -594,7 +594,8 @@ _BODIES: dict[str, str] = {
         JOIN context a ON a.video_id = m.video_id AND a.pos = m.first_pos
         JOIN context z ON z.video_id = m.video_id AND z.pos = m.last_pos""",
     "speaker_turns": """
-        SELECT video_id, turn_pos, speaker, "start", words, "text" FROM turns""",
+        SELECT video_id, turn_pos, cast(0 AS BIGINT) AS part, speaker, "start", words, "text"
+        FROM turns""",
     "readable_header": "SELECT * FROM header",
     "readable_transcript": "SELECT * FROM readable",
     "strip_labels": """
@@ -650,9 +651,7 @@ _BODIES: dict[str, str] = {
         SELECT video_id, len(ls) AS transcript_utterances,
           cast(len(ls) * 5 AS DOUBLE) AS transcript_duration
         FROM docs WHERE video_id IS NOT NULL""",
-    "speaker_rank": """
-        SELECT video_id, speaker, utterance_count, cast(speaker_rank AS INTEGER) AS speaker_rank
-        FROM ranked""",
+    "speaker_rank": "SELECT video_id, speaker, utterance_count, speaker_rank FROM ranked",
     "parse_speaker_response": """
         SELECT video_id,
           array_to_string(list_transform(hosts, lambda p: p.name || '='

@@ -412,7 +412,7 @@ def _readable(spark: SparkSession, d: str) -> DataFrame:
 @query
 def speaker_turns(spark: SparkSession, d: str) -> DataFrame:
     return U.speaker_turns(T.words(spark, d)).select(
-        "video_id", "turn_pos", "speaker", "start", "words", "text"
+        "video_id", "turn_pos", "part", "speaker", "start", "words", "text"
     )
 
 

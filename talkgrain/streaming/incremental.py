@@ -22,8 +22,8 @@ def chunk_stream(documents: DataFrame, episodes: DataFrame) -> DataFrame:
     :func:`rejected_stream`.
     """
     parsed = transcripts.accepted(transcripts.parse_transcripts(documents))
-    rows = chunks.context_in_document(chunks.readable_documents(parsed))
-    return chunks.chunk_documents(chunks.enrich_documents(rows, episodes))
+    rows = chunks.document_chunk_rows(chunks.readable_documents(parsed), episodes)
+    return chunks.chunk_documents(rows)
 
 
 def rejected_stream(documents: DataFrame) -> DataFrame:

@@ -173,7 +173,7 @@ def test_readable_files_keep_line_order(spark, tmp_path):
 def test_chunk_files(spark, landed, tmp_path):
     files = ST.accepted(ST.read_transcripts(spark, landed).cache())
     nobody = SC.read_catalogue(spark, landed).drop("ordinal").where("false")
-    rows = K.enrich_documents(K.context_in_document(K.readable_documents(files)), nobody)
+    rows = K.document_chunk_rows(K.readable_documents(files), nobody)
     chunks = K.chunk_documents(rows)
     ST.write_chunks(chunks, str(tmp_path / "out"))
     again = ST.read_chunks(spark, str(tmp_path / "out"))

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from talkgrain import schemas
+from talkgrain.functions import transcripts as X
 from talkgrain.operators import turns as U
 from talkgrain.plans import blocks
 from talkgrain.sources.catalogue import typed_episodes
@@ -39,11 +40,27 @@ def test_turns(spark, block_rows):
         + words("mixed", [rng.choice([0, 0, 0, 1, None]) for _ in range(200)])
     )
     rng.shuffle(rows)
-    got = U.speaker_turns(spark.createDataFrame(rows, WORDS), block_rows=block_rows).collect()
+    got = U.speaker_turns(
+        spark.createDataFrame(rows, WORDS), block_rows=block_rows, blocks_per_part=1000
+    ).collect()
     assert sorted((r.video_id, r.turn_pos, -1 if r.speaker is None else r.speaker, r.start, r.text)
                   for r in got) == runs(rows)
 
 
+def test_an_endless_turn_continues_in_parts(spark):
+    rows = words("long", [0] * 100 + [1] * 3)
+    got = U.speaker_turns(
+        spark.createDataFrame(rows, WORDS), block_rows=8, blocks_per_part=3
+    ).orderBy("turn_pos", "part").collect()
+    assert [(r.turn_pos, r.part, r.words) for r in got] == [
+        (0, 0, 24), (0, 1, 24), (0, 2, 24), (0, 3, 24), (0, 4, 4), (100, 0, 3)]
+    whole = runs(rows)[0][4] if runs(rows)[0][1] == 0 else runs(rows)[1][4]
+    assert " ".join(r.text for r in got if r.turn_pos == 0) == whole
+    lines = U.render_turns(
+        spark.createDataFrame(got).withColumn("name", X.speaker_tag("speaker")), block_rows=8)
+    assert [r.line_no for r in lines.orderBy("line_no").collect()] == [0, 24, 48, 72, 96, 100]
+
+
 def episode(**fields):
     row = {
         "video_id": "v", "title": "T", "published_at": "2024-03-05T10:00:00",
