@@ -86,8 +86,8 @@ def guest_hint(description: Column | str) -> Column:
     text = F.lower(_col(description))
 
     def after(phrase: str) -> Column:
-        tail = F.get(F.split(text, phrase), F.lit(1))
-        name = F.btrim(F.get(F.split(tail, "[.,!]"), F.lit(0)), F.lit(" \t\n\r"))
+        tail = F.regexp_extract(text, phrase + "([^.,!]*)", 1)
+        name = F.btrim(F.substring_index(tail, phrase, 1), F.lit(" \t\n\r"))
         sentence = F.concat(
             F.lit(f"The description mentions someone after '{phrase}': '"), name, F.lit("'")
         )

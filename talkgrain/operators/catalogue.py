@@ -122,19 +122,23 @@ def dedup_catalogue(rows: DataFrame) -> DataFrame:
     return last_per_video(rows, F.desc("ordinal"))
 
 
-def upsert(stored: DataFrame, batch: DataFrame) -> DataFrame:
+def upsert(stored: DataFrame, batch: DataFrame, *, unique: bool = False) -> DataFrame:
     """Replace whole rows by key and append new ones; the last of a key wins.
 
-    Both sides carry ``ordinal``, their own order.
+    Both sides carry ``ordinal``, their own order. Where the stored catalogue is
+    known to have one row per video, as every result of an upsert has, ``unique``
+    leaves its rows where they are: only the batch is ranked, and stored rows it
+    replaces are dropped by an anti join, without a shuffle for a small batch.
     """
-    return _stack(stored, batch).drop("_source", "ordinal")
-
-
-def _stack(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    if unique:
+        new = dedup_catalogue(batch)
+        kept = stored.join(batch.select("video_id"), "video_id", "left_anti")
+        return kept.drop("ordinal").unionByName(new.drop("ordinal"))
     both = stored.withColumn("_source", F.lit(0)).unionByName(
         batch.withColumn("_source", F.lit(1))
     )
-    return last_per_video(both, F.desc("_source"), F.desc("ordinal"))
+    latest_rows = last_per_video(both, F.desc("_source"), F.desc("ordinal"))
+    return latest_rows.drop("_source", "ordinal")
 
 
 def update_existing(stored: DataFrame, updates: DataFrame) -> DataFrame:
@@ -159,23 +163,33 @@ def unmatched_updates(stored: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def upsert_keeping_metadata(
-    stored: DataFrame, batch: DataFrame, kept: tuple[str, ...] = ("metadata",)
+    stored: DataFrame,
+    batch: DataFrame,
+    kept: tuple[str, ...] = ("metadata",),
+    *,
+    unique: bool = False,
 ) -> DataFrame:
     """Upsert where columns in ``kept`` keep their stored value if there is one.
 
     ``kept`` may name file and transcript columns too, so that re-fetching an
     episode does not undo the stages it already went through.
     """
-    olds = last_per_video(stored.select("video_id", "ordinal", *kept), F.desc("ordinal"))
-    olds = olds.select("video_id", *[F.col(c).alias(f"_old_{c}") for c in kept])
-    merged = upsert(stored, batch).join(olds, "video_id", "left")
+    new = dedup_catalogue(batch)
+    replaced = stored.select("video_id", "ordinal", *kept).join(
+        batch.select("video_id"), "video_id", "left_semi"
+    )
+    if not unique:
+        replaced = dedup_catalogue(replaced)
+    olds = replaced.select("video_id", *[F.col(c).alias(f"_old_{c}") for c in kept])
     values = {c: F.coalesce(f"_old_{c}", c) for c in kept}
     if "metadata" in kept:
         values["metadata"] = F.when(
             F.expr(METADATA_IS_SET.format("_old_metadata")), F.col("_old_metadata")
         ).otherwise(F.col("metadata"))
-    return merged.withColumns(values).select(
-        [c for c in EPISODE_COLUMNS if c in merged.columns]
+    merged = new.join(olds, "video_id", "left").withColumns(values)
+    rows = merged.drop(*[f"_old_{c}" for c in kept])
+    return upsert(stored, rows, unique=unique).select(
+        [c for c in EPISODE_COLUMNS if c in stored.columns]
     )
 
 

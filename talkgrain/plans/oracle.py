@@ -52,7 +52,7 @@ _VIEWS: dict[str, str] = {
     "words": """
         SELECT video_id, words_before + i AS pos, nullif(speaker, 2) AS speaker,
           cast(from_ms + (line_ms * i) // n AS DOUBLE) / 1000 AS "start",
-          regexp_replace(lower(token), '[.,!?]', '', 'g') AS word,
+          translate(lower(token), '.,!?', '') AS word,
           CASE WHEN (words_before + i) % 9 = 4 THEN NULL ELSE token END AS punctuated_word
         FROM tokens""",
     "episodes": f"""

@@ -274,7 +274,8 @@ def guest_hint(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def upsert_episodes(spark: SparkSession, d: str) -> DataFrame:
-    return _flat_episodes(C.upsert(T.stored_with_ordinal(spark, d), T.updates(spark, d)))
+    stored, batch = T.stored_with_ordinal(spark, d), T.updates(spark, d)
+    return _flat_episodes(C.upsert(stored, batch, unique=True))
 
 
 @query
@@ -291,9 +292,8 @@ def unmatched_updates(spark: SparkSession, d: str) -> DataFrame:
 def upsert_preserve_metadata(spark: SparkSession, d: str) -> DataFrame:
     kept = ("metadata", "audio_filename", "transcript_filename", "transcript_duration",
             "transcript_utterances")
-    return _flat_episodes(
-        C.upsert_keeping_metadata(T.stored_with_ordinal(spark, d), T.updates(spark, d), kept)
-    )
+    stored, batch = T.stored_with_ordinal(spark, d), T.updates(spark, d)
+    return _flat_episodes(C.upsert_keeping_metadata(stored, batch, kept, unique=True))
 
 
 @query

@@ -90,7 +90,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("words_before + i").alias("pos"),
         "speaker",
         F.expr("(from_ms + line_ms * i div n) / 1000D").alias("start"),
-        F.regexp_replace(F.lower("token"), "[.,!?]", "").alias("word"),
+        F.translate(F.lower("token"), ".,!?", "").alias("word"),
         F.expr("if((words_before + i) % 9 = 4, null, token)").alias("punctuated_word"),
     )
 

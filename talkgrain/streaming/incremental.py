@@ -45,12 +45,13 @@ def upsert_into_versions(batches: DataFrame, store: str, *, base: str) -> DataSt
     Batch ``n`` reads version ``n - 1`` (the ``base`` directory for batch 0) and
     writes version ``n`` whole, so a batch that is replayed after a failure
     rebuilds the same version. Rows carry ``ordinal``, their arrival order.
+    ``base`` may hold a video twice; versions never do.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = base if batch_id == 0 else version_path(store, batch_id - 1)
         stored = spark.read.parquet(before).withColumn("ordinal", F.lit(0).cast("bigint"))
-        merged = catalogue.upsert(stored, batch)
+        merged = catalogue.upsert(stored, batch, unique=batch_id > 0)
         merged.write.mode("overwrite").parquet(version_path(store, batch_id))
 
     return batches.writeStream.foreachBatch(write)

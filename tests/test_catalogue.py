@@ -50,6 +50,15 @@ def test_upsert(stored, batch):
     assert a.view_count is None and a.audio_filename is None and a.metadata.type == "SHORT"
 
 
+def test_upsert_into_a_unique_catalogue(stored, batch):
+    once = C.dedup_catalogue(stored)
+    key = lambda r: r.video_id
+    assert sorted(C.upsert(once, batch, unique=True).collect(), key=key) == sorted(
+        C.upsert(once, batch).collect(), key=key)
+    assert sorted(C.upsert_keeping_metadata(once, batch, unique=True).collect(), key=key) == sorted(
+        C.upsert_keeping_metadata(once, batch).collect(), key=key)
+
+
 def test_update_existing_takes_nulls_and_ignores_new(stored, batch):
     got = C.update_existing(C.dedup_catalogue(stored), batch)
     assert titles(got) == [("a", "a-new"), ("b", "b1")]

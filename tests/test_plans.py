@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SMALL
+from talkgrain.operators import catalogue as C
+from talkgrain.plans import tables as T
 
 STREAMS_AND_FILES = {
     "stream_chunks", "stream_upsert", "stream_type_counts", "scan_episodes", "catalogue_version",
@@ -46,12 +48,25 @@ def test_no_window_sorts_a_whole_recording(spark, name):
 
 
 @pytest.mark.parametrize("name,limit", [("speaker_samples", 10), ("verify_missing", 10),
-                                        ("upsert_episodes", 1), ("dedup_catalogue_last", 1)])
+                                        ("update_existing", 1), ("dedup_catalogue_last", 1)])
 def test_rank_filters_run_before_the_shuffle(spark, name, limit):
     plan = plan_of(spark, name)
     assert re.search(rf"WindowGroupLimit .*{limit}, Partial", plan)
 
 
+def test_a_small_batch_does_not_move_the_catalogue(spark, tmp_path):
+    T.stored_with_ordinal(spark, SMALL).write.parquet(str(tmp_path / "stored"))
+    T.updates(spark, SMALL).write.parquet(str(tmp_path / "batch"))
+    merged = C.upsert(
+        spark.read.parquet(str(tmp_path / "stored")), spark.read.parquet(str(tmp_path / "batch")),
+        unique=True,
+    )
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    stored = plan[: plan.index("FileScan")]
+    assert "LeftAnti" in stored and "BroadcastHashJoin" in stored
+    assert "Exchange hash" not in stored
+
+
 def test_limits_are_top_k(spark):
     assert "TakeOrderedAndProject" in plan_of(spark, "latest_episodes")
 
