@@ -18,9 +18,13 @@ UNKNOWN_CONFIDENCE = 0.1
 
 
 def speaker_stats(utterances: DataFrame) -> DataFrame:
-    """Utterances per (video_id, speaker) and where the speaker first appears."""
+    """Utterances per (video_id, speaker) and where the speaker first appears.
+
+    The null test on the id is what later joins would add on one side only; said
+    here, every use of the result has the same plan and shares its shuffle.
+    """
     return (
-        utterances.where("speaker is not null")
+        utterances.where("speaker is not null and video_id is not null")
         .groupBy("video_id", "speaker")
         .agg(F.count("*").alias("utterance_count"), F.min("pos").alias("first_pos"))
         .withColumn("speaker_tag", X.speaker_tag("speaker"))
