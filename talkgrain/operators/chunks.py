@@ -13,7 +13,7 @@ from talkgrain.functions import transcripts as X
 from talkgrain.plans import blocks
 from talkgrain.sources.catalogue import iso_text
 
-# Rows folded together when chunks are merged, and block maps composed together.
+# Rows folded together when chunks are merged, and fold maps composed together.
 FOLD_ROWS = 2048
 MAPS_PER_GROUP = 4096
 
@@ -23,16 +23,18 @@ def with_context(
     *,
     chars: int = X.SNIPPET_CHARS,
     block_rows: int = blocks.BLOCK_ROWS,
+    beyond: int = 0,
 ) -> DataFrame:
     """Add ``previous`` and ``next`` snippets, empty at the ends of a transcript.
 
     Row form, for transcripts of any length. Neighbours are shortened before
-    they travel. The output stays partitioned on (video_id, block).
+    they travel. The output stays partitioned on (video_id, block); ``beyond``
+    is passed to :func:`blocks.with_neighbours`.
     """
     spread = utterances.withColumn("_cut", X.snippet("transcript", chars))
     near = blocks.with_neighbours(
-        spread, "video_id", "pos",
-        previous={"previous": "_cut"}, following={"next": "_cut"}, size=block_rows,
+        spread, "video_id", "pos", previous={"previous": "_cut"}, following={"next": "_cut"},
+        beyond=beyond, size=block_rows,
     )
     return near.drop("_cut").withColumns({
         "previous": F.coalesce("previous", F.lit("")),
@@ -185,100 +187,133 @@ def chunk_documents(enriched: DataFrame) -> DataFrame:
 #
 # Merging is greedy: a chunk takes the next row while the speaker is the same and
 # the two lengths fit, so where a chunk ends depends on where it began, and that
-# on the chunk before. Rows are folded in blocks of FOLD_ROWS; what a block needs
-# from the past is only the offset of the first chunk that begins inside it. For
-# full blocks (which have a successor to serve) the whole function "first begin
-# in this block -> first begin in the next" is tabulated. Such functions compose
+# on the chunk before. Rows are folded FOLD_ROWS at a time; what a fold needs from
+# the past is only the offset of the first chunk that begins inside it. For full
+# folds (which have a successor to serve) the whole function "first begin in this
+# fold -> first begin in the next" is tabulated. Such functions compose
 # associatively, so they are combined in groups, the groups in sequence, and each
-# block reads off its own begin. Recordings shorter than a block skip all of it;
+# fold reads off its own begin. Recordings shorter than a fold skip all of it;
 # one of 10**11 rows has about 12,000 groups of 4,096 maps, 2 KB a map.
 
-_ITEM = (
-    "struct<pos: bigint, speaker: int, text: string, start: double, end: double,"
-    " confidence: double, speaker_confidence: double, previous: string, next: string>"
-)
-_OPEN = (
-    "named_struct('pos', x.pos, 'speaker', x.speaker, 'text', x.text, 'start', x.start,"
-    " 'end', x.end, 'confidence', x.confidence, 'speaker_confidence', x.speaker_confidence,"
-    " 'previous', x.previous, 'next', x.next)"
-)
-
 
 def merge_short_chunks(
-    chunks: DataFrame,
+    rows: DataFrame,
     max_chars: int = X.MAX_CHUNK_CHARS,
     *,
+    block_rows: int = blocks.BLOCK_ROWS,
     fold_rows: int = FOLD_ROWS,
     maps_per_group: int = MAPS_PER_GROUP,
 ) -> DataFrame:
     """Merge consecutive chunks of one speaker while they fit ``max_chars``.
 
-    ``chunks`` has the columns of :func:`with_context`. The first row gives a
-    merged chunk its index, start, previous context and speaker confidence; the
-    last one its end and next context; confidence is the running pairwise mean.
+    ``rows`` are utterances, to which context is added on the way, or chunk rows
+    that have ``previous`` and ``next`` already. The first row gives a merged
+    chunk its index, start, previous context and speaker confidence; the last one
+    its end and next context; confidence is the running pairwise mean.
+
+    Context, folds and begins all use the partitioning on (video_id, block), so
+    the rows are shuffled once.
     """
     # A chunk grows by at least the joining space per row, hence its longest run.
     reach = max_chars + 2
-    fold_rows = max(fold_rows, reach)
-    rows = chunks.drop("block") if "block" in chunks.columns else chunks
+    fold_rows = max(fold_rows, reach + 1)
+    folds = max(block_rows // fold_rows, 1)
+    size = folds * fold_rows
+    plain = rows.drop("block") if "block" in rows.columns else rows
+    if "previous" in rows.columns:
+        near = blocks.with_halo(plain, "pos", after=reach, size=size)
+    else:
+        near = with_context(plain, block_rows=size, beyond=reach)
+    # A row is part of its own fold and, near its start, visible to the one before.
+    home = f"pos div {fold_rows}"
+    places = (
+        f"array_compact(array(if(pos div {size} = block, {home}, null),"
+        f" if(pos % {fold_rows} < {reach} and {home} > block * {folds}, {home} - 1, null)))"
+    )
     item = F.struct(
         "pos", "speaker", F.coalesce("transcript", F.lit("")).alias("text"), "start", "end",
         "confidence", "speaker_confidence", "previous", "next",
     )
     arrays = (
-        blocks.with_halo(rows, "pos", after=reach, size=fold_rows, block="fold")
-        .groupBy("video_id", "fold")
+        near.withColumn("fold", F.explode(F.expr(places)))
+        .groupBy("video_id", "block", "fold")
         .agg(F.sort_array(F.collect_list(item)).alias("items"))
     )
-    begins = _block_begins(arrays, max_chars, reach, fold_rows, maps_per_group)
+    begins = _fold_begins(plain, max_chars, reach, fold_rows, maps_per_group)
+    per_block = begins.withColumn("block", F.expr(f"fold div {folds}")).groupBy(
+        "video_id", "block"
+    ).agg(F.map_from_entries(F.collect_list(
+        F.struct("fold", F.struct("begin", "stop")))).alias("begins"))
     own = F.expr(
-        f"filter(items, x -> x.pos >= fold * {fold_rows} + coalesce(begin, 0)"
-        f" and (stop is null or x.pos < (fold + 1) * {fold_rows} + stop))"
+        f"filter(items, x -> x.pos >= fold * {fold_rows} + coalesce(begins[fold].begin, 0) and"
+        f" (begins[fold].stop is null or x.pos < (fold + 1) * {fold_rows} + begins[fold].stop))"
     )
-    folded = F.expr(f"""
+    # First the positions at which chunks begin, then each chunk from its stretch.
+    begin_at = F.expr(f"""
         aggregate(
           own,
-          named_struct('done', cast(array() as array<{_ITEM}>), 'open', cast(null as {_ITEM})),
-          (s, x) -> case
-            when s.open is null then named_struct('done', s.done, 'open', {_OPEN})
-            when s.open.speaker <=> x.speaker
-                 and length(s.open.text) + length(x.text) <= {max_chars}
-            then named_struct('done', s.done, 'open', named_struct(
-              'pos', s.open.pos, 'speaker', s.open.speaker,
-              'text', concat(s.open.text, ' ', x.text), 'start', s.open.start,
-              'end', x.end, 'confidence', (s.open.confidence + x.confidence) / 2,
-              'speaker_confidence', s.open.speaker_confidence,
-              'previous', s.open.previous, 'next', x.next))
-            else named_struct('done', array_append(s.done, s.open), 'open', {_OPEN})
-          end,
-          s -> if(s.open is null, s.done, array_append(s.done, s.open)))
+          named_struct('at', cast(array() as array<bigint>), 'speaker', cast(null as int),
+                       'chars', -1),
+          (s, x) -> if(
+            s.chars >= 0 and s.speaker <=> x.speaker
+              and s.chars + length(x.text) <= {max_chars},
+            named_struct('at', s.at, 'speaker', s.speaker,
+                         'chars', s.chars + length(x.text) + 1),
+            named_struct('at', array_append(s.at, x.pos), 'speaker', x.speaker,
+                         'chars', length(x.text))),
+          s -> s.at)
     """)
+    stretches = F.expr(
+        "transform(at, (p, i) -> slice(own, cast(p - at[0] as int) + 1,"
+        " cast(coalesce(get(at, i + 1), at[0] + size(own)) - p as int)))"
+    )
     return (
-        arrays.join(begins, ["video_id", "fold"], "left")
+        arrays.join(per_block, ["video_id", "block"], "left")
         .select("video_id", own.alias("own"))
-        .select("video_id", F.inline(folded))
-        .withColumnRenamed("text", "transcript")
+        .select("video_id", "own", begin_at.alias("at"))
+        .select("video_id", F.explode(stretches).alias("c"))
+        .select("video_id", F.col("c")[0].alias("first"), "c")
+        .select(
+            "video_id", "first.pos", "first.speaker",
+            F.array_join("c.text", " ").alias("transcript"),
+            "first.start",
+            F.element_at("c", -1)["end"].alias("end"),
+            F.expr("aggregate(slice(c, 2, size(c)), first.confidence,"
+                   " (a, x) -> (a + x.confidence) / 2)").alias("confidence"),
+            "first.speaker_confidence", "first.previous",
+            F.element_at("c", -1)["next"].alias("next"),
+        )
     )
 
 
-def _block_begins(
-    arrays: DataFrame, max_chars: int, reach: int, fold_rows: int, maps_per_group: int
+def _fold_begins(
+    rows: DataFrame, max_chars: int, reach: int, fold_rows: int, maps_per_group: int
 ) -> DataFrame:
-    """(video_id, fold, begin, stop) for blocks of recordings longer than one block.
+    """(video_id, fold, begin, stop) for folds of recordings longer than one fold.
 
-    ``begin`` is the offset of the first chunk begun in the block; ``stop`` the
-    same for the next block, null in the last one.
+    ``begin`` is the offset of the first chunk begun in the fold; ``stop`` the
+    same for the next fold, null in the last one. Only lengths and speakers of
+    full folds take part.
     """
-    full = arrays.where(f"exists(items, x -> x.pos = (fold + 1) * {fold_rows} - 1)")
-    slim = full.select(
-        "video_id", "fold",
-        F.expr("transform(items, x -> length(x.text))").alias("lengths"),
-        F.expr("transform(items, x -> coalesce(x.speaker, -1))").alias("speakers"),
+    slim = rows.select(
+        "video_id", "pos",
+        F.coalesce(F.length("transcript"), F.lit(0)).alias("chars"),
+        F.coalesce("speaker", F.lit(-1)).alias("speaker"),
+    )
+    full = slim.where(f"pos % {fold_rows} = {fold_rows - 1}").select(
+        "video_id", F.expr(f"pos div {fold_rows}").alias("fold")
+    )
+    inside = F.sort_array(F.collect_list(F.struct("pos", "chars", "speaker")))
+    arrays = (
+        blocks.with_halo(slim, "pos", after=reach, size=fold_rows, block="fold")
+        .join(full, ["video_id", "fold"], "left_semi")
+        .groupBy("video_id", "fold").agg(inside.alias("x"))
+        .select("video_id", "fold", F.col("x.chars").alias("lengths"),
+                F.col("x.speaker").alias("speakers"))
     )
-
     kind = dict(arrays.dtypes)
-    maps = slim.mapInArrow(
-        block_maps(max_chars, fold_rows, reach),
+    maps = arrays.mapInArrow(
+        fold_maps(max_chars, fold_rows, reach),
         f"video_id {kind['video_id']}, fold {kind['fold']}, map array<int>",
     ).withColumn("grp", F.expr(f"fold div {maps_per_group}"))
     # Said here so that both uses of the groups have one plan, and share one shuffle.
@@ -303,8 +338,8 @@ def _block_begins(
             "transform(grp, (g, i) -> named_struct('grp', g, 'at', get(at, i)))")).alias("g"))
         .select("video_id", "g.*")
     )
-    # A group of maps with its entry gives each block its begin and its stop; the
-    # block after the last full one begins where that one stops.
+    # A group of maps with its entry gives each fold its begin and its stop; the
+    # fold after the last full one begins where that one stops.
     stops = (
         groups.join(group_entries, ["video_id", "grp"])
         .select("video_id", "ms.fold", F.expr(entered.format("ms", "at")).alias("at"))
@@ -321,14 +356,14 @@ def _block_begins(
     )
 
 
-def block_maps(
+def fold_maps(
     max_chars: int, size: int, reach: int
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Task function: (video_id, fold, lengths, speakers) to (video_id, fold, map).
 
-    ``lengths`` and ``speakers`` cover one full block and the rows that follow it
+    ``lengths`` and ``speakers`` cover one full fold and the rows that follow it
     (at most ``reach``). Entry ``e`` of the map tells where the chain of chunks
-    begun at offset ``e`` enters the next block. Nothing outside this function is
+    begun at offset ``e`` enters the next fold. Nothing outside this function is
     referenced, so executors need no copy of the package.
     """
     def next_begins(lengths: np.ndarray, speakers: np.ndarray) -> np.ndarray:

@@ -59,24 +59,29 @@ def with_neighbours(
     *,
     previous: Mapping[str, str] | None = None,
     following: Mapping[str, str] | None = None,
+    beyond: int = 0,
     size: int = BLOCK_ROWS,
     block: str = "block",
 ) -> DataFrame:
     """Add columns of the row before / after, by dense integer position.
 
     ``previous`` and ``following`` map a new column name to a source expression.
-    The output is hash partitioned on (key, block), so a following join or
-    grouping on those columns needs no further exchange.
+    ``beyond`` rows after its end stay visible in each block, complete with their
+    neighbours, for work that looks further ahead. The output is hash partitioned
+    on (key, block): a following join or grouping that starts with those columns
+    needs no further exchange.
     """
     previous, following = dict(previous or {}), dict(following or {})
     spread = with_halo(
-        df, pos, before=1 if previous else 0, after=1 if following else 0,
+        df, pos, before=1 if previous else 0, after=beyond + (1 if following else 0),
         size=size, block=block,
     )
     window = Window.partitionBy(key, block).orderBy(pos)
     added = {n: F.lag(F.expr(e)).over(window) for n, e in previous.items()}
     added |= {n: F.lead(F.expr(e)).over(window) for n, e in following.items()}
-    return spread.withColumns(added).where(F.expr(f"{pos} div {size} = {block}"))
+    return spread.withColumns(added).where(
+        F.expr(f"{pos} >= {block} * {size} and {pos} < ({block} + 1) * {size} + {beyond}")
+    )
 
 
 def with_running_totals(

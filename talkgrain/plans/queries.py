@@ -393,7 +393,7 @@ def attach_episode_metadata(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def merge_short_chunks(spark: SparkSession, d: str) -> DataFrame:
-    merged = K.merge_short_chunks(K.with_context(T.utterances(spark, d)))
+    merged = K.merge_short_chunks(T.utterances(spark, d))
     return merged.select(
         "video_id", "pos", "speaker", "transcript", "start", "end",
         F.round("confidence", 6).alias("confidence"), "speaker_confidence", "previous", "next",

@@ -111,24 +111,29 @@ def as_json(transcripts: DataFrame) -> DataFrame:
     )
 
 
-def write_chunks(chunks: DataFrame, directory: str, *, co_located: bool = False) -> None:
-    """Write chunk documents as JSON, one directory per video.
-
-    Each stretch of a video goes to one task: a directory gets one file, a very
-    long video one per stretch. Rows that come out of ``operators.chunks.enrich``
-    lie that way already; ``co_located`` then saves the shuffle.
+def write_chunks(
+    chunks: DataFrame, directory: str, *, by: str = "video", co_located: bool = False
+) -> None:
+    """Write chunk documents as JSON, one directory per video or per month.
+
+    Directories by video suit readers that look up one video; by month they stay
+    few for a catalogue of millions. Rows are rebalanced on the directory first:
+    small directories get one file, large ones are split over tasks. Rows out of
+    ``operators.chunks.enrich`` already lie by stretches of a video;
+    ``co_located`` then saves the shuffle.
     """
-    rows = chunks if co_located else chunks.repartition(
-        "video_id", blocks.block_of("chunk_index")
-    )
-    (
-        rows.withColumn("video", F.col("video_id"))
-        .write.mode("errorifexists").partitionBy("video").json(directory)
-    )
+    folders = {"video": {"video": F.col("video_id")},
+               "month": {"year": F.col("metadata.year"), "month": F.col("metadata.month")}}[by]
+    rows = chunks.withColumns(folders)
+    if not co_located:
+        rows = rows.hint("rebalance", *folders)
+    rows.write.mode("errorifexists").partitionBy(*folders).json(directory)
 
 
 def read_chunks(spark: SparkSession, directory: str) -> DataFrame:
-    return spark.read.schema(schemas.CHUNK_DOCUMENT_DDL).json(directory).drop("video")
+    return spark.read.schema(schemas.CHUNK_DOCUMENT_DDL).json(directory).drop(
+        "video", "year", "month"
+    )
 
 
 def write_readable(lines: DataFrame, directory: str) -> None:

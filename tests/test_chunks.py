@@ -39,9 +39,10 @@ def greedy(rows, max_chars):
     return out + ([tuple(current)] if current else [])
 
 
-def merged(spark, rows, max_chars, **sizes):
-    chunks = K.with_context(spark.createDataFrame(rows, DDL), block_rows=sizes.pop("block", 16))
-    got = K.merge_short_chunks(chunks, max_chars, **sizes)
+def merged(spark, rows, max_chars, with_context=False, **sizes):
+    frame = spark.createDataFrame(rows, DDL)
+    got = K.merge_short_chunks(
+        K.with_context(frame, block_rows=16) if with_context else frame, max_chars, **sizes)
     return sorted(
         (r.video_id, r.pos, r.speaker, r.transcript, r.confidence) for r in got.collect()
     )
@@ -77,8 +78,8 @@ def test_merge_keeps_first_and_last_fields(spark):
     assert (r.speaker_confidence, r.previous, r.next) == (0.5, "", "")
 
 
-@pytest.mark.parametrize("maps_per_group", [1, 3, 4096])
-def test_merge_of_long_recordings(spark, maps_per_group):
+@pytest.mark.parametrize("maps_per_group,block_rows", [(1, 24), (3, 128), (4096, 1 << 16)])
+def test_merge_of_long_recordings(spark, maps_per_group, block_rows):
     """Recordings of many fold blocks, among them one speaker repeating one text."""
     rng = random.Random(maps_per_group)
     n = 2000
@@ -92,14 +93,28 @@ def test_merge_of_long_recordings(spark, maps_per_group):
         + transcript("big", ["z" * rng.choice([1, 40]) for _ in range(500)], [0] * 500)
     )
     for max_chars, fold_rows in ((20, 24), (30, 64)):
-        got = merged(spark, rows, max_chars, fold_rows=fold_rows, maps_per_group=maps_per_group)
+        got = merged(
+            spark, rows, max_chars, with_context=block_rows == 128, fold_rows=fold_rows,
+            block_rows=block_rows, maps_per_group=maps_per_group,
+        )
         assert got == sorted(greedy(rows, max_chars))
 
 
+def test_merge_carries_context_over_block_edges(spark):
+    n = 200
+    rows = transcript("v", [f"t{i}" for i in range(n)], [0] * n)
+    frame = spark.createDataFrame(rows, DDL)
+    got = K.merge_short_chunks(frame, 20, fold_rows=24, block_rows=48).orderBy("pos").collect()
+    starts = [r.pos for r in got] + [n]
+    assert [r.previous for r in got] == ["" if p == 0 else f"t{p - 1}" for p in starts[:-1]]
+    assert [r.next for r in got] == ["" if p == n else f"t{p}" for p in starts[1:]]
+    assert [r.end for r in got] == [p - 0.5 for p in starts[1:]]
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 1)), min_size=1, max_size=120))
-def test_block_maps_follow_the_greedy_chain(items):
-    """Every entry of a block's map, against merging row by row from that offset."""
+def test_fold_maps_follow_the_greedy_chain(items):
+    """Every entry of a fold's map, against merging row by row from that offset."""
     import numpy as np
     import pyarrow as pa
 
@@ -114,7 +129,7 @@ def test_block_maps_follow_the_greedy_chain(items):
          pa.array([speakers], pa.list_(pa.int32()))],
         names=["video_id", "fold", "lengths", "speakers"],
     )
-    got = next(K.block_maps(max_chars, size, reach)(iter([batch]))).column("map")[0].as_py()
+    got = next(K.fold_maps(max_chars, size, reach)(iter([batch]))).column("map")[0].as_py()
     for entry in range(min(reach, len(items))):
         i = entry
         while i < size:

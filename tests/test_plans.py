@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as entry
 from conftest import SMALL
 from talkgrain.operators import catalogue as C
+from talkgrain.operators import chunks as K
 from talkgrain.plans import tables as T
 
 STREAMS_AND_FILES = {
@@ -44,7 +45,7 @@ def test_no_window_sorts_a_whole_recording(spark, name):
         if keys and keys.group(1) == "video_id":
             totals = re.search(r"_total_|max\(_last", line)
             by_rank = re.search(r"row_number\(\)", line)
-            assert keys.group(2) in ("block", "turn_block") or totals or by_rank, line[:300]
+            assert keys.group(2) in ("block", "turn_block", "_block") or totals or by_rank, line[:300]
 
 
 @pytest.mark.parametrize("name,limit", [("speaker_samples", 10), ("verify_missing", 10),
@@ -76,6 +77,14 @@ def test_scans_read_only_what_is_needed(spark):
     assert "ReadSchema: struct<n_chars:bigint>" in plan_of(spark, "type_summary")
 
 
+def test_merging_shuffles_the_rows_once(spark, tmp_path):
+    T.utterances(spark, SMALL).write.parquet(str(tmp_path / "utterances"))
+    merged = K.merge_short_chunks(spark.read.parquet(str(tmp_path / "utterances")))
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    wide = [x for x in plan[: plan.index("FileScan")].splitlines() if "Exchange hash" in x]
+    assert len(wide) == 1
+
+
 def test_enrichment_shuffles_the_long_side_once(spark):
     """Context windows and the catalogue join share one exchange of the utterances."""
     plan = plan_of(spark, "chunk_records", "-1")

@@ -178,6 +178,10 @@ def test_chunk_files(spark, landed, tmp_path):
     ST.write_chunks(chunks, str(tmp_path / "out"))
     again = ST.read_chunks(spark, str(tmp_path / "out"))
     assert again.schema.simpleString() == chunks.schema.simpleString()
+    ST.write_chunks(chunks, str(tmp_path / "months"), by="month")
+    assert (tmp_path / "months" / "year=2024" / "month=2").is_dir()
+    months = ST.read_chunks(spark, str(tmp_path / "months"))
+    assert sorted(map(str, months.collect())) == sorted(map(str, again.collect()))
     got = again.orderBy("chunk_index").collect()
     assert [r.chunk_id for r in got] == ["one_0", "one_1"]
     assert (got[0].metadata.year, got[0].metadata.confidence_tier, got[0].episode_type) == (
