@@ -2,18 +2,46 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+_local: list[str] = []
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh directory below the cluster's shared checkpoint folder.
 
-    A machine-local folder is used only where the session names none, as in tests.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share.
+
+    It is the one in ``spark.checkpoint.dir``, or else the one given to
+    ``SparkContext.setCheckpointDir``. Where neither is set, a session on this machine alone
+    (master ``local``) gets a temporary folder that goes when the process ends; on a cluster a
+    folder of one machine would lose rows unseen, so that raises.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="talkgrain-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="talkgrain-"))
+        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+    return _local[0]
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df`` written once as a table in the shared folder and read back: later jobs
+    start from the files, on whichever executors are left."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,6 +5,8 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SMALL
+from talkgrain.plans.oracle import ORACLE
+from talkgrain.plans.queries import QUERIES
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages"
           " benchmark labels conversations").split()
@@ -21,13 +23,14 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query(spark, duck, name):
-    got = entry.queries()[name](spark, SMALL)
-    cursor = duck.execute(entry.oracle_sql()[name])
+    got = QUERIES[name](spark, SMALL)
+    cursor = duck.execute(ORACLE[name])
     types = {d[0]: str(d[1]) for d in cursor.description}
     names = [d[0] for d in cursor.description]
     want = [dict(zip(names, r, strict=True)) for r in cursor.fetchall()]
