@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from talkgrain.llm import mixing
+from talkgrain.llm import mixing, tokens
 from talkgrain.llm.oracle import LLM_ORACLE  # noqa: F401
 
 
@@ -17,7 +18,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"),
+                               public_tokenizers.path("word_bpe_49k.json"))
+
+
 LLM_QUERIES = {
+    "op2_token_counts": op2_token_counts,
     "op3_mixing": op3_mixing,
 }
 
