@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from talkgrain.llm import mixing, tokens
+from talkgrain.llm import jaccard, mixing, tokens
 from talkgrain.llm.oracle import LLM_ORACLE  # noqa: F401
 
 
@@ -23,7 +23,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES = {
+    "op4_jaccard_join": op4_jaccard_join,
     "op2_token_counts": op2_token_counts,
     "op3_mixing": op3_mixing,
 }
