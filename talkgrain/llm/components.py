@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 from talkgrain.plans.scratch import stored
 
-#: ``only`` broadcasts a list of ids up to this many rows (some 40 MB as a hash table).
+#: ``among`` broadcasts a list of ids up to this many rows (some 40 MB as a hash table).
 BROADCAST_ROWS = 500_000
 
 
-def only(df: DataFrame, column: str, ids: DataFrame, id_column: str) -> DataFrame:
-    """The rows of ``df`` whose ``column`` is among the (stored) ids. A list within
-    ``BROADCAST_ROWS`` is broadcast, a longer one joined by a shuffle."""
+def among(df: DataFrame, column: str, ids: DataFrame, id_column: str, how: str = "left_semi") -> DataFrame:
+    """The rows of ``df`` whose ``column`` is (``left_anti``: is not) among the stored ids. A list
+    within ``BROADCAST_ROWS`` is broadcast, a longer one joined by a shuffle."""
     ids = ids.select(F.col(id_column).alias("_id")).distinct()
     if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    return df.join(ids, df[column] == ids["_id"], "left_semi")
+    return df.join(ids, df[column] == ids["_id"], how)
 
 
 def components(edges: DataFrame) -> DataFrame:

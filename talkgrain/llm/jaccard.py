@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkgrain.llm.components import components, only
+from talkgrain.llm.components import among, components
 from talkgrain.llm.text import LOWER, mix, slices, windows, word_hashes, word_spans
 from talkgrain.plans.scratch import stored
 
@@ -236,10 +236,10 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
                        F.col("text").cast("string").alias("text"))
     profile = stored(profiles(docs, width), "jaccard-profiles")
     kept = stored(candidates(docs, width, percent), "jaccard-candidates")
-    sets = stored(gram_sets(only(docs, "doc_id", kept, "doc_id"), width), "jaccard-sets")
+    sets = stored(gram_sets(among(docs, "doc_id", kept, "doc_id"), width), "jaccard-sets")
     same = ["n", "sig_a", "sig_b"]
     chosen = stored(sets.groupBy(*same).agg(F.min("doc_id").alias("doc_id")), "jaccard-chosen")
-    sets = only(sets, "doc_id", chosen, "doc_id")
+    sets = among(sets, "doc_id", chosen, "doc_id")
     block = stored(incidence(sets, percent), "jaccard-block")
 
     edges = stored(overlapping(star_pairs(block, percent, F.min), sets, percent), "jaccard-edges")

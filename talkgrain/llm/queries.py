@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from talkgrain.llm import jaccard, mixing, tokens
+from talkgrain.llm import jaccard, mixing, substrings, suffixes, tokens
 from talkgrain.llm.oracle import LLM_ORACLE  # noqa: F401
 
 
@@ -27,7 +27,17 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_bytes(table(spark, sf_dir, "documents"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_words(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES = {
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op4_jaccard_join": op4_jaccard_join,
     "op2_token_counts": op2_token_counts,
     "op3_mixing": op3_mixing,
