@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from talkgrain.llm.decontam import MASKS, PERCENT, SPAN
+
 MIXING = r"""
 with sizes as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
@@ -45,4 +47,44 @@ select doc_id, size, source_size, target,
   source
 from line
 """
-LLM_ORACLE = {"op3_mixing": MIXING}
+def _picked(mask: tuple[int, ...]) -> str:
+    return "[" + ", ".join(f"w[i + {o + 1}]" for o in mask) + "]"
+
+
+DECONTAMINATION = r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from benchmark
+), dp as (
+  select doc_id, w, unnest(range(0, len(w) - SPAN + 1)) as i from d where len(w) >= SPAN
+), bp as (
+  select item_id, w, unnest(range(0, len(w) - SPAN + 1)) as i from b where len(w) >= SPAN
+), ds as (DSEEDS), bs as (BSEEDS), met as (
+  select doc_id, item_id, ds.i - bs.i as shift, min(bs.i) as low, max(bs.i) as high
+  from ds join bs using (mask, seed) group by all
+), judged as (
+  select doc_id, item_id, high - low + SPAN as width,
+    len(list_filter(range(low, high + SPAN), lambda t: b.w[t + 1] = d.w[t + shift + 1])) as matched
+  from met join d using (doc_id) join b using (item_id)
+), found as (
+  select doc_id, item_id, max(matched) as matched from judged
+  where 100 * matched >= PERCENT * width group by all
+), per_doc as (
+  select doc_id, count(*) as n_items, max(matched) as matched, min(item_id) as first_item
+  from found group by doc_id
+)
+select doc_id, coalesce(n_items, 0)::bigint as n_items, coalesce(matched, 0)::bigint as matched,
+  coalesce(first_item, -1)::bigint as first_item, n_items is not null as contaminated
+from documents left join per_doc using (doc_id)
+"""
+for _name, _from, _key in (("DSEEDS", "dp", "doc_id"), ("BSEEDS", "bp", "item_id")):
+    DECONTAMINATION = DECONTAMINATION.replace(_name, " union all ".join(
+        f"select {_key}, {k} as mask, {_picked(m)} as seed, i from {_from}" for k, m in enumerate(MASKS)))
+DECONTAMINATION = DECONTAMINATION.replace("SPAN", str(SPAN)).replace("PERCENT", str(PERCENT))
+
+LLM_ORACLE = {"op3_mixing": MIXING, "op9_decontamination": DECONTAMINATION}

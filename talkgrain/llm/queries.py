@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from talkgrain.llm import jaccard, mixing, substrings, suffixes, tokens
+from talkgrain.llm import decontam, jaccard, mixing, substrings, suffixes, tokens
 from talkgrain.llm.oracle import LLM_ORACLE  # noqa: F401
 
 
@@ -35,7 +35,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_words(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 LLM_QUERIES = {
+    "op9_decontamination": op9_decontamination,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op4_jaccard_join": op4_jaccard_join,
