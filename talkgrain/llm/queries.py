@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from talkgrain.llm import decontam, jaccard, mixing, substrings, suffixes, tokens
+from talkgrain.llm import decontam, jaccard, mixing, substrings, suffixes, tokens, toxicity
 from talkgrain.llm.oracle import LLM_ORACLE  # noqa: F401
 
 
@@ -39,7 +39,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 LLM_QUERIES = {
+    "op6_toxicity": op6_toxicity,
     "op9_decontamination": op9_decontamination,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_substring_dedup": op8_substring_dedup,
