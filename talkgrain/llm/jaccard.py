@@ -11,9 +11,9 @@ Two documents link when ``100 * |x & y| >= percent * |x | y|``. The product is n
    a document needs ``a`` n-grams of frequency 2 or more. Ordered rarest first, linked documents
    share one of their first n - a + 1. These rows are the incidence block.
 4. *Overlap counts.* First each document meets the smallest document of each of its rows: a star per
-   n-gram instead of all its pairs. What these links connect is one component. Then the block is
-   multiplied by itself across components only. Accumulated counts discard pairs that cannot
-   reach the overlap their sizes ask for; the rest are counted over whole sets.
+   n-gram instead of all its pairs. Accumulated counts discard pairs that cannot reach the overlap
+   their sizes ask for; the rest are counted over whole sets. What these links connect is one
+   component. Then the block is multiplied by itself across components only, tile by tile.
 
 All pairs of different components that could link are counted, so components are exact; pairs inside
 a component found already need no count. (N-grams are told apart by 64-bit hashes.)
@@ -40,6 +40,9 @@ WIDTH = 5
 PERCENT = 75
 #: Further shared n-grams asked for in step 2: one per so many n-grams of the document.
 SPARE = 12
+#: N-grams of the documents that a task holds as one tile, and documents streamed past it.
+TILE = 1 << 16
+SENT = 2048
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -192,7 +195,11 @@ def overlapping(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(keep), part.column(1).take(keep)], ["a", "b"])
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(
+    pairs = stored(pairs.select("a", "b"), "jaccard-pairs")
+    both = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+    both = stored(both.distinct(), "jaccard-paired")
+    left, right = (among(x, c, both, "doc_id") for x, c in ((left, "a"), (right, "b")))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(
         run, "a bigint, b bigint")
 
 
@@ -212,22 +219,93 @@ def star_pairs(block: DataFrame, percent: int, pick) -> DataFrame:
         F.first("s.suffix").alias("sb"), F.count("*").alias("c")).where(_fits(percent)).select("a", "b")
 
 
-def crossing_pairs(block: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """The pairs of different components that the sizes and the shared n-grams allow."""
+def crossing_links(block: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) between different components: the product of the block with itself, a tile at
+    a time. Documents that meet in their n-grams are cut into tiles of about ``TILE`` n-grams; a
+    document goes to the tiles that share an n-gram with it and hold a document of a larger component
+    (or an equally large one with a larger id). A task holds one tile, the documents sent to it
+    stream past, and only links leave it. A tile that is sent many documents is held by several tasks.
+    """
+    of = F.coalesce("component", "doc_id")
     labelled = block.join(labels, block["doc_id"] == labels["node"], "left").select(
-        "doc_id", "n", "suffix", "gram", F.coalesce("component", "doc_id").alias("of"))
-    mixed = labelled.groupBy("gram").agg(F.min("of").alias("low"), F.max("of").alias("high")).where(
-        "low < high").select("gram")
-    rows = labelled.join(mixed, "gram")
-    x = rows.select("gram", F.col("doc_id").alias("a"), F.col("n").alias("na"),
-                    F.col("suffix").alias("sa"), F.col("of").alias("ofa"))
-    y = rows.select("gram", F.col("doc_id").alias("b"), F.col("n").alias("nb"),
-                    F.col("suffix").alias("sb"), F.col("of").alias("ofb"))
-    return x.join(y, "gram").where(
-        f"a < b and ofa <> ofb and 100 * least(na, nb) >= {percent} * greatest(na, nb)").groupBy(
-        "a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("sa").alias("sa"),
-                      F.first("sb").alias("sb"), F.count("*").alias("c")).where(
-        _fits(percent)).select("a", "b")
+        "doc_id", "n", "gram", of.alias("of"))
+    mixed = labelled.groupBy("gram").agg(
+        F.min("of").alias("low"), F.max("of").alias("high"), F.count("*").alias("df"),
+        F.min("doc_id").alias("first")).where("low < high").select("gram", "df", "first")
+    rows = stored(labelled.join(mixed, "gram"), "jaccard-mixed")
+    docs = rows.groupBy("doc_id").agg(
+        F.first("of").alias("of"), F.first("n").alias("n"),
+        F.max_by("first", F.struct("df", "gram")).alias("cluster"))
+    sizes = docs.groupBy("of").agg(F.count("*").alias("size"))
+    tiles = docs.groupBy("cluster").agg(F.expr(f"sum(n) div {TILE} + 1").alias("tiles"))
+    docs = stored(docs.join(sizes, "of").join(tiles, "cluster").select(
+        "doc_id", F.struct("size", "of").alias("rank"), "cluster",
+        F.pmod(F.xxhash64("doc_id"), "tiles").alias("tile")), "jaccard-tiles")
+    placed = rows.select("gram", "doc_id").join(docs, "doc_id")
+    held = placed.groupBy("gram", "cluster", "tile").agg(F.max("rank").alias("top"))
+    sent = placed.select("gram", F.col("doc_id").alias("x"), F.col("rank").alias("own")).join(
+        held, "gram").where("own < top").select("cluster", "tile", "x", "own").distinct()
+    sent = stored(sent, "jaccard-sent")
+    tasks = sent.groupBy("cluster", "tile").agg(F.expr(f"count(*) div {SENT} + 1").alias("tasks"))
+    needed = among(sets, "doc_id", docs, "doc_id").select("doc_id", "grams")
+    moving = sent.join(tasks, ["cluster", "tile"]).join(needed, F.col("x") == F.col("doc_id")).select(
+        "cluster", "tile", F.pmod(F.xxhash64("x"), "tasks").alias("task"), F.lit(1).alias("moves"),
+        "doc_id", F.col("own.size").alias("size"), F.col("own.of").alias("of"), "grams")
+    standing = docs.join(tasks, ["cluster", "tile"]).join(needed, "doc_id").select(
+        "cluster", "tile", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"),
+        F.lit(0).alias("moves"), "doc_id", F.col("rank.size").alias("size"),
+        F.col("rank.of").alias("of"), "grams")
+    place = ["cluster", "tile", "task"]
+    return moving.unionByName(standing).repartition(*place).sortWithinPartitions(
+        *place, "moves").mapInArrow(_tile_product(percent), "a bigint, b bigint")
+
+
+def _tile_product(percent: int):
+    """Links between the documents of each tile and those that follow it in the sorted rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, parts, gram, row = None, [], None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy() for k in range(4)], 1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                part, place = batch.slice(a, b - a), tuple(keys[a, :3])
+                if place != tile:
+                    tile, parts, gram = place, [], None
+                if not keys[a, 3]:
+                    parts.append(part)
+                    continue
+                if not parts:  # no document stands in this tile
+                    continue
+                if gram is None:
+                    ids, size, of, lists = (pa.concat_arrays([p.column(k) for p in parts]) for k in (4, 5, 6, 7))
+                    n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+                    gram, row = lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(n)), n)
+                    order = np.argsort(gram, kind="stable")
+                    gram, row = gram[order], row[order]
+                    held = (ids.to_numpy(), size.to_numpy(), of.to_numpy(), n)
+                for s in range(0, part.num_rows, 128):
+                    yield _product(part.slice(s, 128), gram, row, held, percent)
+
+    return run
+
+
+def _product(moving: pa.RecordBatch, gram, row, held, percent: int) -> pa.RecordBatch:
+    ids, size, of, lists = (moving.column(k) for k in (4, 5, 6, 7))
+    own = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    value = lists.flatten().to_numpy().view(np.uint64)
+    of_row = np.repeat(np.arange(len(own)), own)
+    low, high = np.searchsorted(gram, value), np.searchsorted(gram, value, side="right")
+    times = high - low
+    at = np.arange(times.sum()) + np.repeat(low - (np.cumsum(times) - times), times)
+    width = len(held[0])
+    shared = np.bincount(np.repeat(of_row, times) * width + row[at], minlength=len(own) * width).reshape(-1, width)
+    size, of = size.to_numpy()[:, None], of.to_numpy()[:, None]
+    larger = (held[1] > size) | ((held[1] == size) & (held[2] > of))
+    x, y = np.nonzero(larger & (100 * shared >= percent * (own[:, None] + held[3] - shared)))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids.to_numpy()[x]), pa.array(held[0][y])], ["a", "b"])
 
 
 def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -244,7 +322,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
     edges = stored(overlapping(star_pairs(block, percent, F.min), sets, percent), "jaccard-edges")
     labels = components(edges)
-    more = stored(overlapping(crossing_pairs(block, labels, percent), sets, percent), "jaccard-edges")
+    more = stored(crossing_links(block, labels, sets, percent), "jaccard-edges")
     # Equal sets: every row of the signature hangs on the smallest id with it.
     equal = profile.where("n > 0 and doc_id is not null").groupBy(*same).agg(
         F.min("doc_id").alias("b"), F.count("*").alias("rows")).where("rows > 1")
