@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from talkgrain.llm import decontam, jaccard, mixing, substrings, suffixes, tokens, toxicity
+from talkgrain.llm import decontam, embed, html, jaccard, mixing, quality, substrings, suffixes, tokens, toxicity
 from talkgrain.llm.oracle import LLM_ORACLE  # noqa: F401
 
 
@@ -44,7 +44,23 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, html.fit(pages))
+
+
 LLM_QUERIES = {
+    "op10_html_extraction": op10_html_extraction,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op1_quality": op1_quality,
     "op6_toxicity": op6_toxicity,
     "op9_decontamination": op9_decontamination,
     "op7_suffix_dedup": op7_suffix_dedup,
