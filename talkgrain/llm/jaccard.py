@@ -330,3 +330,17 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     found = components(edges.unionByName(more).unionByName(equal))
     return profile.join(found, profile["doc_id"] == found["node"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, same columns, without near duplicates: of each component the document with
+    the smallest id stays, once if several rows have that id. Rows without an id stay."""
+    found = stored(link_components(docs, width, percent), "jaccard-components")
+    gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "jaccard-gone")
+    kept = among(docs, "doc_id", gone, "doc_id", "left_anti")
+    often = stored(found.where("doc_id is not null").groupBy("doc_id").agg(
+        F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "jaccard-often")
+    if often.isEmpty():
+        return kept
+    return among(kept, "doc_id", often, "doc_id", "left_anti").unionByName(
+        among(kept, "doc_id", often, "doc_id").dropDuplicates(["doc_id"]))

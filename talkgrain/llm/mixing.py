@@ -125,9 +125,10 @@ def schedule(counted: DataFrame, slots: int) -> DataFrame:
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS,
                 block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document row: row (a number for this run), doc_id, source, size, source_size,
-    target (of the source) and taken, the words that the mix takes from it, repeats counted."""
-    sizes = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).select(
+    """One row per document row: doc_id, h (hash of the text), source, size, source_size, target (of
+    the source) and taken, the words that the mix takes from it, repeats counted."""
+    sizes = stored(docs.select(
+        "doc_id", "source", F.xxhash64("text").alias("h"), word_count(F.col("text")).alias("size")).select(
         F.monotonically_increasing_id().alias("row"), "*", place(F.col("doc_id")).alias("place")),
         "mix-sizes")
     counted = stored(slot_counts(source_targets(sizes, weights, max_repeats), block_words),
@@ -163,5 +164,17 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats
     told = sizes.join(counted.select(F.col("source").alias("of"), "source_size", "target"),
                       sizes["source"].eqNullSafe(F.col("of")))
     return told.join(taken, "row", "left").select(
-        "row", "doc_id", "source", "size", "source_size", "target",
+        "doc_id", "h", "source", "size", "source_size", "target",
         F.coalesce("taken", F.lit(0)).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The documents that the mix takes words from: all their columns, then size, source_size, target
+    and taken (columns of these names in ``docs`` give way). Rows that agree in id and text, if any,
+    all carry the largest of their takes."""
+    told = ["size", "source_size", "target", "taken"]
+    taken = mix_sources(docs, **options).where("taken > 0").groupBy(
+        F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(*(F.max(c).alias(f"_{c}") for c in told))
+    same = docs["doc_id"].eqNullSafe(taken["_id"]) & (F.xxhash64(docs["text"]) == taken["_h"])
+    columns = [docs[c] for c in docs.columns if c not in told]
+    return docs.join(taken, same).select(*columns, *(taken[f"_{c}"].alias(c) for c in told))

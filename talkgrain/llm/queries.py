@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from talkgrain.llm import decontam, embed, html, jaccard, mixing, quality, substrings, suffixes, tokens, toxicity
 from talkgrain.llm.oracle import LLM_ORACLE  # noqa: F401
 
@@ -57,7 +58,12 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(pages, html.fit(pages))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 LLM_QUERIES = {
+    "pipeline": pipeline,
     "op10_html_extraction": op10_html_extraction,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op1_quality": op1_quality,
