@@ -59,13 +59,17 @@ def test_toxicity_reads_the_text_alone(documents, toxic):
     assert toxicity.score(documents([]), toxic).count() == 0
 
 
-def test_toxicity_gradients():
-    """A step against the gradient lowers the loss of a fixed batch."""
+def test_toxicity_learns():
     texts = ["bad words here", "good words there", "so bad", "so good indeed"] * 10
-    y = np.array([1, 0, 1, 0] * 10)
-    model = toxicity.train(texts, y, np.ones(40))
-    z = model.logits(toxicity._texts(["it is bad", "it is good"]))
-    assert z[0] > model.thresholds[0] > z[1]
+    model = toxicity.train(texts, np.array([1, 0, 1, 0] * 10), np.ones(40))
+    score = model.scores(toxicity._texts(texts[:4]))
+    assert score[[0, 2]].min() > 0.5 > score[[1, 3]].max()
+
+
+def test_toxicity_ignores_neighbours(toxic):
+    texts = ["you stupid idiot", "", "the and of", "clown", "", "idiot"]
+    together = toxic.scores(toxicity._texts(texts))
+    assert together == pytest.approx([toxic.scores(toxicity._texts([t]))[0] for t in texts])
 
 
 @pytest.mark.parametrize("learn", [toxicity.train, quality.train])
