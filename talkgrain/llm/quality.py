@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from talkgrain.llm.components import among
 from talkgrain.llm.labelled import sample
-from talkgrain.llm.text import LOWER, SPACE, slices, word_hashes, word_spans
+from talkgrain.llm.text import LOWER, slices, word_hashes, word_spans
 from talkgrain.plans.scratch import stored
 
 #: At most so many labelled texts of each class are learned from.
@@ -110,8 +110,9 @@ def _expanded(x: np.ndarray) -> np.ndarray:
 
 def train(texts: list[str], y: np.ndarray, _weight: np.ndarray) -> Evidence:
     """Class-balanced logistic regression by Newton steps; evidence is relative to even odds."""
-    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]).astype(np.int64)
-    x = features(np.frombuffer("".join(texts).encode(), np.uint8), offsets)
+    column = pa.array(texts, pa.string())
+    x = np.concatenate([features(np.zeros(0, np.uint8), np.zeros(1, np.int64)), *(
+        features(data, offsets) for _, _, data, offsets in slices(column, 1 << 20))])
     if not y.sum() or y.all():
         return Evidence(np.zeros(x.shape[1]), np.ones(x.shape[1]), np.zeros(1 + 2 * x.shape[1]))
     mean, scale = x.mean(0), x.std(0) + 1e-3
