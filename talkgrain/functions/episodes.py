@@ -77,7 +77,7 @@ def audio_name(video_id: Column | str, audio_format: str = "mp3") -> Column:
 
 
 def guest_hint(description: Column | str) -> Column:
-    """Sentence naming who is announced in a description, or an empty text.
+    """(phrase, name) of who is announced in a description, or null.
 
     For each phrase in order: the text after its first occurrence, up to its
     next occurrence and then the first of ``.``, ``,``, ``!``; it counts if more
@@ -88,12 +88,10 @@ def guest_hint(description: Column | str) -> Column:
     def after(phrase: str) -> Column:
         tail = F.regexp_extract(text, phrase + "([^.,!]*)", 1)
         name = F.btrim(F.substring_index(tail, phrase, 1), F.lit(" \t\n\r"))
-        sentence = F.concat(
-            F.lit(f"The description mentions someone after '{phrase}': '"), name, F.lit("'")
-        )
-        return F.when(F.length(name) > 3, sentence)
+        return F.when(F.length(name) > 3, F.struct(
+            F.lit(phrase).alias("phrase"), name.alias("name")))
 
-    return F.coalesce(*[after(p) for p in GUEST_PHRASES], F.lit(""))
+    return F.coalesce(*[after(p) for p in GUEST_PHRASES])
 
 
 def matches_text(query: str, *columns: str) -> Column:

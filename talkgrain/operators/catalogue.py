@@ -174,23 +174,25 @@ def upsert_keeping_metadata(
     ``kept`` may name file and transcript columns too, so that re-fetching an
     episode does not undo the stages it already went through.
     """
-    new = dedup_catalogue(batch)
-    replaced = stored.select("video_id", "ordinal", *kept).join(
-        batch.select("video_id"), "video_id", "left_semi"
-    )
+    new = dedup_catalogue(batch).drop("ordinal")
     if not unique:
-        replaced = dedup_catalogue(replaced)
-    olds = replaced.select("video_id", *[F.col(c).alias(f"_old_{c}") for c in kept])
-    values = {c: F.coalesce(f"_old_{c}", c) for c in kept}
-    if "metadata" in kept:
-        values["metadata"] = F.when(
-            F.expr(METADATA_IS_SET.format("_old_metadata")), F.col("_old_metadata")
-        ).otherwise(F.col("metadata"))
-    merged = new.join(olds, "video_id", "left").withColumns(values)
-    rows = merged.drop(*[f"_old_{c}" for c in kept])
-    return upsert(stored, rows, unique=unique).select(
-        [c for c in EPISODE_COLUMNS if c in stored.columns]
-    )
+        stored = dedup_catalogue(stored)
+    columns = [c for c in EPISODE_COLUMNS if c in stored.columns]
+    new = new.select(*[F.col(c).alias(f"_new_{c}") if c != "video_id" else F.col(c) for c in columns],
+                     F.lit(True).alias("_hit"))
+
+    def value(c: str) -> Column:
+        if c == "metadata" and c in kept:
+            fresh = F.when(F.expr(METADATA_IS_SET.format(c)), F.col(c)).otherwise(F.col(f"_new_{c}"))
+        elif c in kept:
+            fresh = F.coalesce(c, f"_new_{c}")
+        else:
+            fresh = F.col(f"_new_{c}")
+        return F.when(F.col("_hit"), fresh).otherwise(F.col(c)).alias(c)
+
+    # One join finds old and new rows together: a full one, in which a missing stored row has no values.
+    both = stored.select(*columns).join(new, "video_id", "full")
+    return both.select("video_id", *[value(c) for c in columns if c != "video_id"])
 
 
 # -- files -------------------------------------------------------------------
@@ -215,20 +217,14 @@ def missing_files(episodes: DataFrame, inventory: DataFrame) -> DataFrame:
 def without_missing_files(episodes: DataFrame, inventory: DataFrame) -> DataFrame:
     """The catalogue with the names of missing files set to null.
 
-    Many episodes name no file yet. They join on their own id behind a slash,
-    which no file name has, so that they do not gather under one null key.
+    The missing names are found on the narrow columns and folded to one row per
+    video; the wide rows meet that small set once.
     """
-    repaired = episodes
-    present = inventory.select(F.col("file_name").alias("_present")).distinct()
-    for c in FILE_COLUMNS:
-        name = F.when(E.is_set(c), F.col(c)).otherwise(F.concat(F.lit("/"), "video_id"))
-        repaired = (
-            repaired.withColumn("_name", name)
-            .join(present, F.col("_name") == F.col("_present"), "left")
-            .withColumn(c, F.when(E.is_set(c), F.col("_present")).otherwise(F.col(c)))
-            .drop("_present", "_name")
-        )
-    return repaired
+    gone = missing_files(episodes, inventory).groupBy("video_id").agg(
+        *[F.bool_or(F.col("kind") == k).alias(f"_{k}") for k in ("audio", "transcript")])
+    cleared = {c: F.when(~F.coalesce(f"_{k}", F.lit(False)), F.col(c))
+               for c, k in zip(FILE_COLUMNS, ("audio", "transcript"), strict=True)}
+    return episodes.join(gone, "video_id", "left").withColumns(cleared).drop("_audio", "_transcript")
 
 
 def with_existing_file(

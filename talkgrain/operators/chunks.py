@@ -61,7 +61,7 @@ def context_in_document(
     return transcripts.select(
         F.col("episode_metadata.video_id").alias("video_id"),
         F.col("episode_metadata.title").alias("episode_title"),
-        F.to_timestamp("episode_metadata.published_at").alias("published_at"),
+        F.try_to_timestamp("episode_metadata.published_at").alias("published_at"),
         *also,
         F.explode(F.expr(chunk)).alias("c"),
     ).select("video_id", "episode_title", "published_at", *also,
@@ -73,6 +73,7 @@ UNSTAMPED = (
     "(episode_metadata.video_id is null or episode_metadata.title is null"
     " or episode_metadata.published_at is null)"
 )
+UNDATED = "try_to_timestamp(episode_metadata.published_at) is null"
 INCOMPLETE = (
     "coalesce(exists(results.utterances, u -> u.speaker is null or u.confidence is null"
     " or u.start is null or u.end is null or u.transcript is null), true)"
@@ -80,8 +81,8 @@ INCOMPLETE = (
 
 
 def readable_documents(transcripts: DataFrame) -> DataFrame:
-    """Documents with episode metadata and complete utterances."""
-    return transcripts.where(f"not ({UNSTAMPED} or {INCOMPLETE})")
+    """Documents with episode metadata, a date that can be read and complete utterances."""
+    return transcripts.where(f"not ({UNSTAMPED} or {UNDATED} or {INCOMPLETE})")
 
 
 def enrich(
@@ -93,7 +94,9 @@ def enrich(
 ) -> DataFrame:
     """Left join catalogue columns to utterance or chunk rows, block by block.
 
-    Rows of unknown episodes stay, with the defaults of an absent one.
+    Rows of unknown episodes stay, with the defaults of an absent one. Where rows
+    state ``episode_title`` and ``published_at`` themselves, as transcripts do,
+    these stay and the catalogue fills what is null.
     ``lengths`` (video_id, length) states how many positions each transcript
     has, where that is known, as the catalogue records it; else it is counted.
     """
@@ -102,9 +105,11 @@ def enrich(
     in_use = blocks.blocks_in_use(lengths, "video_id", size=block_rows)
     if "block" not in rows.columns:
         rows = rows.withColumn("block", blocks.block_of("pos", block_rows))
-    return _with_defaults(
-        blocks.attach_by_block(rows, _catalogue_columns(episodes), in_use, "video_id")
-    )
+    own = [c for c in ("episode_title", "published_at") if c in rows.columns]
+    known = _catalogue_columns(episodes).withColumnsRenamed({c: f"_{c}" for c in own})
+    joined = blocks.attach_by_block(rows, known, in_use, "video_id")
+    joined = joined.withColumns({c: F.coalesce(c, f"_{c}") for c in own}).drop(*[f"_{c}" for c in own])
+    return _with_defaults(joined)
 
 
 def document_chunk_rows(transcripts: DataFrame, episodes: DataFrame) -> DataFrame:
@@ -203,9 +208,13 @@ def merge_short_chunks(
     block_rows: int = blocks.BLOCK_ROWS,
     fold_rows: int = FOLD_ROWS,
     maps_per_group: int = MAPS_PER_GROUP,
+    dense: bool = False,
 ) -> DataFrame:
     """Merge consecutive chunks of one speaker while they fit ``max_chars``.
 
+    Positions may have gaps, as after a filter: rows are consecutive by order.
+    ``dense`` says that there are none, which saves the numbering.
+
     ``rows`` are utterances, to which context is added on the way, or chunk rows
     that have ``previous`` and ``next`` already. The first row gives a merged
     chunk its index, start, previous context and speaker confidence; the last one
@@ -220,6 +229,11 @@ def merge_short_chunks(
     folds = max(block_rows // fold_rows, 1)
     size = folds * fold_rows
     plain = rows.drop("block") if "block" in rows.columns else rows
+    if not dense:
+        plain = blocks.with_dense_positions(plain, "video_id", "pos", "_at", size).withColumnsRenamed(
+            {"pos": "_pos", "_at": "pos"})
+    else:
+        plain = plain.withColumn("_pos", F.col("pos"))
     if "previous" in rows.columns:
         near = blocks.with_halo(plain, "pos", after=reach, size=size)
     else:
@@ -231,7 +245,7 @@ def merge_short_chunks(
         f" if(pos % {fold_rows} < {reach} and {home} > block * {folds}, {home} - 1, null)))"
     )
     item = F.struct(
-        "pos", "speaker", F.coalesce("transcript", F.lit("")).alias("text"), "start", "end",
+        "pos", "_pos", "speaker", F.coalesce("transcript", F.lit("")).alias("text"), "start", "end",
         "confidence", "speaker_confidence", "previous", "next",
     )
     arrays = (
@@ -274,7 +288,7 @@ def merge_short_chunks(
         .select("video_id", F.explode(stretches).alias("c"))
         .select("video_id", F.col("c")[0].alias("first"), "c")
         .select(
-            "video_id", "first.pos", "first.speaker",
+            "video_id", F.col("first._pos").alias("pos"), "first.speaker",
             F.array_join("c.text", " ").alias("transcript"),
             "first.start",
             F.element_at("c", -1)["end"].alias("end"),
@@ -298,7 +312,8 @@ def _fold_begins(
     slim = rows.select(
         "video_id", "pos",
         F.coalesce(F.length("transcript"), F.lit(0)).alias("chars"),
-        F.coalesce("speaker", F.lit(-1)).alias("speaker"),
+        # An absent speaker is a value that no id has.
+        F.coalesce(F.col("speaker").cast("bigint"), F.lit(-(1 << 63))).alias("speaker"),
     )
     full = slim.where(f"pos % {fold_rows} = {fold_rows - 1}").select(
         "video_id", F.expr(f"pos div {fold_rows}").alias("fold")
@@ -375,11 +390,12 @@ def fold_maps(
         full = np.searchsorted(ends, before + max_chars + 2, side="right")
         changes = np.append(np.flatnonzero(speakers[1:] != speakers[:-1]) + 1, n)
         same = changes[np.searchsorted(changes, here, side="right")]
-        following = np.maximum(np.minimum(full, same), here + 1).tolist()
-        leaves = list(range(n + 1))
-        for i in range(size - 1, -1, -1):
-            leaves[i] = leaves[following[i]]
-        return np.asarray(leaves[:reach], dtype=np.int32) - size
+        leaves = np.append(np.maximum(np.minimum(full, same), here + 1), n)
+        leaves[size:] = np.arange(size, n + 1)
+        # Each round doubles the steps taken; what has left the fold stays where it is.
+        for _ in range(size.bit_length()):
+            leaves = leaves[leaves]
+        return (leaves[:reach] - size).astype(np.int32)
 
     def tabulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -155,7 +155,8 @@ def speaker_prompts(
 ) -> DataFrame:
     """(video_id, prompt): the question a language model is asked about each episode.
 
-    ``hosts`` lists (name, speaking style). Answering is outside the library;
+    ``episodes`` are those to ask about; one whose sample shows no conversation is
+    asked about all the same. ``hosts`` lists (name, speaking style). Answering is outside the library;
     answers come back as a table, see ``operators.speakers``.
     """
     names = "\n".join(f"{i}. {name}" for i, (name, _) in enumerate(hosts, 1))
@@ -167,14 +168,16 @@ def speaker_prompts(
         '{"hosts": [{"name": "...", "confidence": 0.9, "mentioned_in": ["title"]}],'
         ' "guests": [{"name": "...", "confidence": 0.8, "mentioned_in": ["description"]}]}'
     )
+    hint = E.guest_hint("description")
     prompt = F.concat_ws(
         "\n\n",
         F.lit("Name the speakers of this recorded episode."),
         F.concat(F.lit("Title: "), F.coalesce("title", F.lit(""))),
         F.concat(F.lit("Description: "), F.coalesce("description", F.lit(""))),
-        F.nullif(E.guest_hint("description"), F.lit("")),
+        F.concat(F.lit("Announced guest (after \""), F.btrim(hint["phrase"]), F.lit("\"): "), hint["name"]),
         F.concat(F.lit("Transcript:\n"), F.coalesce("conversation", F.lit(""))),
         F.lit(people),
         F.lit(asked),
     )
-    return episodes.join(conversations, "video_id").select("video_id", prompt.alias("prompt"))
+    return episodes.join(conversations, "video_id", "left").select(
+        "video_id", prompt.alias("prompt"))

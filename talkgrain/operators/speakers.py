@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from talkgrain import schemas
 from talkgrain.functions import transcripts as X
-from talkgrain.plans import blocks
 
 # Samples kept per speaker, and the confidence of an unstated,
 # or an unknown, name.
@@ -31,6 +30,28 @@ def speaker_stats(utterances: DataFrame) -> DataFrame:
     )
 
 
+def stats_in_document(transcripts: DataFrame, size: int = SAMPLES_PER_SPEAKER) -> DataFrame:
+    """Statistics and samples of each speaker straight from transcript documents, without a shuffle.
+
+    Gives (video_id, speaker, utterance_count, first_pos, speaker_tag, samples).
+    """
+    said = "filter(coalesce(results.utterances, array()), u -> u.speaker is not null)"
+    who = "array_distinct(transform(said, u -> u.speaker))"
+    rows = transcripts.select(
+        F.col("episode_metadata.video_id").alias("video_id"),
+        F.expr("coalesce(results.utterances, array())").alias("us"), F.expr(said).alias("said"),
+    ).select("video_id", "us", "said", F.explode(F.expr(who)).alias("speaker"))
+    own = "filter(said, u -> u.speaker = speaker)"
+    return rows.select("video_id", "speaker", F.expr(own).alias("own"), "us").select(
+        "video_id", "speaker", F.size("own").cast("bigint").alias("utterance_count"),
+        F.expr("cast(array_position(transform(us, u -> u.speaker), speaker) - 1 as bigint)")
+        .alias("first_pos"),
+        X.speaker_tag("speaker").alias("speaker_tag"),
+        F.expr(f"slice(transform(filter(own, u -> u.transcript is not null), u -> u.transcript), 1, {size})")
+        .alias("samples"),
+    )
+
+
 def speaker_samples(utterances: DataFrame, size: int = SAMPLES_PER_SPEAKER) -> DataFrame:
     """The first ``size`` texts of each speaker, in order.
 
@@ -75,11 +96,8 @@ def document_stats(transcripts: DataFrame) -> DataFrame:
 
 def ranked_speakers(stats: DataFrame) -> DataFrame:
     """Most talkative first, ties by first appearance."""
-    blocks_of_order = F.struct(-F.col("utterance_count"), blocks.block_of("first_pos"))
-    return blocks.with_rank(
-        stats, "video_id", blocks_of_order, (F.desc("utterance_count"), F.asc("first_pos")),
-        "speaker_rank",
-    )
+    order = Window.partitionBy("video_id").orderBy(F.desc("utterance_count"), F.asc("first_pos"))
+    return stats.withColumn("speaker_rank", F.row_number().over(order).cast("bigint"))
 
 
 # -- answers -----------------------------------------------------------------
@@ -141,13 +159,10 @@ def assign_names(stats: DataFrame, candidates: DataFrame) -> DataFrame:
     hosted = ranked.join(of("host"), ["video_id", "_rank"], "left").drop("_rank")
     unnamed = F.col("host_name").isNull()
     # Counted over all speakers, a speaker's rank among the unnamed ones so far.
-    placed = blocks.with_running_totals(
-        hosted.withColumn("_block", blocks.block_of("first_pos")),
-        "video_id", "_block", ("first_pos",), {"_free": F.when(unnamed, 1).otherwise(0)},
-    )
-    both = placed.withColumn(
-        "_rank", F.when(unnamed, F.col("_free") + 1).otherwise(0)
-    ).join(of("guest"), ["video_id", "_rank"], "left")
+    so_far = Window.partitionBy("video_id").orderBy("first_pos")
+    free = F.sum(F.when(unnamed, 1).otherwise(0)).over(so_far)
+    both = hosted.withColumn("_rank", F.when(unnamed, free).otherwise(0)).join(
+        of("guest"), ["video_id", "_rank"], "left")
     is_guest = unnamed & F.col("guest_name").isNotNull()
     is_unknown = unnamed & F.col("guest_name").isNull()
     unknown = F.concat(F.lit("Unknown Speaker "), F.col("speaker").cast("string"))
@@ -174,13 +189,19 @@ def with_role(assigned: DataFrame) -> DataFrame:
 # -- maps on the catalogue ---------------------------------------------------
 
 def speakers_map(assigned: DataFrame) -> DataFrame:
-    """(video_id, speakers): assigned speakers folded into a map by speaker id."""
+    """(video_id, speakers): assigned speakers folded into a map by speaker id.
+
+    A speaker given more than once keeps the entry with the most utterances.
+    """
     entry = F.struct(
         F.col("speaker").cast("string").alias("key"),
         F.struct("name", "utterance_count", "confidence", "is_guest", "is_unknown",
                  "identified_by_llm").alias("value"),
     )
-    return assigned.groupBy("video_id").agg(
+    fields = ("name", "utterance_count", "confidence", "is_guest", "is_unknown", "identified_by_llm")
+    once = assigned.groupBy("video_id", "speaker").agg(
+        F.max_by(F.struct(*fields), F.struct("utterance_count", "name")).alias("e"))
+    return once.select("video_id", "speaker", "e.*").groupBy("video_id").agg(
         F.map_from_entries(F.collect_list(entry)).alias("speakers")
     )
 

@@ -12,23 +12,22 @@ from talkgrain.plans import blocks
 RULE = "=" * 80
 NO_DATA = "No transcript data found"
 
-# Blocks of words joined into one row of a turn.
-BLOCKS_PER_PART = 16
+# The labels of the header lines.
+TITLE, VIDEO, PUBLISHED = "# ", "Video ID: ", "Published: "
+DURATION, TRANSCRIBED, COVERAGE = "Duration: ", "Transcript Duration: ", "Coverage: "
 
 
 def speaker_turns(
     words: DataFrame,
     *,
     block_rows: int = blocks.BLOCK_ROWS,
-    blocks_per_part: int = BLOCKS_PER_PART,
 ) -> DataFrame:
-    """Maximal runs of words by one speaker.
+    """Maximal runs of words by one speaker, one row each.
 
-    Gives (video_id, block, turn_pos, part, speaker, start, words, text), where
-    ``turn_pos`` is the position of the first word. An absent speaker is a value
-    of its own. A turn is one row, ``part`` 0, unless it runs on for more than
-    ``blocks_per_part`` blocks (a million words); then it continues in parts 1,
-    2, ..., because a text of unbounded length fits no row and no task.
+    Gives (video_id, block, turn_pos, speaker, start, words, text), where
+    ``turn_pos`` is the position of the first word and ``block`` its block. An
+    absent speaker is a value of its own. Row form, for recordings of any
+    length; see :func:`turns_in_document`.
 
     Texts are joined within each block first, on the partitioning of the block
     windows; only those pieces are shuffled to build whole turns, and the result
@@ -50,16 +49,12 @@ def speaker_turns(
         F.min_by("start", "pos").alias("start"),
         F.count("*").alias("words"),
     )
-    first = f"turn_pos div {block_rows}"
-    part = f"(block - {first}) div {blocks_per_part}"
     return (
         pieces.withColumns({
-            "piece": F.col("block"),
-            "part": F.expr(part),
-            "block": F.expr(f"{first} + {part} * {blocks_per_part}"),
+            "piece": F.col("block"), "block": F.expr(f"turn_pos div {block_rows}"),
         })
         .repartition("video_id", "block")
-        .groupBy("video_id", "block", "turn_pos", "part")
+        .groupBy("video_id", "block", "turn_pos")
         .agg(
             F.any_value("speaker").alias("speaker"),
             F.min_by("start", "piece").alias("start"),
@@ -74,15 +69,47 @@ def _joined(order: str, text: str) -> Column:
     return F.array_join(F.transform(ordered, lambda x: x[text]), " ")
 
 
-def names_by_video(speakers: DataFrame) -> DataFrame:
-    """(video_id, names): speaker id to name, from a (video_id, speaker, name) table."""
-    pairs = F.collect_list(F.struct("speaker", "name"))
+def turns_in_document(transcripts: DataFrame) -> DataFrame:
+    """The same turns straight from transcript documents, without any shuffle.
+
+    Gives (video_id, turn_pos, speaker, start, words, text) for the words of the
+    first alternative of the first channel. Also runs on a stream.
+    """
+    listed = "coalesce(get(get(results.channels, 0).alternatives, 0).words, array())"
+    opens = ("filter(transform(ws, (w, i) -> if(i = 0 or not"
+             " (w.speaker <=> get(ws, i - 1).speaker), i, null)), i -> i is not null)")
+    turn = (
+        "transform(at, (p, i) -> named_struct('turn_pos', cast(p as bigint),"
+        " 'speaker', ws[p].speaker, 'start', coalesce(ws[p].start, 0D),"
+        " 'ws', slice(ws, p + 1, coalesce(get(at, i + 1), size(ws)) - p)))"
+    )
     return (
-        speakers.where("speaker is not null and name is not null")
-        .groupBy("video_id").agg(F.map_from_entries(pairs).alias("names"))
+        transcripts.select(F.col("episode_metadata.video_id").alias("video_id"),
+                           F.expr(listed).alias("ws"))
+        .where("size(ws) > 0")
+        .select("video_id", "ws", F.expr(opens).alias("at"))
+        .select("video_id", F.explode(F.expr(turn)).alias("t"))
+        .select(
+            "video_id", "t.turn_pos", "t.speaker", "t.start",
+            F.size("t.ws").cast("bigint").alias("words"),
+            F.array_join(F.expr(
+                "transform(t.ws, w -> coalesce(w.punctuated_word, w.word, ''))"), " ").alias("text"),
+        )
     )
 
 
+def names_by_video(speakers: DataFrame) -> DataFrame:
+    """(video_id, names): speaker id to name, from a (video_id, speaker, name) table.
+
+    A speaker listed more than once gets one of its names, the last in
+    alphabetical order.
+    """
+    once = speakers.where("speaker is not null and name is not null").groupBy(
+        "video_id", "speaker").agg(F.max("name").alias("name"))
+    pairs = F.collect_list(F.struct("speaker", "name"))
+    return once.groupBy("video_id").agg(F.map_from_entries(pairs).alias("names"))
+
+
 def name_turns(
     turns: DataFrame,
     names: DataFrame,
@@ -108,17 +135,17 @@ def header_lines(episodes: DataFrame) -> DataFrame:
     timed = "coalesce(transcript_duration, 0) <> 0 and coalesce(metadata.duration_seconds, 0) <> 0"
     covered = f"{timed} and coalesce(metadata.transcript_coverage, 0) <> 0"
     lines = F.array(
-        F.concat(F.lit("# "), "title"),
-        F.concat(F.lit("Video ID: "), "video_id"),
-        F.concat(F.lit("Published: "), F.date_format("published_at", "yyyy-MM-dd")),
+        F.concat(F.lit(TITLE), "title"),
+        F.concat(F.lit(VIDEO), "video_id"),
+        F.concat(F.lit(PUBLISHED), F.date_format("published_at", "yyyy-MM-dd")),
         F.when(F.expr(timed), F.concat(
-            F.lit("Duration: "), F.coalesce("duration", F.lit("None")), F.lit(" ("),
+            F.lit(DURATION), F.coalesce("duration", F.lit("None")), F.lit(" ("),
             F.col("metadata.duration_seconds").cast("string"), F.lit(" seconds)"))),
         F.when(F.expr(timed), F.concat(
-            F.lit("Transcript Duration: "), X.two_decimals("transcript_duration"),
+            F.lit(TRANSCRIBED), X.two_decimals("transcript_duration"),
             F.lit(" seconds"))),
         F.when(F.expr(covered), F.concat(
-            F.lit("Coverage: "), F.col("metadata.transcript_coverage").cast("string"),
+            F.lit(COVERAGE), F.col("metadata.transcript_coverage").cast("string"),
             F.lit("%"))),
         F.lit(""),
         F.lit(RULE),
@@ -128,12 +155,11 @@ def header_lines(episodes: DataFrame) -> DataFrame:
     return numbered.select("video_id", (F.col("i") - 100).cast("bigint").alias("line_no"), "line")
 
 
-def render_turns(named_turns: DataFrame, *, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+def render_turns(named_turns: DataFrame) -> DataFrame:
     """Turn lines (video_id, line_no, line); line_no is where in the words they begin."""
     return named_turns.select(
         "video_id",
-        F.when(F.col("part") == 0, F.col("turn_pos"))
-        .otherwise(F.col("block") * block_rows).alias("line_no"),
+        F.col("turn_pos").alias("line_no"),
         X.turn_line("start", "name", "text").alias("line"),
     )
 
@@ -158,7 +184,7 @@ def readable_transcript(
     names = transcribed.select("video_id").join(names_by_video(speakers), "video_id", "left")
     turns = speaker_turns(words, block_rows=block_rows)
     named = name_turns(turns, names, lengths, how="inner", block_rows=block_rows)
-    lines = render_turns(named, block_rows=block_rows)
+    lines = render_turns(named)
     silent = transcribed.join(lengths.where("length > 0"), "video_id", "left_anti").select(
         "video_id", F.lit(0).cast("bigint").alias("line_no"), F.lit(NO_DATA).alias("line")
     )

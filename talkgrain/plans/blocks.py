@@ -124,18 +124,13 @@ def with_running_totals(
     )
 
 
-def with_rank(
-    df: DataFrame, key: str, block: Column, order: Sequence[Column | str], name: str
-) -> DataFrame:
-    """Add the 1-based rank per key in ``order``, which must be total.
-
-    ``block`` cuts that order: it never decreases along it, and few rows share a
-    value, so no task ranks all the rows of a key.
-    """
-    ranked = with_running_totals(
-        df.withColumn("_block", block), key, "_block", order, {name: F.lit(1).cast("bigint")}
+def with_dense_positions(df: DataFrame, key: str, pos: str, name: str, size: int = BLOCK_ROWS) -> DataFrame:
+    """Add the 0-based rank of integer position ``pos``, which may have gaps, per key."""
+    counted = with_running_totals(
+        df.withColumn("_dense", block_of(pos, size)), key, "_dense", (pos,),
+        {name: F.lit(1).cast("bigint")},
     )
-    return ranked.withColumn(name, F.col(name) + 1).drop("_block")
+    return counted.drop("_dense")
 
 
 def with_run_start(
@@ -202,16 +197,3 @@ def attach_by_block(
     side keeps its partitioning and is not shuffled again.
     """
     return df.join(in_use.join(small, key), [key, block], how)
-
-
-def attach_salted(
-    df: DataFrame, small: DataFrame, key: str, by: str, *, how: str = "left", parts: int = 64
-) -> DataFrame:
-    """Join ``small`` (one row per key) to unordered rows, a hot key in ``parts``.
-
-    The part comes from another column, ``by``, so it is the same on a retry.
-    ``small`` is repeated only for the parts its key uses, once for a rare key.
-    """
-    salted = df.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(parts)))
-    in_use = salted.select(key, "_part").distinct()
-    return salted.join(in_use.join(small, key), [key, "_part"], how).drop("_part")

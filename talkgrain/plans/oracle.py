@@ -20,7 +20,19 @@ _SECONDS = (
 )
 _NULL_COLUMNS = (
     "cast(NULL AS VARCHAR) AS transcript_filename, cast(NULL AS DOUBLE) AS transcript_duration,"
-    " cast(NULL AS BIGINT) AS transcript_utterances, cast(NULL AS VARCHAR) AS speaker_ids"
+    " cast(NULL AS BIGINT) AS transcript_utterances, cast(NULL AS BIGINT) AS speaker_count,"
+    " cast(NULL AS VARCHAR) AS speaker_ids"
+)
+# The columns of a catalogue row; the fetched part of it, and what stages add.
+_FETCHED = (
+    "video_id, title, description, published_at, channel_id, channel_title, tags, duration,"
+    " view_count, like_count, comment_count, thumbnail_url, webm_filename, audio_filename"
+)
+_ADDED = "transcript_filename, transcript_duration, transcript_utterances, speaker_count, speaker_ids"
+_ROW = (
+    f"{_FETCHED.replace('published_at', _ISO.format('published_at') + ' AS published_at')}, {_ADDED},"
+    " cast(NULL AS VARCHAR) AS \"type\", cast(NULL AS BIGINT) AS duration_seconds,"
+    " cast(NULL AS DOUBLE) AS coverage"
 )
 
 _VIEWS: dict[str, str] = {
@@ -58,7 +70,8 @@ _VIEWS: dict[str, str] = {
     "episodes": f"""
         SELECT cast(doc_id AS VARCHAR) AS video_id, substr(text, 1, 60) AS title,
           text AS description, TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id) AS published_at,
-          source AS channel_id, CASE WHEN n_chars % 4 = 0 THEN '' ELSE lang END AS tags,
+          source AS channel_id, 'Channel ' || source AS channel_title,
+          CASE WHEN n_chars % 4 = 0 THEN '' ELSE lang END AS tags,
           'PT' || n_chars // 3600 || 'H' || (n_chars % 3600) // 60 || 'M' || n_chars % 60 || 'S'
             AS duration,
           n_chars * 10 AS view_count,
@@ -86,7 +99,7 @@ _VIEWS: dict[str, str] = {
         SELECT t.*, CASE WHEN f.n_lines IS NOT NULL THEN t.video_id || '.json' END
             AS transcript_filename,
           cast(f.n_line_chars * 60 AS DOUBLE) / 1000 AS transcript_duration,
-          f.n_lines AS transcript_utterances,
+          f.n_lines AS transcript_utterances, cast(NULL AS BIGINT) AS speaker_count,
           f.n_user, f.n_assistant, f.n_system,
           CASE WHEN n_system > 0 THEN concat_ws(',', CASE WHEN n_user > 0 THEN '0' END,
             CASE WHEN n_assistant > 0 THEN '1' END, '2') END AS speaker_ids
@@ -102,14 +115,14 @@ _VIEWS: dict[str, str] = {
         SELECT DISTINCT conv_id || '.json' FROM conversations WHERE role = 'assistant'""",
     "updates": f"""
         SELECT e.video_id, 'Updated ' || coalesce(l.quality, 0) || ': ' || e.title AS title,
-          e.published_at, e.channel_id, e.tags, e.duration, e.view_count, e.like_count,
-          e.comment_count, e.thumbnail_url, e.audio_filename, {_NULL_COLUMNS},
-          l.doc_id AS ordinal
+          e.description, e.published_at, e.channel_id, e.channel_title, e.tags, e.duration,
+          e.view_count, e.like_count, e.comment_count, e.thumbnail_url, e.webm_filename,
+          e.audio_filename, {_NULL_COLUMNS}, l.doc_id AS ordinal
         FROM episodes e JOIN labels l ON e.video_id = cast(l.doc_id AS VARCHAR)
         UNION ALL
         SELECT 'new-' || item_id, 'Take ' || take || ': ' || substr(text, 1, 40),
-          TIMESTAMP '2025-01-01 00:00:00' + to_hours(item_id), 'bench', '',
-          'PT' || length(text) || 'S', length(text), NULL, NULL, NULL, NULL, {_NULL_COLUMNS},
+          text, TIMESTAMP '2025-01-01 00:00:00' + to_hours(item_id), 'bench', 'Channel bench', '',
+          'PT' || length(text) || 'S', length(text), NULL, NULL, NULL, NULL, NULL, {_NULL_COLUMNS},
           item_id * 10 + take
         FROM benchmark CROSS JOIN (SELECT unnest([1, 2]) AS take)""",
     "latest_updates": """
@@ -174,24 +187,61 @@ _VIEWS: dict[str, str] = {
                 ORDER BY first_pos) AS free_rank FROM hosted) h
         LEFT JOIN candidates g ON g.kind = 'guest' AND h.host_name IS NULL
           AND g.video_id = h.video_id AND g.name_rank = h.free_rank""",
+    "forms": """
+        SELECT *, 'whole' AS form FROM conversations
+        UNION ALL
+        SELECT *, unnest(['broken', 'bare', 'undated']) FROM conversations WHERE role = 'system'""",
     "docs": f"""
-        SELECT *, conv_id || '-' || turn || '.json' AS file_name, {_LINES} AS ls,
-          role = 'system' AS rejected,
-          CASE WHEN turn % 2 = 0 AND role <> 'system' THEN conv_id || '-' || turn END AS video_id,
+        SELECT *, conv_id || '-' || turn || CASE WHEN form = 'whole' THEN '' ELSE '-' || form END
+            || '.json' AS file_name, {_LINES} AS ls, form = 'broken' AS rejected,
+          CASE WHEN form IN ('whole', 'undated') THEN conv_id || '-' || turn END AS video_id,
           TIMESTAMP '2024-01-01 00:00:00' + to_hours(conv_id) AS published_at
-        FROM conversations""",
+        FROM forms""",
     "doc_lines": f"""
-        SELECT video_id, file_name, turn, published_at,
+        SELECT video_id, file_name, form, turn, published_at,
           unnest(range(0, len(ls))) AS pos, unnest(ls) AS transcript, conv_id,
           {_SPEAKER} AS speaker
         FROM docs WHERE NOT rejected""",
     "doc_utterances": """
-        SELECT video_id, file_name, pos, transcript, cast(pos * 5 AS DOUBLE) AS "start",
+        SELECT video_id, file_name, form, pos, transcript, cast(pos * 5 AS DOUBLE) AS "start",
           cast(pos * 5 AS DOUBLE) + 4.5::DOUBLE AS "end", speaker,
           CASE WHEN pos % 3 = 0 THEN NULL ELSE 0.5::DOUBLE END AS speaker_confidence,
           cast((conv_id * 31 + pos * 17) % 101 AS DOUBLE) / 100 AS confidence,
           turn, published_at
         FROM doc_lines""",
+    "doc_words": f"""
+        SELECT video_id, file_name, form, pos, lower(token) AS word,
+          CASE WHEN pos % 9 = 4 THEN NULL ELSE token END AS punctuated_word,
+          cast(pos AS DOUBLE) / 2 AS "start",
+          cast(CASE WHEN pos // 6 % 3 = 2 THEN NULL ELSE who + pos // 6 % 3 END AS INTEGER) AS speaker
+        FROM (SELECT video_id, file_name, form, {_SPEAKER} AS who,
+                unnest(range(0, len(ts))) AS pos, unnest(ts) AS token
+              FROM (SELECT *, {_TOKENS.format("replace(text, chr(10), ' ')")} AS ts FROM docs
+                    WHERE NOT rejected))""",
+    "doc_runs": """
+        SELECT *, sum(opens) OVER (PARTITION BY file_name ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run
+        FROM (SELECT *, CASE WHEN row_number() OVER w = 1 OR speaker IS DISTINCT FROM
+                lag(speaker) OVER w THEN 1 ELSE 0 END AS opens
+              FROM doc_words WHERE form = 'whole' WINDOW w AS (PARTITION BY file_name ORDER BY pos))""",
+    "long": f"""
+        SELECT *, cast(pos * 2 AS DOUBLE) AS "start", cast(pos * 2 AS DOUBLE) + 1.5::DOUBLE AS "end",
+          cast(pos * 17 % 101 AS DOUBLE) / 100 AS confidence,
+          CASE WHEN pos % 5 = 0 THEN NULL ELSE cast(pos * 7 % 10 AS DOUBLE) / 10 END
+            AS speaker_confidence
+        FROM (SELECT 'long-' || conv_id % 3 AS video_id, {_SPEAKER} AS speaker, transcript,
+                row_number() OVER (PARTITION BY conv_id % 3 ORDER BY conv_id, turn, line) - 1 AS pos
+              FROM lines)""",
+    "long_context": f"""
+        SELECT *, coalesce({_SNIP.format('before')}, '') AS previous,
+          coalesce({_SNIP.format('after')}, '') AS "next"
+        FROM (SELECT *, lag(transcript) OVER w AS before, lead(transcript) OVER w AS after
+              FROM long WINDOW w AS (PARTITION BY video_id ORDER BY pos))""",
+    "long_runs": """
+        SELECT *, sum(opens) OVER (PARTITION BY video_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run
+        FROM (SELECT *, CASE WHEN row_number() OVER w = 1 OR who IS DISTINCT FROM
+                lag(who) OVER w THEN 1 ELSE 0 END AS opens
+              FROM (SELECT *, nullif(speaker, 2) AS who FROM long)
+              WINDOW w AS (PARTITION BY video_id ORDER BY pos))""",
     "context": f"""
         SELECT *,
           coalesce({_SNIP.format('before')}, '') AS previous,
@@ -288,25 +338,27 @@ _VIEWS: dict[str, str] = {
                 THEN trim(substr(line, strpos(line, ':') + 1), {_SPACE})
               ELSE '' END, '' ORDER BY i) AS "text"
           FROM talk_lines WHERE grp > 0 GROUP BY video_id, grp) WHERE "text" <> ''""",
-    "hints": "SELECT video_id, coalesce("
+    "hints": "SELECT video_id, hint.phrase AS phrase, hint.name AS name FROM (SELECT video_id, coalesce("
     + ", ".join(
         f"CASE WHEN length(trim(string_split_regex(string_split(lower(description), '{p}')[2],"
-        f" '[.,!]')[1], {_SPACE})) > 3 THEN"
-        f" 'The description mentions someone after ''{p}'': '''"
-        f" || trim(string_split_regex(string_split(lower(description), '{p}')[2],"
-        f" '[.,!]')[1], {_SPACE}) || '''' END"
+        f" '[.,!]')[1], {_SPACE})) > 3 THEN {{'phrase': '{p}', 'name':"
+        f" trim(string_split_regex(string_split(lower(description), '{p}')[2],"
+        f" '[.,!]')[1], {_SPACE})}} END"
         for p in ("with ", "featuring ", "guest ", "welcomes ")
     )
-    + ", '') AS hint FROM episodes",
+    + ") AS hint FROM episodes)",
     "items": f"""
-        SELECT cast(doc_id AS VARCHAR) AS video_id, substr(text, 1, 60) AS title,
+        SELECT cast(doc_id AS VARCHAR) AS video_id, substr(text, 1, 60) AS title, text AS description,
           {_ISO.format("TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id)")} AS published_at,
-          source AS channel_id, CASE WHEN n_chars % 4 = 0 THEN '' ELSE lang END AS tags,
+          source AS channel_id, 'Channel ' || source AS channel_title, CASE WHEN n_chars % 4 = 0 THEN '' ELSE lang END AS tags,
           'PT' || n_chars || 'S' AS duration,
           CASE WHEN doc_id % 13 = 0 THEN 0 ELSE n_chars * 10 END AS view_count,
           CASE WHEN doc_id % 7 = 0 THEN NULL ELSE n_chars END AS like_count,
           CASE WHEN doc_id % 11 = 0 THEN NULL ELSE doc_id % 97 END AS comment_count,
-          'https://img.example/' || doc_id || '.jpg' AS thumbnail_url
+          'https://img.example/' || doc_id || '.jpg' AS thumbnail_url,
+          cast(NULL AS VARCHAR) AS webm_filename, cast(NULL AS VARCHAR) AS audio_filename,
+          {_NULL_COLUMNS}, cast(NULL AS VARCHAR) AS "type", cast(NULL AS BIGINT) AS duration_seconds,
+          cast(NULL AS DOUBLE) AS coverage
         FROM documents""",
     "chunked": f"""
         SELECT u.video_id || '_' || u.pos AS chunk_id, u.video_id, u.pos AS chunk_index,
@@ -316,8 +368,11 @@ _VIEWS: dict[str, str] = {
           round(u.confidence, 3) AS confidence_score, e.title AS episode_title,
           {_ISO.format('e.published_at')} AS published_at,
           coalesce(e."type", 'UNKNOWN') AS episode_type, e.duration_seconds AS episode_duration,
-          length(coalesce(e.description, '')) AS description_chars, coalesce(e.tags, '') AS tags,
-          e.view_count, e.like_count AS likes, e.comment_count AS comments,
+          coalesce(e.description, '') AS episode_description, u."start" AS "timestamp",
+          coalesce(e.tags, '') AS tags, e.view_count, e.like_count, e.comment_count,
+          round(u."end" - u."start", 2) AS metadata_seconds,
+          coalesce(e."type", 'UNKNOWN') AS metadata_type,
+          e.view_count AS views, e.like_count AS likes, e.comment_count AS comments,
           u.previous, u."next", cast(year(e.published_at) AS INTEGER) AS "year", cast(month(e.published_at) AS INTEGER) AS "month",
           cast(day(e.published_at) AS INTEGER) AS "day",
           CASE WHEN u.confidence > 0.9 THEN 'high' WHEN u.confidence > 0.7 THEN 'medium'
@@ -329,8 +384,8 @@ _VIEWS: dict[str, str] = {
           coalesce({_SNIP.format('before')}, '') AS previous,
           coalesce({_SNIP.format('after')}, '') AS "next"
         FROM (SELECT *, lag(transcript) OVER w AS before, lead(transcript) OVER w AS after
-              FROM doc_utterances WINDOW w AS (PARTITION BY file_name ORDER BY pos))
-        WHERE video_id IS NOT NULL""",
+              FROM doc_utterances WHERE form = 'whole'
+              WINDOW w AS (PARTITION BY file_name ORDER BY pos))""",
     "doc_chunked": f"""
         SELECT u.video_id || '_' || u.pos AS chunk_id, u.video_id, u.pos AS chunk_index,
           u.transcript AS content, u."start" AS start_time, u."end" AS end_time,
@@ -339,61 +394,68 @@ _VIEWS: dict[str, str] = {
           round(u.confidence, 3) AS confidence_score, 'Part ' || u.turn AS episode_title,
           {_ISO.format('u.published_at')} AS published_at,
           coalesce(e."type", 'UNKNOWN') AS episode_type, e.duration_seconds AS episode_duration,
-          length(coalesce(e.description, '')) AS description_chars, coalesce(e.tags, '') AS tags,
-          e.view_count, e.like_count AS likes, e.comment_count AS comments,
+          coalesce(e.description, '') AS episode_description, u."start" AS "timestamp",
+          coalesce(e.tags, '') AS tags, e.view_count, e.like_count, e.comment_count,
+          round(u."end" - u."start", 2) AS metadata_seconds,
+          coalesce(e."type", 'UNKNOWN') AS metadata_type,
+          e.view_count AS views, e.like_count AS likes, e.comment_count AS comments,
           u.previous, u."next", cast(year(u.published_at) AS INTEGER) AS "year", cast(month(u.published_at) AS INTEGER) AS "month",
           cast(day(u.published_at) AS INTEGER) AS "day",
           CASE WHEN u.confidence > 0.9 THEN 'high' WHEN u.confidence > 0.7 THEN 'medium'
             ELSE 'low' END AS confidence_tier,
           coalesce(e.tags, '') <> '' AS has_tags
-        FROM doc_context u LEFT JOIN typed e ON u.video_id = e.video_id || '-0'""",
-    "merging": """
+        FROM doc_context u LEFT JOIN typed e ON split_part(u.video_id, '-', 1) = e.video_id""",
+    "merging": "{utterances} {512}",
+    "merged": "{merging}",
+    "long_merging": "{long} {40}",
+    "long_merged": "{long_merging}",
+    "thinned": """
+        SELECT * REPLACE (row_number() OVER (PARTITION BY video_id ORDER BY pos) - 1 AS pos), pos AS at
+        FROM utterances WHERE pos % 4 <> 2""",
+    "thin_merging": "{thinned} {512}",
+    "thin_merged": "{thin_merging}",
+    "upserted": f"""
+        SELECT {_ROW} FROM (
+          SELECT {_FETCHED}, {_ADDED} FROM latest_updates
+          UNION ALL
+          SELECT {_FETCHED}, {_ADDED} FROM catalogue
+          WHERE video_id NOT IN (SELECT video_id FROM updates))""",
+}
+for _name in ("sections", "sample_lines", "used", "kept", "section_chars", "sampled", "samples"):
+    _body = re.sub(r"\b(FROM|JOIN) (sections|sample_lines|used|kept|section_chars|sampled)\b",
+                   r"\1 long_\2", _VIEWS[_name])
+    _VIEWS[f"long_{_name}"] = re.sub(r"\butterances\b", "long", _body).replace(
+        "FROM facts f", "FROM (SELECT DISTINCT video_id FROM long) f")
+_VIEWS["transcribed_header"] = _VIEWS["header"].replace(
+    "{where}", "WHERE transcript_filename IS NOT NULL"
+)
+_VIEWS["header"] = _VIEWS["header"].replace("{where}", "")
+
+
+
+def _merging(name: str, rows: str, most: int) -> str:
+    return f"""
         SELECT video_id, pos, pos AS first_pos, speaker, transcript AS "text", confidence
-        FROM utterances WHERE pos = 0
+        FROM {rows} WHERE pos = 0
         UNION ALL
         SELECT u.video_id, u.pos,
           CASE WHEN fits THEN m.first_pos ELSE u.pos END, u.speaker,
           CASE WHEN fits THEN m."text" || ' ' || u.transcript ELSE u.transcript END,
           CASE WHEN fits THEN (m.confidence + u.confidence) / 2 ELSE u.confidence END
-        FROM merging m JOIN utterances u ON u.video_id = m.video_id AND u.pos = m.pos + 1,
+        FROM {name} m JOIN {rows} u ON u.video_id = m.video_id AND u.pos = m.pos + 1,
           LATERAL (SELECT u.speaker IS NOT DISTINCT FROM m.speaker
-            AND length(m."text") + length(u.transcript) <= 512 AS fits)""",
-    "merged": """
+            AND length(m."text") + length(u.transcript) <= {most} AS fits)"""
+
+
+for _name, _rows, _most in (("merging", "utterances", 512), ("long_merging", "long", 40),
+                            ("thin_merging", "thinned", 512)):
+    _VIEWS[_name] = _merging(_name, _rows, _most)
+    _VIEWS[_name.replace("merging", "merged")] = f"""
         SELECT video_id, first_pos, max(pos) AS last_pos, arg_max("text", pos) AS "text",
           arg_max(confidence, pos) AS confidence
-        FROM merging GROUP BY video_id, first_pos""",
-    "upserted": f"""
-        SELECT video_id, title, {_ISO.format('published_at')} AS published_at, channel_id, tags,
-          duration, view_count, like_count, comment_count, thumbnail_url, audio_filename,
-          transcript_filename, transcript_duration, transcript_utterances, speaker_ids
-        FROM (
-          SELECT video_id, title, published_at, channel_id, tags, duration, view_count,
-            like_count, comment_count, thumbnail_url, audio_filename, transcript_filename,
-            transcript_duration, transcript_utterances, speaker_ids FROM latest_updates
-          UNION ALL
-          SELECT video_id, title, published_at, channel_id, tags, duration, view_count,
-            like_count, comment_count, thumbnail_url, audio_filename, transcript_filename,
-            transcript_duration, transcript_utterances, speaker_ids FROM catalogue
-          WHERE video_id NOT IN (SELECT video_id FROM updates))""",
-    "map_entries": """
-        SELECT video_id, k, name, n FROM (
-          SELECT video_id, unnest(['0', '1', '2']) AS k,
-            unnest(['Unknown Speaker 0', 'Unknown Speaker 1', 'Unknown Speaker 2']) AS name,
-            unnest([n_user, n_assistant, n_system]) AS n
-          FROM catalogue WHERE n_system > 0)
-        WHERE n > 0
-          AND (video_id, k) NOT IN
-            (SELECT video_id, cast(speaker AS VARCHAR) FROM assigned WHERE is_guest)
-        UNION ALL
-        SELECT video_id, cast(speaker AS VARCHAR), name, utterance_count
-        FROM assigned WHERE is_guest""",
-}
-_VIEWS["transcribed_header"] = _VIEWS["header"].replace(
-    "{where}", "WHERE transcript_filename IS NOT NULL"
-)
-_VIEWS["header"] = _VIEWS["header"].replace("{where}", "")
+        FROM {_name} GROUP BY video_id, first_pos"""
 
-_RECURSIVE = {"merging"}
+_RECURSIVE = {"merging", "long_merging", "thin_merging"}
 
 
 def _sql(body: str) -> str:
@@ -414,51 +476,41 @@ def _sql(body: str) -> str:
     return word + " " + ",\n".join(f"{n} AS ({_VIEWS[n]})" for n in needed) + "\n" + body
 
 
-_EPISODE_FIELDS = (
-    f"video_id, title, {_ISO.format('published_at')} AS published_at, channel_id, tags, duration,"
-    " view_count, like_count, comment_count, thumbnail_url, audio_filename, transcript_filename,"
-    " transcript_duration, transcript_utterances, speaker_ids"
-)
-
 _BODIES: dict[str, str] = {
-    "scan_episodes": f"SELECT {_EPISODE_FIELDS} FROM catalogue",
-    "catalogue_version": "SELECT video_id, \"type\", duration_seconds, speaker_ids FROM catalogue",
-    "dedup_catalogue_last": """
-        SELECT video_id, title, duration FROM latest_updates
-        UNION ALL
-        SELECT video_id, title, duration FROM catalogue
-        WHERE video_id NOT IN (SELECT video_id FROM updates)""",
+    "scan_episodes": f"SELECT {_ROW} FROM catalogue",
+    "scan_catalogue_lines": f"SELECT {_ROW} FROM catalogue",
+    "catalogue_version": f"""
+        SELECT r.* REPLACE (t."type" AS "type", t.duration_seconds AS duration_seconds)
+        FROM (SELECT {_ROW} FROM catalogue) r JOIN typed t USING (video_id)""",
+    "dedup_catalogue_last": "SELECT * FROM upserted",
     "scan_transcripts": """
         SELECT file_name, rejected,
           CASE WHEN NOT rejected THEN cast(len(ls) * 5 AS DOUBLE) END AS duration,
           video_id, CASE WHEN NOT rejected THEN len(ls) END AS utterances
         FROM docs""",
     "rejected_transcripts": """
-        SELECT file_name, CASE WHEN rejected THEN 'not JSON' ELSE 'no episode metadata' END
-          AS reason
-        FROM docs WHERE rejected OR video_id IS NULL""",
+        SELECT file_name, CASE form WHEN 'broken' THEN 'not JSON' WHEN 'bare' THEN 'no episode metadata'
+            ELSE 'unreadable date' END AS reason
+        FROM docs WHERE form <> 'whole'""",
     "explode_utterances": """
         SELECT video_id, file_name, pos, transcript, "start", "end", speaker,
           speaker_confidence, confidence
         FROM doc_utterances""",
-    "explode_words": f"""
-        SELECT video_id, file_name, pos, lower(token) AS word,
-          CASE WHEN pos % 9 = 4 THEN NULL ELSE token END AS punctuated_word,
-          cast(pos AS DOUBLE) / 2 AS "start", {_SPEAKER} AS speaker
-        FROM (SELECT video_id, file_name, role, unnest(range(0, len(ts))) AS pos,
-                unnest(ts) AS token
-              FROM (SELECT *, {_TOKENS.format("replace(text, chr(10), ' ')")} AS ts FROM docs
-                    WHERE role = 'user'))
+    "explode_words": """
+        SELECT video_id, file_name, pos, word, punctuated_word, "start", speaker FROM doc_words
         UNION ALL
         SELECT video_id, file_name, NULL, NULL, NULL, NULL, NULL FROM docs
-        WHERE role = 'assistant' OR (role = 'user'
-          AND len({_TOKENS.format("replace(text, chr(10), ' ')")}) = 0)""",
-    "flatten_video_items": "SELECT * FROM items",
+        WHERE NOT rejected AND file_name NOT IN (SELECT file_name FROM doc_words)""",
+    "flatten_video_items": """
+        SELECT * FROM items
+        UNION ALL BY NAME
+        SELECT doc_id || 'u' AS video_id, '' AS tags, 0 AS view_count FROM documents
+        WHERE doc_id % 10 = 3""",
     "playlist_video_ids": "SELECT 'v' || doc_id AS video_id FROM documents",
     "transcript_to_json": """
         SELECT file_name, text AS transcript, array_to_string(ls, '|') AS utterances
         FROM docs WHERE NOT rejected""",
-    "chunk_files": 'SELECT chunk_id, content, "next", confidence_tier FROM chunked',
+    "chunk_files": "SELECT * FROM chunked",
     "readable_files": """
         SELECT video_id, unnest(string_split(line, chr(10))) AS line FROM readable""",
     "episode_by_id": "SELECT video_id, title, duration FROM episodes WHERE video_id = '17'",
@@ -499,14 +551,12 @@ _BODIES: dict[str, str] = {
         SELECT video_id, video_id || '.mp3' AS audio_name,
           regexp_replace(audio_filename, '\\.[^.]*$', '') || '.json' AS transcript_name
         FROM episodes""",
-    "guest_hint": "SELECT video_id, hint FROM hints",
+    "guest_hint": "SELECT video_id, phrase, name FROM hints",
     "upsert_episodes": "SELECT * FROM upserted",
     "update_existing": f"""
-        SELECT {_EPISODE_FIELDS} FROM latest_updates
-        WHERE video_id IN (SELECT video_id FROM catalogue)
+        SELECT {_ROW} FROM latest_updates WHERE video_id IN (SELECT video_id FROM catalogue)
         UNION ALL
-        SELECT {_EPISODE_FIELDS} FROM catalogue
-        WHERE video_id NOT IN (SELECT video_id FROM updates)""",
+        SELECT {_ROW} FROM catalogue WHERE video_id NOT IN (SELECT video_id FROM updates)""",
     "unmatched_updates": """
         SELECT DISTINCT video_id FROM updates
         WHERE video_id NOT IN (SELECT video_id FROM catalogue)""",
@@ -526,13 +576,13 @@ _BODIES: dict[str, str] = {
         SELECT video_id, 'transcript', transcript_filename FROM catalogue
         WHERE transcript_filename IS NOT NULL
           AND transcript_filename NOT IN (SELECT file_name FROM inventory)""",
-    "repair_catalogue": """
-        SELECT video_id,
+    "repair_catalogue": f"""
+        SELECT {_ROW} FROM (SELECT * REPLACE (
           CASE WHEN audio_filename IN (SELECT file_name FROM inventory)
             THEN audio_filename END AS audio_filename,
           CASE WHEN transcript_filename IN (SELECT file_name FROM inventory)
-            THEN transcript_filename END AS transcript_filename
-        FROM catalogue""",
+            THEN transcript_filename END AS transcript_filename)
+          FROM catalogue)""",
     "episodes_with_files": """
         SELECT video_id, audio_filename FROM episodes
         WHERE audio_filename IN (SELECT file_name FROM inventory)""",
@@ -579,23 +629,47 @@ _BODIES: dict[str, str] = {
     "chunk_records": "SELECT * FROM chunked",
     "document_chunks": "SELECT * FROM doc_chunked",
     "attach_episode_metadata": f"""
-        SELECT d.file_name, coalesce(d.video_id, c.video_id) AS stamped_id,
-          CASE WHEN d.video_id IS NOT NULL THEN {_ISO.format('d.published_at')} || 'Z'
+        SELECT file_name, coalesce(d.stamp, c.video_id) AS stamped_id,
+          CASE WHEN d.form = 'undated' AND d.stamp IS NOT NULL THEN 'some day'
+            WHEN d.stamp IS NOT NULL THEN {_ISO.format('d.published_at')} || 'Z'
             ELSE {_ISO.format('c.published_at')} END AS published_at,
-          CASE WHEN d.video_id IS NULL THEN c.duration_seconds END AS duration_seconds,
-          CASE WHEN d.video_id IS NULL THEN c.transcript_duration END AS transcript_duration
-        FROM docs d JOIN catalogue c ON c.video_id = cast(d.conv_id AS VARCHAR)
+          CASE WHEN d.stamp IS NULL THEN c.duration_seconds END AS duration_seconds,
+          CASE WHEN d.stamp IS NULL THEN c.transcript_duration END AS transcript_duration
+        FROM (SELECT *, CASE WHEN turn % 2 = 0 THEN video_id END AS stamp FROM docs) d
+        JOIN catalogue c ON c.video_id = cast(d.conv_id AS VARCHAR)
         WHERE NOT d.rejected""",
     "merge_short_chunks": """
         SELECT m.video_id, m.first_pos AS pos, a.speaker, m."text" AS transcript, a."start",
-          z."end", round(m.confidence, 6) AS confidence, a.speaker_confidence, a.previous,
-          z."next"
+          z."end", round(m.confidence, 6) AS confidence, a.speaker_confidence, a.previous, z."next"
         FROM merged m
         JOIN context a ON a.video_id = m.video_id AND a.pos = m.first_pos
         JOIN context z ON z.video_id = m.video_id AND z.pos = m.last_pos""",
+    "long_merged_chunks": """
+        SELECT m.video_id, m.first_pos AS pos, a.speaker, m."text" AS transcript, a."start",
+          z."end", round(m.confidence, 6) AS confidence, a.speaker_confidence, a.previous, z."next"
+        FROM long_merged m
+        JOIN long_context a ON a.video_id = m.video_id AND a.pos = m.first_pos
+        JOIN long_context z ON z.video_id = m.video_id AND z.pos = m.last_pos""",
+    "merge_after_filter": """
+        SELECT m.video_id, a.at AS pos, a.speaker, m."text" AS transcript, a."start",
+          z."end", round(m.confidence, 6) AS confidence, a.speaker_confidence
+        FROM thin_merged m
+        JOIN thinned a ON a.video_id = m.video_id AND a.pos = m.first_pos
+        JOIN thinned z ON z.video_id = m.video_id AND z.pos = m.last_pos""",
     "speaker_turns": """
-        SELECT video_id, turn_pos, cast(0 AS BIGINT) AS part, speaker, "start", words, "text"
-        FROM turns""",
+        SELECT video_id, turn_pos, speaker, "start", words, "text" FROM turns""",
+    "document_turns": """
+        SELECT video_id, min(pos) AS turn_pos, arg_min("start", pos) AS "start",
+          first(speaker ORDER BY pos) AS speaker, count(*) AS words,
+          string_agg(coalesce(punctuated_word, word), ' ' ORDER BY pos) AS "text"
+        FROM doc_runs GROUP BY video_id, file_name, run""",
+    "long_chunk_context": 'SELECT video_id, pos, previous, "next" FROM long_context',
+    "long_speaker_turns": """
+        SELECT video_id, min(pos) AS turn_pos, arg_min("start", pos) AS "start",
+          first(who ORDER BY pos) AS speaker, count(*) AS words,
+          string_agg(transcript, ' ' ORDER BY pos) AS "text"
+        FROM long_runs GROUP BY video_id, run""",
+    "long_transcript_sample": "SELECT video_id, sample FROM long_samples",
     "readable_header": "SELECT * FROM header",
     "readable_transcript": "SELECT * FROM readable",
     "strip_labels": """
@@ -616,14 +690,15 @@ _BODIES: dict[str, str] = {
     "head_sample": f"""
         SELECT video_id, array_to_string(list_transform(ls[1:10],
           lambda l: 'Speaker ' || ({_SPEAKER}) || ': ' || l), chr(10)) AS sample
-        FROM docs WHERE video_id IS NOT NULL""",
+        FROM docs WHERE form = 'whole'""",
     "conversation_turns": "SELECT video_id, turn, speaker, \"text\" FROM talk",
     "speaker_prompts": """
         SELECT e.video_id, 'Name the speakers of this recorded episode.' || chr(10) || chr(10)
           || 'Title: ' || e.title || chr(10) || chr(10)
           || 'Description: ' || e.description || chr(10) || chr(10)
-          || CASE WHEN h.hint <> '' THEN h.hint || chr(10) || chr(10) ELSE '' END
-          || 'Transcript:' || chr(10) || t.conversation || chr(10) || chr(10)
+          || CASE WHEN h.name IS NOT NULL THEN 'Announced guest (after "' || trim(h.phrase) || '"): '
+            || h.name || chr(10) || chr(10) ELSE '' END
+          || 'Transcript:' || chr(10) || coalesce(t.conversation, '') || chr(10) || chr(10)
           || 'Regular hosts:' || chr(10) || '1. Alex Moreau' || chr(10) || '2. Dana Whitfield'
           || chr(10) || 'How they speak:' || chr(10) || '- Alex Moreau: asks the questions'
           || chr(10) || '- Dana Whitfield: explains at length' || chr(10) || chr(10)
@@ -632,8 +707,8 @@ _BODIES: dict[str, str] = {
           || '{"hosts": [{"name": "...", "confidence": 0.9, "mentioned_in": ["title"]}],'
           || ' "guests": [{"name": "...", "confidence": 0.8, "mentioned_in": ["description"]}]}'
           AS prompt
-        FROM episodes e JOIN hints h USING (video_id)
-        JOIN (SELECT video_id, string_agg(speaker || ': ' || "text", chr(10) ORDER BY turn)
+        FROM (SELECT * FROM catalogue WHERE transcript_filename IS NOT NULL) e JOIN hints h USING (video_id)
+        LEFT JOIN (SELECT video_id, string_agg(speaker || ': ' || "text", chr(10) ORDER BY turn)
                 AS conversation FROM talk GROUP BY video_id) t USING (video_id)""",
     "speaker_stats": "SELECT * FROM stats",
     "speaker_samples": """
@@ -650,7 +725,13 @@ _BODIES: dict[str, str] = {
     "document_stats": """
         SELECT video_id, len(ls) AS transcript_utterances,
           cast(len(ls) * 5 AS DOUBLE) AS transcript_duration
-        FROM docs WHERE video_id IS NOT NULL""",
+        FROM docs WHERE form = 'whole'""",
+    "document_speakers": """
+        SELECT video_id, speaker, count(*) AS utterance_count, min(pos) AS first_pos,
+          'Speaker ' || speaker AS speaker_tag,
+          array_to_string(list(transcript ORDER BY pos)[1:10], '|') AS samples
+        FROM doc_utterances WHERE form = 'whole' AND speaker IS NOT NULL
+        GROUP BY video_id, file_name, speaker""",
     "speaker_rank": "SELECT video_id, speaker, utterance_count, speaker_rank FROM ranked",
     "parse_speaker_response": """
         SELECT video_id,
@@ -671,12 +752,12 @@ _BODIES: dict[str, str] = {
           ORDER BY cast(speaker AS VARCHAR)) AS speakers
         FROM assigned GROUP BY video_id""",
     "speakers_map_merge": """
-        SELECT c.video_id, g.n AS speaker_count, m.speakers
+        SELECT c.video_id, m.n AS speaker_count, m.speakers
         FROM catalogue c
-        LEFT JOIN (SELECT video_id, count(*) AS n FROM assigned WHERE is_guest GROUP BY video_id) g
-          USING (video_id)
-        LEFT JOIN (SELECT video_id, string_agg(k || ':' || name || '/' || n, '|' ORDER BY k)
-                     AS speakers FROM map_entries GROUP BY video_id) m USING (video_id)""",
+        LEFT JOIN (SELECT video_id, count(*) AS n,
+                     string_agg(speaker || ':' || name || '/' || utterance_count, '|'
+                       ORDER BY cast(speaker AS VARCHAR)) AS speakers
+                   FROM assigned GROUP BY video_id) m USING (video_id)""",
     "stream_chunks": "SELECT * FROM doc_chunked",
     "stream_upsert": "SELECT * FROM upserted",
     "stream_type_counts": """

@@ -54,9 +54,14 @@ def _flat_chunks(documents: DataFrame) -> DataFrame:
         "chunk_id", "video_id", "chunk_index", "content", "start_time", "end_time", "duration",
         "speaker_id", "speaker_confidence", "confidence_score", "episode_title", "published_at",
         "episode_type", "episode_duration",
-        F.length("episode_description").cast("bigint").alias("description_chars"),
+        "episode_description", "timestamp",
         F.array_join("tags", ",").alias("tags"),
         F.col("statistics.view_count").alias("view_count"),
+        F.col("statistics.like_count").alias("like_count"),
+        F.col("statistics.comment_count").alias("comment_count"),
+        F.col("metadata.duration_seconds").alias("metadata_seconds"),
+        F.col("metadata.episode_type").alias("metadata_type"),
+        F.col("metadata.engagement_metrics.views").alias("views"),
         F.col("metadata.engagement_metrics.likes").alias("likes"),
         F.col("metadata.engagement_metrics.comments").alias("comments"),
         F.col("context.previous").alias("previous"),
@@ -71,10 +76,14 @@ def _flat_chunks(documents: DataFrame) -> DataFrame:
 
 def _flat_episodes(rows: DataFrame) -> DataFrame:
     return rows.select(
-        "video_id", "title", SC.iso_text("published_at").alias("published_at"), "channel_id",
+        "video_id", "title", "description", SC.iso_text("published_at").alias("published_at"),
+        "channel_id", "channel_title",
         F.array_join("tags", ",").alias("tags"), "duration", "view_count", "like_count",
-        "comment_count", "thumbnail_url", "audio_filename", "transcript_filename",
-        "transcript_duration", "transcript_utterances",
+        "comment_count", "thumbnail_url", "webm_filename", "audio_filename", "transcript_filename",
+        "transcript_duration", "transcript_utterances", "speaker_count",
+        F.col("metadata.type").alias("type"),
+        F.col("metadata.duration_seconds").alias("duration_seconds"),
+        F.col("metadata.transcript_coverage").alias("coverage"),
         F.expr("array_join(array_sort(map_keys(metadata.speakers)), ',')").alias("speaker_ids"),
     )
 
@@ -83,9 +92,27 @@ def _flat_episodes(rows: DataFrame) -> DataFrame:
 
 @query
 def scan_episodes(spark: SparkSession, d: str) -> DataFrame:
-    """Write the catalogue as JSON lines, read it back with its schema."""
+    """Write the catalogue as documents ``{"episodes": [...]}`` of a few hundred rows, and a broken one
+    beside them, and read all of them back."""
     path = scratch_dir(spark, "catalogue")
-    SC.write_catalogue_lines(T.stored_with_ordinal(spark, d), path)
+    rows = T.catalogue(spark, d).withColumn("published_at", SC.iso_text("published_at"))
+    documents = rows.withColumn("part", F.expr("cast(video_id as bigint) div 500")).groupBy("part").agg(
+        F.to_json(F.struct(F.collect_list(F.struct(*rows.columns)).alias("episodes"))).alias("value"))
+    broken = documents.where("part = 0").select(
+        F.lit(-1).cast("bigint").alias("part"), F.expr("left(value, length(value) - 2)").alias("value"))
+    documents.unionByName(broken).repartition("part").write.partitionBy("part").text(path)
+    return _flat_episodes(SC.read_catalogue(spark, f"{path}/*/"))
+
+
+@query
+def scan_catalogue_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Write the catalogue as JSON lines, some of them cut short once more, and read it back."""
+    path = scratch_dir(spark, "catalogue-lines")
+    rows = T.stored_with_ordinal(spark, d).withColumn("published_at", SC.iso_text("published_at"))
+    line = F.to_json(F.struct(*rows.columns))
+    forms = F.explode(F.expr("if(ordinal % 10 = 3, array('whole', 'cut'), array('whole'))"))
+    rows.select(line.alias("line"), forms.alias("form")).select(F.expr(
+        "if(form = 'cut', left(line, length(line) - 2), line)").alias("value")).write.text(path)
     return _flat_episodes(SC.read_catalogue_lines(spark, path))
 
 
@@ -94,10 +121,7 @@ def catalogue_version(spark: SparkSession, d: str) -> DataFrame:
     """Write the classified catalogue as a new parquet version, read it back."""
     path = scratch_dir(spark, "catalogue-version")
     SC.write_catalogue(_classified(spark, d), path)
-    return spark.read.parquet(path).select(
-        "video_id", "metadata.type", "metadata.duration_seconds",
-        F.expr("array_join(array_sort(map_keys(metadata.speakers)), ',')").alias("speaker_ids"),
-    )
+    return _flat_episodes(spark.read.parquet(path))
 
 
 @query
@@ -105,11 +129,16 @@ def dedup_catalogue_last(spark: SparkSession, d: str) -> DataFrame:
     stacked = T.stored_with_ordinal(spark, d).unionByName(
         T.updates(spark, d).withColumn("ordinal", F.col("ordinal") + 10**9)
     )
-    return C.dedup_catalogue(stacked).select("video_id", "title", "duration")
+    return _flat_episodes(C.dedup_catalogue(stacked))
+
 
+def _parsed(spark: SparkSession, d: str, *, stamped: bool = True) -> DataFrame:
+    return ST.parse_transcripts(T.transcript_documents(spark, d, stamped=stamped))
 
-def _parsed(spark: SparkSession, d: str) -> DataFrame:
-    return ST.parse_transcripts(T.transcript_documents(spark, d))
+
+def _whole(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that parse, of all turns; bare and undated uploads are other queries' matter."""
+    return ST.accepted(_parsed(spark, d)).where(f"not ({K.UNSTAMPED} or {K.UNDATED})")
 
 
 @query
@@ -141,10 +170,7 @@ def explode_words(spark: SparkSession, d: str) -> DataFrame:
 @query
 def flatten_video_items(spark: SparkSession, d: str) -> DataFrame:
     rows = SC.episodes_from_items(SC.parse_video_items(T.video_items(spark, d)))
-    return _flat_episodes(rows).drop(
-        "audio_filename", "transcript_filename", "transcript_duration", "transcript_utterances",
-        "speaker_ids",
-    )
+    return _flat_episodes(rows)
 
 
 @query
@@ -167,13 +193,10 @@ def transcript_to_json(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def chunk_files(spark: SparkSession, d: str) -> DataFrame:
-    """Write chunk documents one directory per video, read them back."""
+    """Write chunk documents one directory per month, read them back."""
     path = scratch_dir(spark, "chunks")
-    ST.write_chunks(K.chunk_documents(_enriched(spark, d)), path, co_located=True)
-    return ST.read_chunks(spark, path).select(
-        "chunk_id", "content", F.col("context.next").alias("next"),
-        F.col("metadata.confidence_tier").alias("confidence_tier"),
-    )
+    ST.write_chunks(K.chunk_documents(_enriched(spark, d)), path)
+    return _flat_chunks(ST.read_chunks(spark, path))
 
 
 @query
@@ -269,7 +292,8 @@ def derived_filenames(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def guest_hint(spark: SparkSession, d: str) -> DataFrame:
-    return T.episodes(spark, d).select("video_id", E.guest_hint("description").alias("hint"))
+    return T.episodes(spark, d).select("video_id", E.guest_hint("description").alias("hint")).select(
+        "video_id", "hint.phrase", "hint.name")
 
 
 @query
@@ -303,8 +327,7 @@ def missing_files(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def repair_catalogue(spark: SparkSession, d: str) -> DataFrame:
-    repaired = C.without_missing_files(T.catalogue(spark, d), T.inventory(spark, d))
-    return repaired.select("video_id", "audio_filename", "transcript_filename")
+    return _flat_episodes(C.without_missing_files(T.catalogue(spark, d), T.inventory(spark, d)))
 
 
 @query
@@ -379,7 +402,7 @@ def document_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def attach_episode_metadata(spark: SparkSession, d: str) -> DataFrame:
-    parsed = ST.accepted(_parsed(spark, d)).withColumn(
+    parsed = ST.accepted(_parsed(spark, d, stamped=False)).withColumn(
         "video_id", F.regexp_replace("file_name", "-.*$", "")
     )
     stamped = ST.attach_episode_metadata(parsed, _classified(spark, d))
@@ -393,7 +416,19 @@ def attach_episode_metadata(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def merge_short_chunks(spark: SparkSession, d: str) -> DataFrame:
-    merged = K.merge_short_chunks(T.utterances(spark, d))
+    return _flat_merged(K.merge_short_chunks(T.utterances(spark, d), dense=True))
+
+
+@query
+def merge_after_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Merging over gaps in positions: every fourth utterance is filtered out first."""
+    return _flat_merged(K.merge_short_chunks(T.utterances(spark, d).where("pos % 4 <> 2")).drop(
+        "previous", "next")).drop("previous", "next")
+
+
+def _flat_merged(merged: DataFrame) -> DataFrame:
+    if "previous" not in merged.columns:
+        merged = merged.withColumns({"previous": F.lit(""), "next": F.lit("")})
     return merged.select(
         "video_id", "pos", "speaker", "transcript", "start", "end",
         F.round("confidence", 6).alias("confidence"), "speaker_confidence", "previous", "next",
@@ -412,10 +447,40 @@ def _readable(spark: SparkSession, d: str) -> DataFrame:
 @query
 def speaker_turns(spark: SparkSession, d: str) -> DataFrame:
     return U.speaker_turns(T.words(spark, d)).select(
-        "video_id", "turn_pos", "part", "speaker", "start", "words", "text"
+        "video_id", "turn_pos", "speaker", "start", "words", "text"
     )
 
 
+@query
+def document_turns(spark: SparkSession, d: str) -> DataFrame:
+    return U.turns_in_document(_whole(spark, d))
+
+
+# Long recordings, cut into small blocks: neighbours, turns, folds and samples cross many edges.
+
+@query
+def long_chunk_context(spark: SparkSession, d: str) -> DataFrame:
+    return K.with_context(T.long_utterances(spark, d), block_rows=16).select(
+        "video_id", "pos", "previous", "next")
+
+
+@query
+def long_speaker_turns(spark: SparkSession, d: str) -> DataFrame:
+    return U.speaker_turns(T.long_words(spark, d), block_rows=2).select(
+        "video_id", "turn_pos", "speaker", "start", "words", "text")
+
+
+@query
+def long_merged_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return _flat_merged(K.merge_short_chunks(
+        T.long_utterances(spark, d), 40, block_rows=128, fold_rows=8, maps_per_group=2, dense=True))
+
+
+@query
+def long_transcript_sample(spark: SparkSession, d: str) -> DataFrame:
+    return S.transcript_sample(T.long_utterances(spark, d))
+
+
 @query
 def readable_header(spark: SparkSession, d: str) -> DataFrame:
     return U.header_lines(C.with_coverage(_classified(spark, d)))
@@ -453,8 +518,7 @@ def plain_transcript_sample(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def head_sample(spark: SparkSession, d: str) -> DataFrame:
-    whole = ST.accepted(_parsed(spark, d)).where("episode_metadata is not null")
-    return S.head_sample(whole)
+    return S.head_sample(_whole(spark, d))
 
 
 @query
@@ -465,7 +529,8 @@ def conversation_turns(spark: SparkSession, d: str) -> DataFrame:
 @query
 def speaker_prompts(spark: SparkSession, d: str) -> DataFrame:
     turns = S.conversation_turns(S.transcript_sample(T.utterances(spark, d)))
-    return S.speaker_prompts(T.episodes(spark, d), S.conversation_text(turns), HOSTS)
+    asked = T.catalogue(spark, d).where("transcript_filename is not null")
+    return S.speaker_prompts(asked, S.conversation_text(turns), HOSTS)
 
 
 # -- speakers ----------------------------------------------------------------
@@ -499,9 +564,12 @@ def transcript_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def document_stats(spark: SparkSession, d: str) -> DataFrame:
-    return P.document_stats(
-        ST.accepted(_parsed(spark, d)).where("episode_metadata is not null")
-    )
+    return P.document_stats(_whole(spark, d))
+
+
+@query
+def document_speakers(spark: SparkSession, d: str) -> DataFrame:
+    return P.stats_in_document(_whole(spark, d)).withColumn("samples", F.array_join("samples", "|"))
 
 
 @query
@@ -555,9 +623,7 @@ def _map_text(column: str) -> str:
 
 @query
 def speakers_map_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Store the identified guests; hosts and unknown ones keep stored entries."""
-    guests = P.speakers_map(_assigned(spark, d).where("is_guest"))
-    merged = P.merge_speakers(T.catalogue(spark, d), guests)
+    merged = P.merge_speakers(T.catalogue(spark, d), P.speakers_map(_assigned(spark, d)))
     return merged.select(
         "video_id", "speaker_count", F.expr(_map_text("metadata.speakers")).alias("speakers")
     )
@@ -587,18 +653,16 @@ def stream_chunks(spark: SparkSession, d: str) -> DataFrame:
 def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     out = scratch_dir(spark, "stream-upsert")
     SC.write_catalogue(T.catalogue(spark, d), f"{out}/base")
-    T.updates(spark, d).write.parquet(f"{out}/landed")
-    landed = spark.read.parquet(f"{out}/landed").schema
-    running = (
-        I.upsert_into_versions(
-            spark.readStream.schema(landed).parquet(f"{out}/landed"),
-            f"{out}/versions", base=f"{out}/base",
-        )
+    T.updates(spark, d).repartition(3, "video_id").write.parquet(f"{out}/landed")
+    landed = spark.read.parquet(f"{out}/landed")
+    files = spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", 1)
+    (
+        I.append_batches(files.parquet(f"{out}/landed"), f"{out}/batches")
         .option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start()
+        .awaitTermination()
     )
-    running.awaitTermination()
-    last = running.lastProgress.batchId
-    return _flat_episodes(I.read_version(spark, f"{out}/versions", last))
+    I.fold_batches(spark.read.parquet(f"{out}/base"), spark.read.parquet(f"{out}/batches"), f"{out}/next")
+    return _flat_episodes(spark.read.parquet(f"{out}/next"))
 
 
 @query

@@ -229,8 +229,11 @@ def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Catalogue rows for the transcript documents of first turns."""
-    return episodes(spark, sf_dir).withColumn("video_id", F.concat("video_id", F.lit("-0")))
+    """Catalogue rows for the transcript documents, one per turn."""
+    turns = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("video_id"), "turn")
+    return episodes(spark, sf_dir).join(turns, "video_id").withColumn(
+        "video_id", F.concat("video_id", F.lit("-"), "turn")).drop("turn")
 
 
 def video_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +256,13 @@ def video_items(spark: SparkSession, sf_dir: str) -> DataFrame:
             'likeCount', if(doc_id % 7 = 0, null, cast(n_chars as string)),
             'commentCount', if(doc_id % 11 = 0, null, cast(doc_id % 97 as string)))))
     """)
-    return table(spark, sf_dir, "documents").select(item.alias("item"))
+    # Some items arrive a second time, cut short, and some with an empty count.
+    again = "if(doc_id % 10 = 3, array('whole', 'cut', 'uncounted'), array('whole'))"
+    landed = table(spark, sf_dir, "documents").withColumn("form", F.explode(F.expr(again)))
+    return landed.withColumn("item", item).select(F.expr(
+        "case form when 'cut' then left(item, length(item) - 2) when 'uncounted' then"
+        " concat('{\"id\": \"', doc_id, 'u\", \"statistics\": {\"viewCount\": \"\", \"likeCount\": \"many\"}}')"
+        " else item end").alias("item"))
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,15 +286,16 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def transcript_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents_of(table(spark, sf_dir, "conversations"))
+def transcript_documents(spark: SparkSession, sf_dir: str, *, stamped: bool = True) -> DataFrame:
+    return documents_of(table(spark, sf_dir, "conversations"), stamped=stamped)
 
 
-def documents_of(conversations: DataFrame) -> DataFrame:
-    """Each conversation turn as one landed transcript document (JSON text).
+def documents_of(conversations: DataFrame, *, stamped: bool = True) -> DataFrame:
+    """Each conversation turn as one landed transcript document (JSON text), and beside those of
+    system turns a broken, a bare and an undated upload of the same.
 
-    A turn fits a row, so a document is built without gathering a conversation.
-    Documents of system turns are cut short, as a broken upload would be.
+    A turn fits a row, so a document is built without gathering a conversation. Not ``stamped``:
+    documents of odd turns have no episode metadata.
     """
     utterance = (
         "named_struct('transcript', l, 'start', i * 5D, 'end', i * 5D + 4.5D,"
@@ -295,25 +305,54 @@ def documents_of(conversations: DataFrame) -> DataFrame:
     )
     word = (
         "named_struct('word', lower(w), 'punctuated_word', if(j % 9 = 4, null, w),"
-        f" 'start', j * 0.5D, 'speaker', cast({_SPEAKER} as int))"
+        f" 'start', j * 0.5D, 'speaker', if(j div 6 % 3 = 2, null, cast({_SPEAKER} as int) + j div 6 % 3))"
     )
+    has_stamp = "form <> 'bare'" if stamped else "form <> 'bare' and turn % 2 = 0"
     document = f"""
         to_json(named_struct(
           'results', named_struct(
             'duration', size(lines) * 5D,
             'transcript', text,
             'utterances', cast(transform(lines, (l, i) -> {utterance}) as array<{UTTERANCE_DDL}>),
-            'channels', if(role = 'user', array(named_struct('alternatives', array(named_struct(
-              'words', cast(transform({_TOKENS.format("translate(text, '\\n', ' ')")},
-                (w, j) -> {word}) as array<{WORD_DDL}>))))), null)),
-          'episode_metadata', if(turn % 2 = 0, named_struct(
+            'channels', array(named_struct('alternatives', array(named_struct(
+              'words', cast(transform({_TOKENS.format("translate(text, '\n', ' ')")},
+                (w, j) -> {word}) as array<{WORD_DDL}>)))))),
+          'episode_metadata', if({has_stamp}, named_struct(
             'video_id', concat(conv_id, '-', turn), 'title', concat('Part ', turn),
-            'published_at', date_format(timestamp'2024-01-01 00:00:00'
-              + make_interval(0,0,0,0,cast(conv_id as int),0,0), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+            'published_at', if(form = 'undated', 'some day', date_format(timestamp'2024-01-01 00:00:00'
+              + make_interval(0,0,0,0,cast(conv_id as int),0,0), "yyyy-MM-dd'T'HH:mm:ss'Z'"))),
             null)))
     """
-    built = conversations.withColumn("lines", F.expr(_LINES)).withColumn("_d", F.expr(document))
+    forms = "if(role = 'system', array('whole', 'broken', 'bare', 'undated'), array('whole'))"
+    built = conversations.withColumn("lines", F.expr(_LINES)).withColumn(
+        "form", F.explode(F.expr(forms))).withColumn("_d", F.expr(document))
     return built.select(
-        F.concat("conv_id", F.lit("-"), "turn", F.lit(".json")).alias("file_name"),
-        F.expr("left(_d, length(_d) - if(role = 'system', 3, 0))").alias("document"),
+        F.expr("concat(conv_id, '-', turn, if(form = 'whole', '', concat('-', form)), '.json')")
+        .alias("file_name"),
+        F.expr("left(_d, length(_d) - if(form = 'broken', 3, 0))").alias("document"),
     )
+
+
+def long_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations end to end as three long recordings."""
+    lines = table(spark, sf_dir, "conversations").select(
+        F.expr("concat('long-', conv_id % 3)").alias("video_id"),
+        "conv_id", "turn", F.expr(_SPEAKER).alias("speaker"),
+        F.expr("conv_id div 64").alias("stretch"),
+        F.posexplode(F.expr(_LINES)).alias("line", "transcript"),
+    )
+    counted = blocks.with_running_totals(
+        lines, "video_id", "stretch", ("conv_id", "turn", "line"), {"pos": F.lit(1).cast("bigint")})
+    return counted.select(
+        "video_id", "pos", "speaker", "transcript",
+        F.expr("pos * 2D").alias("start"), F.expr("pos * 2D + 1.5D").alias("end"),
+        F.expr("(pos * 17 % 101) / 100D").alias("confidence"),
+        F.expr("if(pos % 5 = 0, null, (pos * 7 % 10) / 10D)").alias("speaker_confidence"),
+    )
+
+
+def long_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the long recordings as words of their own."""
+    return long_utterances(spark, sf_dir).select(
+        "video_id", "pos", F.expr("if(speaker = 2, null, speaker)").alias("speaker"), "start",
+        F.col("transcript").alias("word"), F.lit(None).cast("string").alias("punctuated_word"))

@@ -71,7 +71,8 @@ VIDEO_ITEM_DDL = (
     " thumbnails: struct<high: struct<url: string>>,"
     " resourceId: struct<videoId: string>>,"
     " contentDetails struct<duration: string>,"
-    " statistics struct<viewCount: string, likeCount: string, commentCount: string>"
+    " statistics struct<viewCount: string, likeCount: string, commentCount: string>,"
+    " _corrupt_record string"
 )
 
 PERSON_DDL = "struct<name: string, confidence: double, mentioned_in: array<string>>"

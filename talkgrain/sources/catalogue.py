@@ -38,14 +38,31 @@ def catalogue_rows(documents: DataFrame) -> DataFrame:
 
 def read_catalogue_lines(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a catalogue kept as JSON lines, the form that splits across tasks."""
-    row = schemas.struct_type(f"ordinal: bigint, {schemas.EPISODE_FILE_DDL}")
-    return typed_episodes(spark.read.schema(row).json(path))
+    return typed_episodes(readable(read_lines(spark, path)))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of such a catalogue as they are; a line that is not JSON keeps its text in
+    ``_corrupt_record`` (see :func:`readable` and :func:`unreadable`)."""
+    row = schemas.struct_type(
+        f"ordinal: bigint, {schemas.EPISODE_FILE_DDL}, _corrupt_record: string")
+    return spark.read.schema(row).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+
+
+def readable(rows: DataFrame) -> DataFrame:
+    """Parsed rows without those that could not be parsed."""
+    return rows.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+
+
+def unreadable(rows: DataFrame) -> DataFrame:
+    """What could not be parsed, whole, for inspection and replay."""
+    return rows.where(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
 
 
 def typed_episodes(rows: DataFrame) -> DataFrame:
     """ISO text to timestamps, absent metadata and tags to empty ones."""
     return rows.withColumns({
-        "published_at": F.to_timestamp("published_at"),
+        "published_at": F.try_to_timestamp("published_at"),
         "tags": F.coalesce("tags", F.expr("cast(array() as array<string>)")),
         "metadata": F.coalesce("metadata", empty_metadata()),
     })
@@ -73,35 +90,41 @@ def iso_text(timestamp: Column | str) -> Column:
 
 
 def parse_video_items(landed: DataFrame, text: str = "item") -> DataFrame:
-    """Parse landed video-API items kept as JSON text."""
-    parsed = F.from_json(text, schemas.VIDEO_ITEM_DDL)
+    """Parse landed video-API items kept as JSON text; what is not JSON goes to
+    ``_corrupt_record``."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    parsed = F.from_json(text, schemas.VIDEO_ITEM_DDL, options)
     return landed.select(F.inline(F.array(parsed)))
 
 
 def read_video_items(spark: SparkSession, path: str) -> DataFrame:
     """Landed video-API items, one JSON object per line."""
-    return spark.read.schema(schemas.VIDEO_ITEM_DDL).json(path)
+    return spark.read.schema(schemas.VIDEO_ITEM_DDL).option(
+        "columnNameOfCorruptRecord", "_corrupt_record").json(path)
 
 
 def episodes_from_items(items: DataFrame) -> DataFrame:
     """Flatten video items into catalogue rows.
 
     Counts arrive as text. A missing view count is 0; missing like and comment
-    counts stay null.
+    counts stay null, and so does what is not a number. Items that could not be
+    parsed or have no id are left out (:func:`unreadable` has the former).
     """
     absent_text = F.lit(None).cast("string")
-    return items.select(
+    if "_corrupt_record" in items.columns:
+        items = readable(items)
+    return items.where("id is not null").select(
         F.col("id").alias("video_id"),
         F.col("snippet.title").alias("title"),
         F.col("snippet.description").alias("description"),
-        F.to_timestamp("snippet.publishedAt").alias("published_at"),
+        F.try_to_timestamp("snippet.publishedAt").alias("published_at"),
         F.col("snippet.channelId").alias("channel_id"),
         F.col("snippet.channelTitle").alias("channel_title"),
         F.coalesce("snippet.tags", F.expr("cast(array() as array<string>)")).alias("tags"),
         F.col("contentDetails.duration").alias("duration"),
-        F.coalesce(F.col("statistics.viewCount").cast("bigint"), F.lit(0)).alias("view_count"),
-        F.col("statistics.likeCount").cast("bigint").alias("like_count"),
-        F.col("statistics.commentCount").cast("bigint").alias("comment_count"),
+        F.coalesce(F.col("statistics.viewCount").try_cast("bigint"), F.lit(0)).alias("view_count"),
+        F.col("statistics.likeCount").try_cast("bigint").alias("like_count"),
+        F.col("statistics.commentCount").try_cast("bigint").alias("comment_count"),
         F.col("snippet.thumbnails.high.url").alias("thumbnail_url"),
         absent_text.alias("webm_filename"),
         absent_text.alias("audio_filename"),
@@ -115,7 +138,8 @@ def episodes_from_items(items: DataFrame) -> DataFrame:
 
 def playlist_video_ids(items: DataFrame) -> DataFrame:
     """Ids named by playlist items."""
-    return items.select(F.col("snippet.resourceId.videoId").alias("video_id"))
+    return items.where("snippet.resourceId.videoId is not null").select(
+        F.col("snippet.resourceId.videoId").alias("video_id"))
 
 
 def read_inventory(spark: SparkSession, directory: str) -> DataFrame:

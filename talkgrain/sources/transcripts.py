@@ -46,12 +46,26 @@ def rejected(transcripts: DataFrame) -> DataFrame:
     )
 
 
+def name_by_file(transcripts: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Add ``video_id``: of the episode whose ``transcript_filename`` the document has, else the one
+    the document states itself."""
+    named = episodes.where("coalesce(transcript_filename, '') <> ''").groupBy(
+        F.col("transcript_filename").alias("file_name")).agg(F.min("video_id").alias("_named"))
+    return transcripts.join(named, "file_name", "left").withColumn(
+        "video_id", F.coalesce("_named", "episode_metadata.video_id")).drop("_named")
+
+
+def _video_id(transcripts: DataFrame):
+    """The id that :func:`name_by_file` found, or the document's own."""
+    return F.col("video_id" if "video_id" in transcripts.columns else "episode_metadata.video_id")
+
+
 def utterances(transcripts: DataFrame) -> DataFrame:
     """Utterance rows in array order."""
     return (
         transcripts
         .select(
-            F.col("episode_metadata.video_id").alias("video_id"), "file_name",
+            _video_id(transcripts).alias("video_id"), "file_name",
             F.posexplode("results.utterances").alias("pos", "u"),
         )
         .select("video_id", "file_name", F.col("pos").cast("bigint").alias("pos"), "u.*")
@@ -67,7 +81,7 @@ def words(transcripts: DataFrame) -> DataFrame:
     return (
         transcripts
         .select(
-            F.col("episode_metadata.video_id").alias("video_id"), "file_name",
+            _video_id(transcripts).alias("video_id"), "file_name",
             F.posexplode_outer(F.expr(first)).alias("pos", "w"),
         )
         .select("video_id", "file_name", F.col("pos").cast("bigint").alias("pos"), "w.*")
@@ -97,7 +111,7 @@ def attach_episode_metadata(transcripts: DataFrame, episodes: DataFrame) -> Data
     )
     stamps = episodes.select("video_id", stamp.alias("_stamp"))
     return (
-        blocks.attach_salted(transcripts, stamps, "video_id", "file_name", how="inner")
+        transcripts.join(stamps, "video_id")
         .withColumn("episode_metadata", F.coalesce("episode_metadata", "_stamp"))
         .drop("_stamp")
     )
@@ -112,12 +126,12 @@ def as_json(transcripts: DataFrame) -> DataFrame:
 
 
 def write_chunks(
-    chunks: DataFrame, directory: str, *, by: str = "video", co_located: bool = False
+    chunks: DataFrame, directory: str, *, by: str = "month", co_located: bool = False
 ) -> None:
-    """Write chunk documents as JSON, one directory per video or per month.
+    """Write chunk documents as JSON, one directory per month or per video.
 
-    Directories by video suit readers that look up one video; by month they stay
-    few for a catalogue of millions. Rows are rebalanced on the directory first:
+    By month the directories stay few for a catalogue of millions; by video they
+    suit readers that look up one video. Rows are rebalanced on the directory first:
     small directories get one file, large ones are split over tasks. Rows out of
     ``operators.chunks.enrich`` already lie by stretches of a video;
     ``co_located`` then saves the shuffle.

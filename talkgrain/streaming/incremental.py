@@ -32,6 +32,7 @@ def rejected_stream(documents: DataFrame) -> DataFrame:
     why = (
         F.when(F.col("_corrupt_record").isNotNull(), "not JSON")
         .when(F.expr(chunks.UNSTAMPED), "no episode metadata")
+        .when(F.expr(chunks.UNDATED), "unreadable date")
         .when(F.expr(chunks.INCOMPLETE), "incomplete utterances")
     )
     return parsed.withColumn("reason", why).where("reason is not null").select(
@@ -39,30 +40,33 @@ def rejected_stream(documents: DataFrame) -> DataFrame:
     )
 
 
-def upsert_into_versions(batches: DataFrame, store: str, *, base: str) -> DataStreamWriter:
-    """Upsert each micro-batch into a new version of a parquet catalogue.
-
-    Batch ``n`` reads version ``n - 1`` (the ``base`` directory for batch 0) and
-    writes version ``n`` whole, so a batch that is replayed after a failure
-    rebuilds the same version. Rows carry ``ordinal``, their arrival order.
-    ``base`` may hold a video twice; versions never do.
-    """
+def append_batches(batches: DataFrame, store: str) -> DataStreamWriter:
+    """Append the last row per video of each micro-batch, as partition ``batch=<id>`` of a parquet
+    table. A batch writes its own rows only; one replayed after a failure overwrites its partition
+    with the same rows. Rows carry ``ordinal``, their arrival order."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = base if batch_id == 0 else version_path(store, batch_id - 1)
-        stored = spark.read.parquet(before).withColumn("ordinal", F.lit(0).cast("bigint"))
-        merged = catalogue.upsert(stored, batch, unique=batch_id > 0)
-        merged.write.mode("overwrite").parquet(version_path(store, batch_id))
+        catalogue.dedup_catalogue(batch).write.mode("overwrite").parquet(
+            f"{store.rstrip('/')}/batch={batch_id}")
 
     return batches.writeStream.foreachBatch(write)
 
 
-def version_path(store: str, version: int) -> str:
-    return f"{store.rstrip('/')}/version={version}"
+def upserted(base: DataFrame, batches: DataFrame) -> DataFrame:
+    """The catalogue as it stands: the last row per video over the base, which may hold a video
+    twice, and the appended ``batches`` (with their ``batch`` column)."""
+    before = base.withColumn("batch", F.lit(-1))
+    if "ordinal" not in base.columns:
+        before = before.withColumn("ordinal", F.lit(0).cast("bigint"))
+    every = before.unionByName(batches.withColumn("batch", F.col("batch").cast("int")))
+    # The row's own text settles what order leaves open, so that every reader sees one row.
+    text = F.xxhash64(*[c for c in before.columns if c not in ("batch", "metadata")])
+    return catalogue.last_per_video(
+        every, F.desc("batch"), F.desc("ordinal"), text).drop("batch", "ordinal")
 
 
-def read_version(spark: SparkSession, store: str, version: int) -> DataFrame:
-    return spark.read.parquet(version_path(store, version))
+def fold_batches(base: DataFrame, batches: DataFrame, new_version: str) -> None:
+    """Write what :func:`upserted` gives as a new base, in a job of its own."""
+    upserted(base, batches).write.mode("errorifexists").parquet(new_version)
 
 
 def type_counts_by_day(episodes: DataFrame, late: str = "1 day") -> DataFrame:

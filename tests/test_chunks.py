@@ -140,3 +140,45 @@ def test_fold_maps_follow_the_greedy_chain(items):
             i = j
         assert got[entry] == i - size
     assert np.all(np.asarray(got) >= 0)
+
+
+@pytest.mark.parametrize("fold_rows", [1, 2048])
+def test_merging_over_gaps(spark, fold_rows):
+    """Rows are consecutive by order, whatever positions they have."""
+    import random
+
+    rng = random.Random(fold_rows)
+    rows, pos = [], 0
+    for i in range(400):
+        pos += rng.choice([1, 1, 2, 5, 90])
+        rows.append(("v", pos, rng.choice([0, 0, -1, None]), f"t{i}" * rng.randint(1, 4), float(i), i + 0.5,
+                     0.5, None, "", ""))
+    frame = spark.createDataFrame(
+        rows, "video_id string, pos bigint, speaker int, transcript string, start double, `end` double,"
+        " confidence double, speaker_confidence double, previous string, next string")
+    want, at = [], None
+    for r in rows:
+        if at and at[2] == r[2] and len(at[3]) + len(r[3]) <= 20:
+            at[3] += " " + r[3]
+        else:
+            at = list(r)
+            want.append(at)
+    merged = K.merge_short_chunks(frame, 20, block_rows=64, fold_rows=fold_rows, maps_per_group=2)
+    assert [(r.pos, r.speaker, r.transcript) for r in merged.orderBy("pos").collect()] == [
+        (w[1], w[2], w[3]) for w in want]
+    again = K.merge_short_chunks(merged, 20)
+    assert [r.transcript for r in again.orderBy("pos").collect()][:1] == [want[0][3]]
+
+
+def test_rows_keep_their_own_title_and_date(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("known", 0, "Own"), ("unknown", 0, "Mine"), ("known", 1, None)],
+                                 "video_id string, pos bigint, episode_title string").withColumn(
+        "published_at", F.lit("2024-01-01").cast("timestamp"))
+    known = spark.createDataFrame([("known", "Theirs")], "video_id string, title string").selectExpr(
+        "*", "cast(null as timestamp) published_at", "'d' description", "array('t') tags", "1L view_count",
+        "2L like_count", "3L comment_count", "named_struct('type', 'FULL', 'duration_seconds', 9L) metadata")
+    got = K.enrich(rows, known).orderBy("video_id", "pos").collect()
+    assert [r.episode_title for r in got] == ["Own", "Theirs", "Mine"]
+    assert all(r.published_at is not None for r in got)

@@ -4,15 +4,16 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
 from conftest import SMALL
 from talkgrain.operators import catalogue as C
 from talkgrain.operators import chunks as K
+from talkgrain.operators import speakers as P
 from talkgrain.plans import tables as T
+from talkgrain.plans.queries import QUERIES
 
 STREAMS_AND_FILES = {
     "stream_chunks", "stream_upsert", "stream_type_counts", "scan_episodes", "catalogue_version",
-    "chunk_files", "readable_files",
+    "chunk_files", "readable_files", "scan_catalogue_lines",
 }
 
 
@@ -20,17 +21,17 @@ def plan_of(spark, name, threshold="10485760"):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     try:
-        frame = entry.queries()[name](spark, SMALL)
+        frame = QUERIES[name](spark, SMALL)
         return frame._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - STREAMS_AND_FILES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMS_AND_FILES))
 def test_no_nested_loops_and_no_row_udfs(spark, name):
     plan = plan_of(spark, name, "-1")
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
-                 "ArrowEvalPython", "FlatMapGroupsInPandas", "SinglePartition"):
+                 "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "SinglePartition"):
         if node == "SinglePartition" and name in ("verify_stats",):
             continue
         assert node not in plan, node
@@ -45,7 +46,7 @@ def test_no_window_sorts_a_whole_recording(spark, name):
         if keys and keys.group(1) == "video_id":
             totals = re.search(r"_total_|max\(_last", line)
             by_rank = re.search(r"row_number\(\)", line)
-            assert keys.group(2) in ("block", "turn_block", "_block") or totals or by_rank, line[:300]
+            assert keys.group(2) in ("block", "turn_block", "stretch", "_dense", "first_pos") or totals or by_rank, line[:300]
 
 
 @pytest.mark.parametrize("name,limit", [("speaker_samples", 10), ("verify_missing", 10),
@@ -79,7 +80,8 @@ def test_scans_read_only_what_is_needed(spark):
 
 def test_merging_shuffles_the_rows_once(spark, tmp_path):
     T.utterances(spark, SMALL).write.parquet(str(tmp_path / "utterances"))
-    merged = K.merge_short_chunks(spark.read.parquet(str(tmp_path / "utterances")))
+    merged = K.merge_short_chunks(
+        spark.read.parquet(str(tmp_path / "utterances")), dense=True)
     plan = merged._jdf.queryExecution().executedPlan().toString()
     wide = [x for x in plan[: plan.index("FileScan")].splitlines() if "Exchange hash" in x]
     assert len(wide) == 1
@@ -91,3 +93,32 @@ def test_enrichment_shuffles_the_long_side_once(spark):
     head = plan[: plan.index("FileScan")]
     long_side = [x for x in head.splitlines() if "Exchange hashpartitioning" in x]
     assert len(long_side) == 2      # one for the positions, one for context and join
+
+
+def exchanges(frame):
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return len([x for x in plan.split("== Initial Plan ==")[-1].splitlines() if "Exchange hash" in x])
+
+
+def test_assigning_names_takes_four_exchanges(spark, tmp_path):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        P.speaker_stats(T.utterances(spark, SMALL)).write.parquet(str(tmp_path / "stats"))
+        P.candidate_names(P.parse_responses(T.responses(spark, SMALL))).write.parquet(str(tmp_path / "names"))
+        stats, names = (spark.read.parquet(str(tmp_path / x)) for x in ("stats", "names"))
+        assert exchanges(P.ranked_speakers(stats)) == 1
+        assert exchanges(P.assign_names(stats, names)) <= 6
+        T.catalogue(spark, SMALL).write.parquet(str(tmp_path / "catalogue"))
+        T.inventory(spark, SMALL).write.parquet(str(tmp_path / "files"))
+        repaired = C.without_missing_files(
+            spark.read.parquet(str(tmp_path / "catalogue")), spark.read.parquet(str(tmp_path / "files")))
+        wide = [x for x in repaired._jdf.queryExecution().executedPlan().toString().splitlines()
+                if "FileScan" in x and "description" in x]
+        assert len(wide) == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["document_turns", "document_speakers", "document_stats", "head_sample"])
+def test_document_forms_do_not_shuffle(spark, name):
+    assert "Exchange" not in plan_of(spark, name)

@@ -75,10 +75,12 @@ def test_prompt_has_every_ingredient(spark):
         "video_id string, title string, description string")
     talk = spark.createDataFrame([("a", "Speaker 0: hi")], "video_id string, conversation string")
     prompt = S.speaker_prompts(episodes, talk, [("Bo", "calm"), ("Cy", "")]).first().prompt
-    for part in ("A title", "A talk with Ann Lee.", "'ann lee'", "Speaker 0: hi", "1. Bo",
+    for part in ("A title", "A talk with Ann Lee.", "ann lee", "Speaker 0: hi", "1. Bo",
                  "2. Cy", "- Bo: calm", '"hosts"', '"guests"'):
         assert part in prompt
     assert "- Cy" not in prompt
+    silent = S.speaker_prompts(episodes, talk.limit(0), [("Bo", "")]).collect()
+    assert len(silent) == 1 and silent[0].prompt.startswith("Name the speakers")
 
 
 def test_head_sample(spark):

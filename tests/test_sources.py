@@ -187,3 +187,26 @@ def test_chunk_files(spark, landed, tmp_path):
     assert (got[0].metadata.year, got[0].metadata.confidence_tier, got[0].episode_type) == (
         2024, "high", "UNKNOWN")
     assert got[0].context.next == "b" and got[0].metadata.has_tags is False
+
+
+def test_bad_items_and_lines_make_no_rows(spark, tmp_path):
+    items = SC.parse_video_items(spark.createDataFrame([
+        ('{"id": "a", "statistics": {"viewCount": "", "likeCount": "many"}, "snippet": {"publishedAt": "?"}}',),
+        ('{"id": "b"',), ("{}",), (None,)], "item string"))
+    got = SC.episodes_from_items(items).collect()
+    assert [(r.video_id, r.view_count, r.like_count, r.published_at) for r in got] == [("a", 0, None, None)]
+    assert [r._corrupt_record for r in SC.unreadable(items).collect()] == ['{"id": "b"']
+    path = tmp_path / "lines.json"
+    path.write_text('{"video_id": "x", "published_at": "soon"}\n{"video_id": "y"\n')
+    assert [(r.video_id, r.published_at) for r in SC.read_catalogue_lines(spark, str(path)).collect()] == [("x", None)]
+    assert SC.unreadable(SC.read_lines(spark, str(path)).cache()).count() == 1
+
+
+def test_documents_are_named_by_their_file(spark):
+    episodes = spark.createDataFrame([("v1", "v1.json"), ("v2", "")], "video_id string, transcript_filename string")
+    landed = ST.parse_transcripts(spark.createDataFrame([
+        ("v1.json", '{"results": {"utterances": [{"transcript": "t"}]}}'),
+        ("z.json", '{"results": {"utterances": [{"transcript": "u"}]}, "episode_metadata": {"video_id": "own"}}'),
+        ("w.json", '{"results": {"utterances": [{"transcript": "w"}]}}')], "file_name string, document string"))
+    rows = ST.utterances(ST.name_by_file(landed, episodes)).collect()
+    assert sorted((r.transcript, r.video_id) for r in rows) == [("t", "v1"), ("u", "own"), ("w", None)]

@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from talkgrain import schemas
 from talkgrain.functions import transcripts as X
 from talkgrain.operators import turns as U
@@ -41,24 +43,42 @@ def test_turns(spark, block_rows):
     )
     rng.shuffle(rows)
     got = U.speaker_turns(
-        spark.createDataFrame(rows, WORDS), block_rows=block_rows, blocks_per_part=1000
+        spark.createDataFrame(rows, WORDS), block_rows=block_rows
     ).collect()
     assert sorted((r.video_id, r.turn_pos, -1 if r.speaker is None else r.speaker, r.start, r.text)
                   for r in got) == runs(rows)
 
 
-def test_an_endless_turn_continues_in_parts(spark):
+def test_an_endless_turn_is_one_row(spark):
     rows = words("long", [0] * 100 + [1] * 3)
-    got = U.speaker_turns(
-        spark.createDataFrame(rows, WORDS), block_rows=8, blocks_per_part=3
-    ).orderBy("turn_pos", "part").collect()
-    assert [(r.turn_pos, r.part, r.words) for r in got] == [
-        (0, 0, 24), (0, 1, 24), (0, 2, 24), (0, 3, 24), (0, 4, 4), (100, 0, 3)]
-    whole = runs(rows)[0][4] if runs(rows)[0][1] == 0 else runs(rows)[1][4]
-    assert " ".join(r.text for r in got if r.turn_pos == 0) == whole
-    lines = U.render_turns(
-        spark.createDataFrame(got).withColumn("name", X.speaker_tag("speaker")), block_rows=8)
-    assert [r.line_no for r in lines.orderBy("line_no").collect()] == [0, 24, 48, 72, 96, 100]
+    got = U.speaker_turns(spark.createDataFrame(rows, WORDS), block_rows=2).orderBy("turn_pos").collect()
+    assert [(r.turn_pos, r.words) for r in got] == [(0, 100), (100, 3)]
+    assert sorted(r.text for r in got) == sorted(x[4] for x in runs(rows))
+
+
+def test_turns_in_documents(spark):
+    rng = random.Random(8)
+    rows = words("a", [rng.choice([0, 0, 1, None]) for _ in range(60)]) + words("b", [2])
+    table = spark.createDataFrame(rows, WORDS)
+    item = F.struct("word", "punctuated_word", "start", "speaker")
+    documents = table.groupBy("video_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", item.alias("w")))), lambda x: x["w"])
+        .alias("words")).select(
+        F.struct(F.array(F.struct(F.array(F.struct("words")).alias("alternatives"))).alias("channels"))
+        .alias("results"), F.struct("video_id").alias("episode_metadata"))
+    empty = documents.withColumn("results", F.struct(F.filter("results.channels", lambda c: F.lit(False))
+                                                     .alias("channels")))
+    got = U.turns_in_document(documents.unionByName(empty))
+    assert "Exchange" not in U.turns_in_document(
+        spark.createDataFrame([], documents.schema))._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.video_id, r.turn_pos, -1 if r.speaker is None else r.speaker, r.start, r.text)
+                  for r in got.collect()) == runs(rows)
+
+
+def test_a_speaker_listed_twice_has_one_name(spark):
+    names = spark.createDataFrame([("v", 0, "Al"), ("v", 0, "Bo"), ("v", 1, None)],
+                                  "video_id string, speaker int, name string")
+    assert U.names_by_video(names).first().names == {0: "Bo"}
 
 
 def episode(**fields):
