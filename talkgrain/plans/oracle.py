@@ -455,6 +455,13 @@ for _name, _rows, _most in (("merging", "utterances", 512), ("long_merging", "lo
           arg_max(confidence, pos) AS confidence
         FROM {_name} GROUP BY video_id, first_pos"""
 
+_STOP_WORDS = "('the', 'and', 'of', 'to', 'is', 'a', 'in', 'on', 'der', 'die', 'le', 'la', 'de', 'el')"
+_VIEWS["doc_terms"] = """
+        SELECT doc_id, unnest(string_split_regex(lower(text), '[ \\n]+')) AS term FROM documents"""
+_VIEWS["term_counts"] = f"""
+        SELECT term, count(*) AS n FROM doc_terms WHERE term <> '' AND term NOT IN {_STOP_WORDS}
+        GROUP BY term"""
+
 _RECURSIVE = {"merging", "long_merging", "thin_merging"}
 
 
@@ -758,6 +765,43 @@ _BODIES: dict[str, str] = {
                      string_agg(speaker || ':' || name || '/' || utterance_count, '|'
                        ORDER BY cast(speaker AS VARCHAR)) AS speakers
                    FROM assigned GROUP BY video_id) m USING (video_id)""",
+    "similar_vectors": """
+        SELECT vec_id, round(list_cosine_similarity(cast(embedding AS DOUBLE[]), (
+          SELECT cast(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 7)), 6) AS similarity
+        FROM embeddings ORDER BY list_cosine_similarity(cast(embedding AS DOUBLE[]), (
+          SELECT cast(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 7)) DESC, vec_id LIMIT 10""",
+    "search_text": """
+        SELECT doc_id, hits, array_to_string(list_transform(string_split(text, ' '), lambda w:
+          CASE WHEN lower(w) IN ('with', 'from') THEN '[' || w || ']' ELSE w END), ' ') AS marked
+        FROM documents JOIN (SELECT doc_id, count(*) AS hits FROM doc_terms
+          WHERE term IN ('with', 'from') GROUP BY doc_id HAVING count(DISTINCT term) = 2) USING (doc_id)
+        WHERE lang = 'en'""",
+    "frequent_terms": "SELECT term, n FROM term_counts ORDER BY n DESC, term LIMIT 50",
+    "topic_timeline": """
+        SELECT strftime(published_at, '%Y-%m-%d') AS "day", term, count(*) AS n
+        FROM (SELECT published_at, unnest(string_split_regex(lower(description), '[ \\n]+')) AS term
+              FROM episodes)
+        WHERE term IN (SELECT term FROM term_counts ORDER BY n DESC, term LIMIT 10)
+        GROUP BY ALL""",
+    "person_appearances": """
+        SELECT name, count(DISTINCT video_id) AS recordings, count(*) AS utterances,
+          min("start") AS first_start, max("end") AS last_end
+        FROM utterances JOIN assigned USING (video_id, speaker) GROUP BY name""",
+    "person_quotes": """
+        SELECT name, video_id, cast(rank AS INTEGER) AS rank, "start", transcript
+        FROM (SELECT *, row_number() OVER (PARTITION BY video_id, speaker
+                ORDER BY length(transcript) DESC, pos) AS rank FROM utterances)
+        JOIN assigned USING (video_id, speaker) WHERE rank <= 3""",
+    "completions": """
+        SELECT prefix, cast(rank AS INTEGER) AS rank, term, n
+        FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY n DESC, term) AS rank
+              FROM (SELECT left(term, size) AS prefix, term, n
+                    FROM (SELECT *, unnest(range(1, least(length(term), 4) + 1)) AS size FROM term_counts)))
+        WHERE rank <= 5""",
+    "usage_by_day": """
+        SELECT strftime(ts, '%Y-%m-%d') AS "day", event_type, count(*) AS events,
+          count(DISTINCT user_id) AS users
+        FROM events GROUP BY ALL""",
     "stream_chunks": "SELECT * FROM doc_chunked",
     "stream_upsert": "SELECT * FROM upserted",
     "stream_type_counts": """

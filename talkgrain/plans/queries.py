@@ -16,6 +16,7 @@ from talkgrain.functions import transcripts as X
 from talkgrain.operators import catalogue as C
 from talkgrain.operators import chunks as K
 from talkgrain.operators import report as R
+from talkgrain.operators import search as Q
 from talkgrain.operators import samples as S
 from talkgrain.operators import speakers as P
 from talkgrain.operators import turns as U
@@ -629,6 +630,60 @@ def speakers_map_merge(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# -- search ------------------------------------------------------------------
+
+STOP_WORDS = ("the", "and", "of", "to", "is", "a", "in", "on", "der", "die", "le", "la", "de", "el")
+
+
+def _term_counts(spark: SparkSession, d: str) -> DataFrame:
+    stop_words = spark.createDataFrame([(w,) for w in STOP_WORDS], "term string")
+    return Q.term_counts(T.table(spark, d, "documents"), stop_words)
+
+
+@query
+def similar_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The ten vectors nearest to vector 7."""
+    vectors = T.table(spark, d, "embeddings")
+    given = vectors.where("vec_id = 7").select("embedding").first()["embedding"]
+    return Q.nearest(vectors, given).select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def search_text(spark: SparkSession, d: str) -> DataFrame:
+    documents = T.table(spark, d, "documents")
+    return Q.search(documents, Q.term_table(documents), ("With", "from"), lang="en")
+
+
+@query
+def frequent_terms(spark: SparkSession, d: str) -> DataFrame:
+    return Q.frequent_terms(_term_counts(spark, d))
+
+
+@query
+def topic_timeline(spark: SparkSession, d: str) -> DataFrame:
+    return Q.timeline(T.episodes(spark, d), Q.frequent_terms(_term_counts(spark, d), 10))
+
+
+@query
+def person_appearances(spark: SparkSession, d: str) -> DataFrame:
+    return Q.appearances(T.utterances(spark, d), _assigned(spark, d))
+
+
+@query
+def person_quotes(spark: SparkSession, d: str) -> DataFrame:
+    return Q.quotes(T.utterances(spark, d), _assigned(spark, d))
+
+
+@query
+def completions(spark: SparkSession, d: str) -> DataFrame:
+    return Q.completions(_term_counts(spark, d))
+
+
+@query
+def usage_by_day(spark: SparkSession, d: str) -> DataFrame:
+    return Q.usage(T.table(spark, d, "events"))
+
+
 # -- streams -----------------------------------------------------------------
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:

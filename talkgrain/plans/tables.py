@@ -30,6 +30,9 @@ SCHEMAS = {
     "conversations": "conv_id bigint, turn bigint, role string, text string",
     "labels": "doc_id bigint, quality int, toxic int",
     "benchmark": "item_id bigint, text string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,"
+              " value double, props string",
 }
 
 
