@@ -495,6 +495,13 @@ _BODIES: dict[str, str] = {
           CASE WHEN NOT rejected THEN cast(len(ls) * 5 AS DOUBLE) END AS duration,
           video_id, CASE WHEN NOT rejected THEN len(ls) END AS utterances
         FROM docs""",
+    "file_inventory": """
+        SELECT left(file_name, 1) AS digit, count(*) AS files, true AS filled FROM docs GROUP BY ALL""",
+    "transcript_files": """
+        SELECT file_name, rejected,
+          CASE WHEN NOT rejected THEN cast(len(ls) * 5 AS DOUBLE) END AS duration,
+          video_id, CASE WHEN NOT rejected THEN len(ls) END AS utterances
+        FROM docs""",
     "rejected_transcripts": """
         SELECT file_name, CASE form WHEN 'broken' THEN 'not JSON' WHEN 'bare' THEN 'no episode metadata'
             ELSE 'unreadable date' END AS reason

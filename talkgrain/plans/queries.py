@@ -153,6 +153,38 @@ def scan_transcripts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _landed(spark: SparkSession, d: str, name: str) -> str:
+    """Transcript documents as files, each in a folder named after it."""
+    path = scratch_dir(spark, name)
+    T.transcript_documents(spark, d).withColumnRenamed("document", "value").write.partitionBy(
+        "file_name").text(path)
+    return path
+
+
+@query
+def transcript_files(spark: SparkSession, d: str) -> DataFrame:
+    """The same facts from documents that lie as files, broken ones among them."""
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "file_name=([^/]*)/", 1)
+    files = ST.read_transcripts(spark, _landed(spark, d, "transcripts"), names="part-*")
+    return files.select(
+        folder.alias("file_name"),
+        F.col("_corrupt_record").isNotNull().alias("rejected"),
+        F.col("results.duration").alias("duration"),
+        F.col("episode_metadata.video_id").alias("video_id"),
+        F.expr("cast(size(results.utterances) as bigint)").alias("utterances"),
+    )
+
+
+@query
+def file_inventory(spark: SparkSession, d: str) -> DataFrame:
+    """Number of the landed transcript files by the first digit of their folder, and whether all of
+    them have contents."""
+    listed = SC.read_inventory(spark, _landed(spark, d, "inventory"))
+    return listed.where("file_name like 'part-%'").groupBy(
+        F.regexp_extract("path", "file_name=([0-9])", 1).alias("digit")).agg(
+        F.count("*").alias("files"), (F.min("length") > 1).alias("filled"))
+
+
 @query
 def rejected_transcripts(spark: SparkSession, d: str) -> DataFrame:
     return I.rejected_stream(T.transcript_documents(spark, d))
@@ -170,8 +202,10 @@ def explode_words(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def flatten_video_items(spark: SparkSession, d: str) -> DataFrame:
-    rows = SC.episodes_from_items(SC.parse_video_items(T.video_items(spark, d)))
-    return _flat_episodes(rows)
+    """Landed items as files of one JSON object per line, some of them broken."""
+    path = scratch_dir(spark, "items")
+    T.video_items(spark, d).withColumnRenamed("item", "value").write.text(path)
+    return _flat_episodes(SC.episodes_from_items(SC.read_video_items(spark, path)))
 
 
 @query
@@ -693,11 +727,13 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 @query
 def stream_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of transcript files as they land, some hundred files at a time."""
     out = scratch_dir(spark, "stream-chunks")
-    documents = T.documents_of(_stream(spark, d, "conversations"))
+    landed = ST.stream_transcripts(
+        spark, _landed(spark, d, "landing"), names="part-*", per_trigger=300)
     known = C.classify(T.document_episodes(spark, d))
     (
-        I.chunk_stream(documents, known).writeStream.format("parquet")
+        I.chunk_parsed(landed, known).writeStream.format("parquet")
         .option("path", f"{out}/chunks").option("checkpointLocation", f"{out}/progress")
         .trigger(availableNow=True).start().awaitTermination()
     )

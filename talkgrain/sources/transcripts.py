@@ -10,15 +10,26 @@ from talkgrain.plans import blocks
 from talkgrain.sources.catalogue import iso_text
 
 
-def read_transcripts(spark: SparkSession, directory: str) -> DataFrame:
-    """One row per ``*.json`` transcript file, with its ``file_name``.
+def read_transcripts(spark: SparkSession, directory: str, *, names: str = "*.json") -> DataFrame:
+    """One row per transcript file, with its ``file_name``.
 
     A file that is not valid JSON keeps its text in ``_corrupt_record``; see
     :func:`accepted` and :func:`rejected`.
     """
+    return _documents(spark.read, directory, names)
+
+
+def stream_transcripts(
+    spark: SparkSession, directory: str, *, names: str = "*.json", per_trigger: int = 1000
+) -> DataFrame:
+    """The same rows as a stream of the files that land in a directory."""
+    return _documents(spark.readStream.option("maxFilesPerTrigger", per_trigger), directory, names)
+
+
+def _documents(reader, directory: str, names: str) -> DataFrame:
     return (
-        spark.read.schema(schemas.TRANSCRIPT_DOCUMENT_DDL).option("multiLine", True)
-        .option("pathGlobFilter", "*.json").option("mode", "PERMISSIVE")
+        reader.schema(schemas.TRANSCRIPT_DOCUMENT_DDL).option("multiLine", True)
+        .option("pathGlobFilter", names).option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt_record").json(directory)
         .withColumn("file_name", F.col("_metadata.file_name"))
     )

@@ -21,9 +21,13 @@ def chunk_stream(documents: DataFrame, episodes: DataFrame) -> DataFrame:
     is a static catalogue. Unreadable documents are left to
     :func:`rejected_stream`.
     """
-    parsed = transcripts.accepted(transcripts.parse_transcripts(documents))
-    rows = chunks.document_chunk_rows(chunks.readable_documents(parsed), episodes)
-    return chunks.chunk_documents(rows)
+    return chunk_parsed(transcripts.parse_transcripts(documents), episodes)
+
+
+def chunk_parsed(parsed: DataFrame, episodes: DataFrame) -> DataFrame:
+    """The same from parsed documents, as ``transcripts.stream_transcripts`` yields them."""
+    readable = chunks.readable_documents(transcripts.accepted(parsed))
+    return chunks.chunk_documents(chunks.document_chunk_rows(readable, episodes))
 
 
 def rejected_stream(documents: DataFrame) -> DataFrame:
