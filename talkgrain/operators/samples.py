@@ -89,6 +89,41 @@ def transcript_sample(
     )
 
 
+def sample_in_document(
+    transcripts: DataFrame, max_chars: int = SAMPLE_CHARS, section_size: int = SECTION_UTTERANCES
+) -> DataFrame:
+    """The same sample straight from transcript documents, without a shuffle.
+
+    A document that has no list of utterances at all is sampled from its plain
+    text by :func:`plain_sample`.
+    """
+    k = section_size
+    stretches = (("0", f"least({k}, n)"), ("n div 2", f"least({k}, n div 2)"),
+                 (f"greatest(0, n - {k})", f"least({k}, n)"))
+    line = "concat('Speaker ', cast(u.speaker as string), ': ', u.transcript)"
+    said = ("transform(filter(slice(us, {0} + 1, {1}), u -> u.speaker is not null"
+            " and u.transcript is not null), u -> " + line + ")")
+    fits = ("filter({0}, (l, i) -> 3 * aggregate(slice({0}, 1, i), 0, (a, x) -> a + length(x))"
+            f" <= {max_chars})")
+    header = (f"case when {{0}} = 0 then '{BEGINNING}' when {{0}} = n div 2 then '{MIDDLE}'"
+              f" else '{END}' end")
+    rows = transcripts.select(
+        F.col("episode_metadata.video_id").alias("video_id"), "results.utterances",
+        F.col("results.transcript").alias("plain"),
+        F.expr("coalesce(results.utterances, array())").alias("us"),
+    ).withColumn("n", F.size("us"))
+    rows = rows.withColumns({f"s{i}": F.expr(said.format(*s)) for i, s in enumerate(stretches)})
+    sections = ", ".join(
+        f"named_struct('h', {header.format(first)}, 'ls', {fits.format(f's{i}')})"
+        for i, (first, _) in enumerate(stretches))
+    kept = ("filter(sections, (s, i) -> aggregate(slice(sections, 1, i), 0, (a, x) ->"
+            f" a + aggregate(x.ls, 0, (b, l) -> b + length(l))) < {max_chars})")
+    rows = rows.withColumn("sections", F.expr(f"array({sections})"))
+    spoken = F.expr(f"array_join(flatten(transform({kept}, s -> concat(array(s.h), s.ls))), '\\n')")
+    return rows.select("video_id", F.when(F.col("utterances").isNotNull(), spoken).otherwise(
+        plain_sample(F.coalesce("plain", F.lit("")))).alias("sample"))
+
+
 def plain_sample(text: Column | str, lines: int = PLAIN_LINES) -> Column:
     """Sample of a plain transcript: all lines, or ten from start, middle and end."""
     t = F.col(text) if isinstance(text, str) else text

@@ -421,9 +421,12 @@ _VIEWS: dict[str, str] = {
           SELECT {_FETCHED}, {_ADDED} FROM catalogue
           WHERE video_id NOT IN (SELECT video_id FROM updates))""",
 }
+_VIEWS["doc_whole"] = "SELECT * FROM doc_utterances WHERE form = 'whole'"
 for _name in ("sections", "sample_lines", "used", "kept", "section_chars", "sampled", "samples"):
     _body = re.sub(r"\b(FROM|JOIN) (sections|sample_lines|used|kept|section_chars|sampled)\b",
                    r"\1 long_\2", _VIEWS[_name])
+    _VIEWS[f"doc_{_name}"] = re.sub(r"\butterances\b", "doc_whole", _body.replace("long_", "doc_")).replace(
+        "FROM facts f", "FROM (SELECT video_id FROM docs WHERE form = 'whole') f")
     _VIEWS[f"long_{_name}"] = re.sub(r"\butterances\b", "long", _body).replace(
         "FROM facts f", "FROM (SELECT DISTINCT video_id FROM long) f")
 _VIEWS["transcribed_header"] = _VIEWS["header"].replace(
@@ -683,6 +686,7 @@ _BODIES: dict[str, str] = {
           first(who ORDER BY pos) AS speaker, count(*) AS words,
           string_agg(transcript, ' ' ORDER BY pos) AS "text"
         FROM long_runs GROUP BY video_id, run""",
+    "document_sample": "SELECT video_id, sample FROM doc_samples",
     "long_transcript_sample": "SELECT video_id, sample FROM long_samples",
     "readable_header": "SELECT * FROM header",
     "readable_transcript": "SELECT * FROM readable",

@@ -545,6 +545,11 @@ def transcript_sample(spark: SparkSession, d: str) -> DataFrame:
     return S.transcript_sample(T.utterances(spark, d), known)
 
 
+@query
+def document_sample(spark: SparkSession, d: str) -> DataFrame:
+    return S.sample_in_document(_whole(spark, d))
+
+
 @query
 def plain_transcript_sample(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat_ws("\n", F.split("description", "[ \n]+"))

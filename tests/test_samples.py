@@ -92,3 +92,32 @@ def test_head_sample(spark):
         F.struct(F.col("id")[0].alias("video_id")).alias("episode_metadata"))
     sample = S.head_sample(documents).first().sample.split("\n")
     assert sample == ["Speaker ?: t0"] + [f"Speaker {i}: t{i}" for i in range(1, 10)]
+
+
+def test_samples_in_documents_equal_the_row_form(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = []
+    for n in (0, 1, 2, 19, 20, 21, 38, 39, 40, 41, 60, 100):
+        for i in range(n):
+            speaker, text = rng.choice([0, 1, 2, None]), "x" * rng.choice([20, 100, 500, 3000])
+            rows.append((f"v{n}", i, speaker, None if rng.random() < 0.1 else text))
+    flat = spark.createDataFrame(rows, "video_id string, pos bigint, speaker int, transcript string")
+    ids = spark.createDataFrame([(f"v{n}",) for n in (0, 1, 2, 19, 20, 21, 38, 39, 40, 41, 60, 100)], "video_id string")
+    lists = flat.groupBy("video_id").agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("pos", "speaker", "transcript"))),
+        lambda x: F.struct(x["speaker"].alias("speaker"), x["transcript"].alias("transcript"))).alias("u"))
+    documents = ids.join(lists, "video_id", "left").select(
+        F.struct(F.coalesce("u", F.expr("cast(array() as array<struct<speaker: int, transcript: string>>)"))
+                 .alias("utterances"), F.lit("p").alias("transcript")).alias("results"),
+        F.struct("video_id").alias("episode_metadata"))
+    want = sorted(map(tuple, S.transcript_sample(flat, ids).collect()))
+    assert sorted(map(tuple, S.sample_in_document(documents).collect())) == want
+
+
+def test_plain_text_is_sampled_only_without_utterances(spark):
+    rows = spark.sql("""
+        select named_struct('utterances', cast(null as array<struct<speaker: int, transcript: string>>),
+                            'transcript', 'plain text') results, named_struct('video_id', 'v') episode_metadata""")
+    assert S.sample_in_document(rows).first().sample == "plain text"
