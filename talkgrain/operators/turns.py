@@ -115,7 +115,6 @@ def name_turns(
     names: DataFrame,
     lengths: DataFrame,
     *,
-    how: str = "left",
     block_rows: int = blocks.BLOCK_ROWS,
 ) -> DataFrame:
     """Add ``name`` from :func:`names_by_video`, else ``Speaker <id>``.
@@ -123,15 +122,17 @@ def name_turns(
     ``lengths`` (video_id, length) has the number of words of each transcript.
     """
     in_use = blocks.blocks_in_use(lengths, "video_id", size=block_rows)
+    return blocks.attach_by_block(turns, names, in_use, "video_id").withColumn(
+        "name", _name()).drop("names")
+
+
+def _name() -> Column:
     named = F.expr("if(speaker is null, null, names[speaker])")
-    return (
-        blocks.attach_by_block(turns, names, in_use, "video_id", how=how)
-        .withColumn("name", F.coalesce(named, X.speaker_tag("speaker"))).drop("names")
-    )
+    return F.coalesce(named, X.speaker_tag("speaker"))
 
 
-def header_lines(episodes: DataFrame) -> DataFrame:
-    """Header of a readable transcript: (video_id, line_no, line), line_no below 0."""
+def header(episodes: DataFrame) -> DataFrame:
+    """(video_id, header): the header lines of a readable transcript as an array."""
     timed = "coalesce(transcript_duration, 0) <> 0 and coalesce(metadata.duration_seconds, 0) <> 0"
     covered = f"{timed} and coalesce(metadata.transcript_coverage, 0) <> 0"
     lines = F.array(
@@ -151,17 +152,13 @@ def header_lines(episodes: DataFrame) -> DataFrame:
         F.lit(RULE),
         F.lit(""),
     )
-    numbered = episodes.select("video_id", F.posexplode(F.array_compact(lines)).alias("i", "line"))
-    return numbered.select("video_id", (F.col("i") - 100).cast("bigint").alias("line_no"), "line")
+    return episodes.select("video_id", F.array_compact(lines).alias("header"))
 
 
-def render_turns(named_turns: DataFrame) -> DataFrame:
-    """Turn lines (video_id, line_no, line); line_no is where in the words they begin."""
-    return named_turns.select(
-        "video_id",
-        F.col("turn_pos").alias("line_no"),
-        X.turn_line("start", "name", "text").alias("line"),
-    )
+def header_lines(episodes: DataFrame) -> DataFrame:
+    """The same as rows (video_id, line_no, line), line_no below 0."""
+    numbered = header(episodes).select("video_id", F.posexplode("header").alias("i", "line"))
+    return numbered.select("video_id", (F.col("i") - 100).cast("bigint").alias("line_no"), "line")
 
 
 def readable_transcript(
@@ -177,15 +174,34 @@ def readable_transcript(
     Lines sort by (video_id, line_no). Episodes whose transcript has no words get
     the no-data line instead of turns; words of unknown episodes are left out.
     ``lengths`` (video_id, length) has the number of words where that is known.
+
+    What an episode adds (header, names, whether it has words) is one row, which
+    meets the turns once for each block of its words, and once more, as block -1,
+    for the header. Turns keep the partitioning they were built on.
     """
     if lengths is None:
         lengths = blocks.lengths_of(words.where("pos is not null"), "video_id", "pos")
     transcribed = episodes.where("coalesce(transcript_filename, '') <> ''")
-    names = transcribed.select("video_id").join(names_by_video(speakers), "video_id", "left")
-    turns = speaker_turns(words, block_rows=block_rows)
-    named = name_turns(turns, names, lengths, how="inner", block_rows=block_rows)
-    lines = render_turns(named)
-    silent = transcribed.join(lengths.where("length > 0"), "video_id", "left_anti").select(
-        "video_id", F.lit(0).cast("bigint").alias("line_no"), F.lit(NO_DATA).alias("line")
+    facts = (
+        header(transcribed).join(names_by_video(speakers), "video_id", "left")
+        .join(lengths.select("video_id", "length"), "video_id", "left")
+        .withColumn("length", F.coalesce("length", F.lit(0)))
+        .withColumn("block", F.explode(F.expr(
+            f"sequence(-1L, if(length > 0, (length - 1) div {block_rows}, -1L))")))
+        .withColumns({
+            "header": F.when(F.col("block") < 0, F.col("header")),
+            "names": F.when(F.col("block") >= 0, F.col("names")),
+        })
     )
-    return header_lines(transcribed).unionByName(lines).unionByName(silent)
+    turns = speaker_turns(words, block_rows=block_rows)
+    met = turns.join(facts, ["video_id", "block"], "right").withColumn("name", _name())
+
+    def line(number: Column, text: Column) -> Column:
+        return F.struct(number.cast("bigint").alias("line_no"), text.alias("line"))
+
+    no_data = F.when(F.col("length") == 0, F.array(line(F.lit(0), F.lit(NO_DATA)))).otherwise(
+        F.expr("cast(array() as array<struct<line_no: bigint, line: string>>)"))
+    top = F.concat(F.transform("header", lambda x, i: line(i - 100, x)), no_data)
+    turn = F.when(F.col("turn_pos").isNotNull(),
+                  F.array(line(F.col("turn_pos"), X.turn_line("start", "name", "text"))))
+    return met.select("video_id", F.inline(F.when(F.col("block") < 0, top).otherwise(turn)))
