@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkgrain.llm.text import mix, word_hashes, word_spans
+from talkgrain.llm.text import in_small_batches, mix, word_hashes, word_spans
 
 SAMPLE = 400
 DRAWN = 500
@@ -418,7 +418,7 @@ def fit(pages: DataFrame, sample: int = SAMPLE, drawn: int = DRAWN) -> Labeller:
 
 def extract(pages: DataFrame, model: Labeller) -> DataFrame:
     """page_id, url, text and n_chars of every row."""
-    rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
+    rows = in_small_batches(pages).select("page_id", "url", F.col("html").cast("string").alias("html"))
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkgrain.llm.components import among, components
-from talkgrain.llm.text import LOWER, mix, slices, windows, word_hashes, word_spans
+from talkgrain.llm.text import LOWER, in_small_batches, mix, slices, windows, word_hashes, word_spans
 from talkgrain.plans.scratch import stored
 
 WIDTH = 5
@@ -310,8 +310,8 @@ def _product(moving: pa.RecordBatch, gram, row, held, percent: int) -> pa.Record
 
 def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
-                       F.col("text").cast("string").alias("text"))
+    docs = in_small_batches(docs).select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profile = stored(profiles(docs, width), "jaccard-profiles")
     kept = stored(candidates(docs, width, percent), "jaccard-candidates")
     sets = stored(gram_sets(among(docs, "doc_id", kept, "doc_id"), width), "jaccard-sets")

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from talkgrain.llm.components import among
 from talkgrain.llm.labelled import sample
-from talkgrain.llm.text import LOWER, slices, word_hashes, word_spans
+from talkgrain.llm.text import LOWER, in_small_batches, slices, word_hashes, word_spans
 from talkgrain.plans.scratch import stored
 
 #: At most so many labelled texts of each class are learned from.
@@ -112,7 +112,7 @@ def train(texts: list[str], y: np.ndarray, _weight: np.ndarray) -> Evidence:
     """Class-balanced logistic regression by Newton steps; evidence is relative to even odds."""
     column = pa.array(texts, pa.string())
     x = np.concatenate([features(np.zeros(0, np.uint8), np.zeros(1, np.int64)), *(
-        features(data, offsets) for _, _, data, offsets in slices(column, 1 << 20))])
+        features(data, offsets) for _, _, data, offsets in slices(column))])
     if not y.sum() or y.all():
         return Evidence(np.zeros(x.shape[1]), np.ones(x.shape[1]), np.zeros(1 + 2 * x.shape[1]))
     mean, scale = x.mean(0), x.std(0) + 1e-3
@@ -132,13 +132,13 @@ def train(texts: list[str], y: np.ndarray, _weight: np.ndarray) -> Evidence:
 
 def _judged(docs: DataFrame, model: Evidence) -> DataFrame:
     """``docs`` with ``evidence``, the log odds of the text alone."""
-    rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    rows = in_small_batches(docs).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
                        F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("rest"))
     schema = T.StructType([rows.schema["rest"], T.StructField("evidence", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in slices(batch.column(0), 1 << 20):
+            for a, b, data, offsets in slices(batch.column(0)):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(1).slice(a, b - a), pa.array(model.log_odds(features(data, offsets)))],
                     ["rest", "evidence"])

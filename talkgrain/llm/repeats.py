@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 
 from talkgrain.llm.components import among
 from talkgrain.llm.text import (
-    byte_values, mix, raw, rolling, slices, span_hash, word_hashes, word_spans,
+    byte_values, in_small_batches, mix, raw, rolling, slices, span_hash, word_hashes, word_spans,
 )
 from talkgrain.plans.scratch import stored
 
 #: Rows of one group in a task, of some 300 bytes each.
 GROUP_ROWS = 20_000
 #: Rows that a task ranks together.
-TOGETHER = 8192
+TOGETHER = 4096
 
 
 @dataclass(frozen=True)
@@ -65,7 +65,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     and text are the same."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rest = [docs[c] for c in docs.columns if c not in ("doc_id", "text")]
-    return docs.select(
+    return in_small_batches(docs).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"),
         (F.struct(*rest) if rest else F.struct(F.lit(0).alias("none"))).alias("rest")).select(
         "*", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("h"))

@@ -10,9 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Bytes of text handled at once inside a task; a longer document is handled alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+
+#: Rows of text that Spark hands to a Python task at once, and their bytes.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -25,6 +29,15 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df`` as it is; from here on its session hands rows to Python tasks in batches that stay small
+    for long texts too, so a task's memory does not depend on how long texts are in a table."""
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        conf.set(f"spark.sql.execution.arrow.{key}", most)
+    return df
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (a bijection)."""
     x = x ^ (x >> np.uint64(30))

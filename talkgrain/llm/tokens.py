@@ -25,13 +25,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkgrain.llm.text import slices
+from talkgrain.llm.text import in_small_batches, slices
 
 LIMIT = 2048
 #: Counts of so many distinct pre-tokens are remembered by a task.
 REMEMBERED = 200_000
 #: Text handled at once inside a task.
-AT_ONCE = 4 << 20
+AT_ONCE = 1 << 20
 
 # White space and the pre-token pattern as the tokenizer file has them.
 _SPACES = "\\t\\n\\x0B\\x0C\\r \\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
@@ -149,7 +149,7 @@ def load(path: str) -> WordBpe:
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row; ``path`` is the vocabulary file, at
     the same place on every machine."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = in_small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
