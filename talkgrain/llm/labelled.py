@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A longer text is scored like any other but not learned from.
-LEARN_BYTES = 200_000
+LEARN_BYTES = 20_000
 
 
 def fold(doc_id: Column) -> Column:
