@@ -149,20 +149,21 @@ def assign_names(stats: DataFrame, candidates: DataFrame) -> DataFrame:
     Hosts go to the most talkative speakers in order; guests to the speakers
     still unnamed, in order of appearance.
     """
-    def of(kind: str) -> DataFrame:
-        return candidates.where(F.col("kind") == kind).select(
-            "video_id", F.col("name_rank").alias("_rank"),
-            F.col("name").alias(f"{kind}_name"), F.col("confidence").alias(f"{kind}_confidence"),
-        )
-
-    ranked = ranked_speakers(stats).withColumnRenamed("speaker_rank", "_rank")
-    hosted = ranked.join(of("host"), ["video_id", "_rank"], "left").drop("_rank")
-    unnamed = F.col("host_name").isNull()
+    # Names by rank, folded to one row per video: everything then meets on video_id.
+    named = candidates.groupBy("video_id").agg(*[
+        F.map_from_entries(F.collect_list(F.when(
+            F.col("kind") == kind, F.struct("name_rank", F.struct("name", "confidence")))))
+        .alias(f"_{kind}s") for kind in ("host", "guest")])
+    ranked = ranked_speakers(stats).join(named, "video_id", "left").withColumn(
+        "_host", F.expr("_hosts[cast(speaker_rank as int)]"))
+    unnamed = F.col("_host").isNull()
     # Counted over all speakers, a speaker's rank among the unnamed ones so far.
     so_far = Window.partitionBy("video_id").orderBy("first_pos")
     free = F.sum(F.when(unnamed, 1).otherwise(0)).over(so_far)
-    both = hosted.withColumn("_rank", F.when(unnamed, free).otherwise(0)).join(
-        of("guest"), ["video_id", "_rank"], "left")
+    both = ranked.withColumn("_free", free).withColumn(
+        "_guest", F.when(unnamed, F.expr("_guests[cast(_free as int)]"))).select(
+        "*", F.col("_host.name").alias("host_name"), F.col("_host.confidence").alias("host_confidence"),
+        F.col("_guest.name").alias("guest_name"), F.col("_guest.confidence").alias("guest_confidence"))
     is_guest = unnamed & F.col("guest_name").isNotNull()
     is_unknown = unnamed & F.col("guest_name").isNull()
     unknown = F.concat(F.lit("Unknown Speaker "), F.col("speaker").cast("string"))
