@@ -9,7 +9,7 @@ verified overlap is contaminated.
 The benchmark's seeds are broadcast when they are at most ``BROADCAST_ROWS``, else joined by a
 shuffle; only hits go further, and only texts with hits are read again.
 
-Cases: tokens are the words after A-Z is lower-cased; a null or empty text or item has none; a text
+Cases: tokens are the words of the lower-cased text; a null or empty text or item has none; a text
 or item of fewer than ``span`` tokens holds no seed and is never matched; null ids and null item ids
 match nothing; rows with one id are judged together, repeated rows stay rows; an empty benchmark
 leaves every document clean; other columns are not read.
@@ -28,11 +28,9 @@ MASKS = ((0, 1, 2, 4, 6, 7, 10), (0, 1, 3, 5, 6, 9, 10), (0, 2, 3, 4, 7, 8, 10))
 SPAN = 11
 PERCENT = 70
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
 
 def tokens(text: Column) -> Column:
-    lower = F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER)
+    lower = F.lower(F.coalesce(text.cast("string"), F.lit("")))
     return F.array_remove(F.split(lower, "[\\x20\\x09-\\x0D]+"), "")
 
 

@@ -53,12 +53,10 @@ def _picked(mask: tuple[int, ...]) -> str:
 
 DECONTAMINATION = r"""
 with d as (
-  select doc_id, regexp_extract_all(translate(coalesce(text, ''),
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') as w
   from documents
 ), b as (
-  select item_id, regexp_extract_all(translate(coalesce(text, ''),
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  select item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') as w
   from benchmark
 ), dp as (
   select doc_id, w, unnest(range(0, len(w) - SPAN + 1)) as i from d where len(w) >= SPAN
