@@ -20,6 +20,34 @@ def among(df: DataFrame, column: str, ids: DataFrame, id_column: str, how: str =
     return df.join(ids, df[column] == ids["_id"], how)
 
 
+#: A key with more rows than this is joined by broadcast, and its rows stay where they are.
+HOT_ROWS = 100_000
+#: Parts in which a group of equal rows is gathered.
+PARTS = 64
+
+
+def join_counted(rows: DataFrame, counts: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows.join(counts, key)`` where the stored ``counts`` says how many rows each key has. Keys of
+    more than ``HOT_ROWS`` would gather in one task each; they are few, and join by broadcast."""
+    hot = counts.where(F.col(count) > HOT_ROWS)
+    if not 0 < hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(counts, key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(
+        rest.join(counts.where(F.col(count) <= HOT_ROWS), key))
+
+
+def equal_rows(rows: DataFrame, keys: list[str], node: str) -> DataFrame:
+    """(a, b) for rows that agree in ``keys``: a row's node a with the smallest node b of its part of
+    the group, and the parts' b with the group's. A group of any size is met in ``PARTS`` parts."""
+    parts = rows.withColumn("_part", F.pmod(F.xxhash64(node), F.lit(PARTS)))
+    low = stored(parts.groupBy(*keys, "_part").agg(F.min(node).alias("b"), F.count("*").alias("_n")), "equal")
+    least = low.groupBy(*keys).agg(F.min("b").alias("c"), F.sum("_n").alias("_all")).where("_all > 1")
+    met = stored(low.join(least, keys), "equal")
+    return parts.join(met, [*keys, "_part"]).select(F.col(node).alias("a"), "b").unionByName(
+        met.select(F.col("b").alias("a"), F.col("c").alias("b")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that has an edge (a, b) to another; the component is the
     smallest node that edges reach.

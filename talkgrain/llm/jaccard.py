@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkgrain.llm.components import among, components
+from talkgrain.llm.components import among, components, equal_rows, join_counted
 from talkgrain.llm.text import LOWER, in_small_batches, mix, slices, windows, word_hashes, word_spans
 from talkgrain.plans.scratch import stored
 
@@ -158,9 +158,9 @@ def candidates(docs: DataFrame, width: int, percent: int) -> DataFrame:
 def incidence(sets: DataFrame, percent: int) -> DataFrame:
     """Rows (doc_id, n, gram, suffix) of step 3; ``suffix`` counts the n-grams after the prefix."""
     grams = sets.select("doc_id", F.explode("grams").alias("gram"))
-    shared = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    shared = stored(grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"), "jaccard-shared")
     least = F.expr(f"({percent} * n + 99) div 100")
-    kept = grams.join(shared, "gram").groupBy("doc_id").agg(
+    kept = join_counted(grams, shared, "gram", "df").groupBy("doc_id").agg(
         F.collect_list(F.struct("df", "gram")).alias("common"))
     kept = kept.join(sets.select("doc_id", "n"), "doc_id").where(F.size("common") >= least)
     room = (F.size("common") - least + 1).cast("int")
@@ -211,9 +211,10 @@ def _fits(percent: int) -> str:
 
 def star_pairs(block: DataFrame, percent: int, pick) -> DataFrame:
     """Each document with the document ``pick`` of each of its n-grams."""
-    star = block.groupBy("gram").agg(
-        pick(F.struct("doc_id", "n", "suffix")).alias("s"), F.count("*").alias("df")).where("df > 1")
-    met = block.join(star, "gram").where("doc_id <> s.doc_id")
+    star = stored(block.groupBy("gram").agg(
+        pick(F.struct("doc_id", "n", "suffix")).alias("s"), F.count("*").alias("df")).where("df > 1"),
+        "jaccard-stars")
+    met = join_counted(block, star, "gram", "df").where("doc_id <> s.doc_id")
     return met.groupBy(F.least("doc_id", "s.doc_id").alias("a"), F.greatest("doc_id", "s.doc_id").alias("b")).agg(
         F.first("n").alias("na"), F.first("s.n").alias("nb"), F.first("suffix").alias("sa"),
         F.first("s.suffix").alias("sb"), F.count("*").alias("c")).where(_fits(percent)).select("a", "b")
@@ -323,10 +324,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     edges = stored(overlapping(star_pairs(block, percent, F.min), sets, percent), "jaccard-edges")
     labels = components(edges)
     more = stored(crossing_links(block, labels, sets, percent), "jaccard-edges")
-    # Equal sets: every row of the signature hangs on the smallest id with it.
-    equal = profile.where("n > 0 and doc_id is not null").groupBy(*same).agg(
-        F.min("doc_id").alias("b"), F.count("*").alias("rows")).where("rows > 1")
-    equal = profile.join(equal, same).select(F.col("doc_id").alias("a"), "b")
+    equal = equal_rows(profile.where("n > 0 and doc_id is not null"), same, "doc_id")
     found = components(edges.unionByName(more).unionByName(equal))
     return profile.join(found, profile["doc_id"] == found["node"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkgrain.llm.components import among
+from talkgrain.llm.components import PARTS, among, join_counted
 from talkgrain.llm.text import (
     byte_values, in_small_batches, mix, raw, rolling, slices, span_hash, word_hashes, word_spans,
 )
@@ -325,8 +325,8 @@ def repeated_runs(rows: DataFrame, spec: Windows) -> DataFrame:
     from end to end if it holds a window at all."""
     found = stored(samples(rows, spec), "repeat-samples")
     ranges = found.where("key is not null")
-    often = ranges.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
-    live = ranges.join(often, "key").groupBy("id", "h").agg(
+    often = stored(ranges.groupBy("key").agg(F.count("*").alias("times")).where("times > 1"), "repeat-often")
+    live = join_counted(ranges, often, "key", "times").groupBy("id", "h").agg(
         F.collect_list(F.struct("key", "at", "n", "q")).alias("ranges"))
     live = stored(live, "repeat-ranges")
     held = contents(among(rows, "h", live, "h").join(live, ["id", "h"]), spec)
@@ -343,8 +343,12 @@ def repeated_runs(rows: DataFrame, spec: Windows) -> DataFrame:
     runs = runs.unionByName(grouped(small.repartition("key").sortWithinPartitions("key"), spec))
 
     text = rows.select("id", "h", F.octet_length("text").alias("size"), F.xxhash64(F.lit(1), "text").alias("h2"))
-    same = text.groupBy("h", "size", "h2").agg(F.count("*").alias("rows")).where("rows > 1")
-    whole = text.join(same, ["h", "size", "h2"]).select(
+    # Counted and met in parts, so that a text with very many copies is no single task's work.
+    kind, part = ["h", "size", "h2"], F.pmod(F.xxhash64("id"), F.lit(PARTS)).alias("part")
+    text = text.select("id", *kind, part)
+    counts = text.groupBy(*kind, "part").agg(F.count("*").alias("rows"))
+    same = counts.join(counts.groupBy(*kind).agg(F.sum("rows").alias("all")).where("all > 1"), kind)
+    whole = text.join(same, [*kind, "part"]).select(
         "id", "h", F.lit(0).cast("bigint").alias("at"), F.lit(-1).cast("bigint").alias("n"))
     runs = runs.unionByName(whole)
     return runs.groupBy("id", "h").agg(F.collect_list(F.struct("at", "n")).alias("runs"))

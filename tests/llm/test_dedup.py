@@ -112,3 +112,21 @@ def test_cut_characters_are_left_out(documents):
     done = suffixes.deduplicated(documents([(1, "a" + shared + "ü"), (2, "è" + shared + "b")]))
     assert {r["doc_id"]: r["text"] for r in done.collect()} == {1: "aü", 2: "èb"} or all(
         "�" not in r["text"] for r in done.collect())
+
+
+def test_hot_keys_join_by_broadcast(documents, prose, monkeypatch):
+    rows = fixture(prose)
+    monkeypatch.setattr("talkgrain.llm.components.HOT_ROWS", 3)
+    got = jaccard.link_components(documents(rows))
+    assert sorted(map(tuple, got.collect())) == brute.jaccard(rows)
+    got = suffixes.dedup_bytes(documents(rows))
+    assert sorted(map(tuple, got.collect())) == sorted(brute.bytes_dedup(rows, 200))
+
+
+def test_many_equal_rows(documents, prose):
+    text = prose(60)
+    rows = [(k, text) for k in range(300)] + [(400, prose(60))]
+    got = jaccard.link_components(documents(rows)).collect()
+    assert {r["component_id"] for r in got if r["doc_id"] < 300} == {0}
+    gone = {r["doc_id"]: r["n_removed"] for r in suffixes.dedup_bytes(documents(rows)).collect()}
+    assert all(gone[k] == len(text) for k in range(300)) and gone[400] == 0
