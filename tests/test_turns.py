@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from talkgrain import schemas
-from talkgrain.functions import transcripts as X
 from talkgrain.operators import turns as U
 from talkgrain.plans import blocks
 from talkgrain.sources.catalogue import typed_episodes
