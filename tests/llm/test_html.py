@@ -73,3 +73,13 @@ def test_cases(spark, model):
     assert [r["n_chars"] for r in sorted(got, key=lambda r: r["n_chars"])][:3] == [0, 0, 0]
     assert [r["text"].count("\n") for r in got if r["page_id"] == 4] == [4999, 4999]
     assert html.extract(pages.limit(0), model).count() == 0
+
+
+def test_broken_markup_takes_time_in_proportion():
+    import time
+
+    for piece in ('<a b="c" ', '"<a ', "<a", "<a b='", "<p>", '<div class="q>', "<!-- ", "<script>"):
+        began = time.perf_counter()
+        html.blocks(piece * 40000)
+        assert time.perf_counter() - began < 5
+    html.blocks("<" + "a" * 300000)
