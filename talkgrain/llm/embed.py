@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from talkgrain.llm.components import components
 from talkgrain.plans.scratch import stored
+from talkgrain.plans.ship import ship_package
 
 COSINE = 0.95
 #: Vectors that the index is fitted on; the number of lists is the root of the number of vectors, and
@@ -212,6 +213,7 @@ def _linked(shared, width: int, cosine: float):
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE,
                     lists: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
+    ship_package(vectors.sparkSession)
     vectors = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"),
                              F.col("embedding").cast("array<float>").alias("embedding"))
     found = stored(nodes(vectors), "embed-nodes")

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from talkgrain.plans.ship import ship_package
+
 #: Bytes of text handled at once inside a task; a longer document is handled alone.
 SLICE_BYTES = 1 << 19
 
@@ -32,6 +34,7 @@ LOWER[ord("A"):ord("Z") + 1] += 32
 def in_small_batches(df: DataFrame) -> DataFrame:
     """``df`` as it is; from here on its session hands rows to Python tasks in batches that stay small
     for long texts too, so a task's memory does not depend on how long texts are in a table."""
+    ship_package(df.sparkSession)
     conf = df.sparkSession.conf
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         conf.set(f"spark.sql.execution.arrow.{key}", most)
