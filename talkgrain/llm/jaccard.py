@@ -286,8 +286,8 @@ def _tile_product(percent: int):
                     order = np.argsort(gram, kind="stable")
                     gram, row = gram[order], row[order]
                     held = (ids.to_numpy(), size.to_numpy(), of.to_numpy(), n)
-                for s in range(0, part.num_rows, 128):
-                    yield _product(part.slice(s, 128), gram, row, held, percent)
+                for s in range(0, part.num_rows, 24):
+                    yield _product(part.slice(s, 24), gram, row, held, percent)
 
     return run
 
