@@ -2,9 +2,10 @@
 
 A seed looks at ``span`` consecutive tokens and hashes those a fixed mask selects, so a substituted
 token breaks only the masks that select it. All seeds of the benchmark meet all seeds of all texts.
-Hits of one document and item on one diagonal (equal distance of positions) are then verified as a
-whole: from the first hit to the last, at least ``percent`` of the tokens agree. A document with a
-verified overlap is contaminated.
+Hits of one document and item on one diagonal (equal distance of positions) are then verified: from
+some hit to the same or a later one, at least ``percent`` of the tokens agree. All such stretches
+count, so neither replaced words between two copied parts nor a chance hit far away hide an overlap;
+the one with the most agreeing tokens is reported. A document with a verified overlap is contaminated.
 
 The benchmark's seeds are broadcast when they are at most ``BROADCAST_ROWS``, else joined by a
 shuffle; only hits go further, and only texts with hits are read again.
@@ -49,14 +50,52 @@ def seeds(rows: DataFrame, key: str) -> DataFrame:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, shift, low, high): item positions of the first and last hit on a diagonal."""
+    """(doc_id, item_id, shift, places): the sorted item positions of the hits on a diagonal."""
     items = stored(seeds(benchmark.where("item_id is not null"), "item_id").withColumnRenamed("at", "j"),
                    "decontam-seeds")
     small = items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     own = seeds(docs.where("doc_id is not null"), "doc_id")
     met = own.join(F.broadcast(items) if small else items, ["mask", "seed"])
     return met.groupBy("doc_id", "item_id", (F.col("at") - F.col("j")).alias("shift")).agg(
-        F.min("j").alias("low"), F.max("j").alias("high"))
+        F.sort_array(F.collect_set("j")).alias("places"))
+
+
+def agreeing(low: Column, end: Column) -> Column:
+    """How many item tokens ``b`` from ``low`` to before ``end`` agree with ``d`` on the diagonal."""
+    place = F.filter(F.sequence(low, end), lambda t: t < end)
+    return F.size(F.filter(place, lambda t: F.get("b", t) == F.get("d", t + F.col("shift"))))
+
+
+def most_agreeing(percent: int) -> Column:
+    """The most agreeing tokens of a verified stretch between two hits of ``places``, or null."""
+    places = F.col("places")
+    low, high = F.get(places, F.lit(0)), F.element_at(places, -1)
+    whole = agreeing(low, high + SPAN)
+    # Of each hit: its place, the agreeing tokens from the first hit to before it, and to its end.
+    walk = F.aggregate(
+        places, F.expr("named_struct('place', places[0], 'before', 0,"
+                       " 'all', cast(array() as array<struct<place:int, before:int, upto:int>>))"),
+        lambda s, p: _step(s, p))["all"]
+
+    def lack(agreed, place):
+        return percent * (place - low) - 100 * agreed
+
+    # A stretch from hit p to hit q holds if lack(end of q) <= lack(p): the first such p is the best.
+    def best(hits):
+        return F.array_max(F.transform(hits, lambda q: q["upto"] - F.get(F.filter(
+            hits, lambda p: (p["place"] <= q["place"]) & (
+                lack(q["upto"], q["place"] + SPAN) <= lack(p["before"], p["place"]))), F.lit(0))["before"]))
+
+    walked = F.get(F.transform(F.array(walk), best), F.lit(0))
+    return F.when(100 * whole >= percent * (high - low + SPAN), whole).otherwise(walked)
+
+
+def _step(state: Column, place: Column) -> Column:
+    before = (state["before"] + agreeing(state["place"], place)).cast("int")
+    hit = F.struct(place.alias("place"), before.alias("before"),
+                   (before + agreeing(place, place + SPAN)).cast("int").alias("upto"))
+    return F.struct(place.alias("place"), before.alias("before"),
+                    F.concat(state["all"], F.array(hit)).alias("all"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -65,12 +104,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> D
     texts = among(docs, "doc_id", found, "doc_id").select("doc_id", tokens(F.col("text")).alias("d"))
     items = among(benchmark, "item_id", found, "item_id").select("item_id", tokens(F.col("text")).alias("b"))
     pairs = found.join(items, "item_id").join(texts, "doc_id")
-    place = F.sequence(F.col("low"), F.col("high") + SPAN - 1)
-    agree = F.size(F.filter(place, lambda t: F.get("b", t) == F.get("d", t + F.col("shift"))))
-    return pairs.select("doc_id", "item_id", agree.cast("bigint").alias("matched"),
-                        (F.col("high") - F.col("low") + SPAN).alias("width")).where(
-        100 * F.col("matched") >= percent * F.col("width")).groupBy("doc_id", "item_id").agg(
-        F.max("matched").alias("matched"))
+    return pairs.select("doc_id", "item_id", most_agreeing(percent).cast("bigint").alias("matched")).where(
+        "matched is not null").groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -38,3 +38,36 @@ def test_empty(spark, documents):
     none = items(spark, [])
     assert [r["contaminated"] for r in decontam.contamination(documents([(1, "a " * 30)]), none).collect()] == [False]
     assert decontam.contamination(documents([]), items(spark, [(1, "a " * 30)])).count() == 0
+
+
+def best_stretch(item, doc):
+    """The most agreeing tokens of a stretch between two hits that agrees on 70%, by trying all."""
+    best = 0
+    for shift in range(-len(item), len(doc)):
+        same = [0 <= t + shift < len(doc) and w == doc[t + shift] for t, w in enumerate(item)]
+        hit = [j for j in range(len(item) - 10) if 0 <= j + shift <= len(doc) - 11
+               and any(all(same[j + o] for o in m) for m in decontam.MASKS)]
+        for n, p in enumerate(hit):
+            for q in hit[n:]:
+                agreed = sum(same[p:q + 11])
+                if 100 * agreed >= 70 * (q + 11 - p):
+                    best = max(best, agreed)
+    return best
+
+
+def test_parts_of_an_item(spark, documents, prose):
+    item = prose(59).split(" ")
+    halves = item[:20] + ["zzz"] * 19 + item[39:]
+    chance = [w if k < 20 or k in (48, 49, 50, 52, 54, 55, 58) else "zzz" for k, w in enumerate(item)]
+    near = item[:12] + [w if k % 11 in (1, 2, 4, 6, 7, 8, 0) else "zzz" for k, w in enumerate(item[12:])]
+    rows = [(1, " ".join(halves)), (2, prose(7) + " " + " ".join(chance)), (3, " ".join(near)),
+            (4, " ".join(item)), (5, prose(80))]
+    for k in range(60):  # words replaced at changing rates
+        rates = [prose.rng.choice((0, 0, 0.2, 0.4, 0.9)) for _ in range(8)]
+        rows.append((10 + k, prose(k % 4) + " " + " ".join(
+            "zzz" if prose.rng.random() < rates[t // 8] else w for t, w in enumerate(item))))
+    got = decontam.contamination(documents(rows), items(spark, [(7, " ".join(item))])).collect()
+    want = {i: best_stretch(item, t.split()) for i, t in rows}
+    assert {r["doc_id"]: r["matched"] for r in got} == want
+    assert want[1] == 20 and want[2] == 20 and want[4] == 59 and want[5] == 0
+    assert all(r["contaminated"] == (want[r["doc_id"]] > 0) for r in got)
