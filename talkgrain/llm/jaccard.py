@@ -19,12 +19,13 @@ All pairs of different components that could link are counted, so components are
 a component found already need no count. (N-grams are told apart by 64-bit hashes.)
 
 Cases: a null, empty or white text has an empty set and links with nothing; with fewer words than
-``width`` the whole sequence is the one n-gram; rows with one id are one node, a null id links with
-nothing; repeated rows stay rows; an empty table gives an empty table; other columns are not read.
+``width`` the whole sequence is the one n-gram; rows with one id are one node with the links of each of
+its texts, a null id links with nothing; repeated rows stay rows; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -309,11 +310,41 @@ def _product(moving: pa.RecordBatch, gram, row, held, percent: int) -> pa.Record
         [pa.array(ids.to_numpy()[x]), pa.array(held[0][y])], ["a", "b"])
 
 
+def told_apart(docs: DataFrame, profile: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows that have an id, each text of an id under a number of its own, and (node, own): the ids
+    of the numbers made for ids of several texts (None: no id has several)."""
+    docs = docs.where("doc_id is not null")
+    sets = F.struct("n", "sig_a", "sig_b")
+    several = stored(profile.where("doc_id is not null").groupBy("doc_id").agg(
+        F.min(sets).alias("a"), F.max(sets).alias("b")).where("a <> b").select("doc_id"), "jaccard-several")
+    if several.isEmpty():
+        return docs, None
+    texts = among(docs, "doc_id", several, "doc_id").distinct()
+    ids = stored(profile.where("doc_id is not null").select("doc_id").distinct(), "jaccard-ids")
+    for salt in itertools.count():
+        made = stored(texts.select(F.xxhash64(F.lit(salt), "doc_id", F.sha2("text", 256)).alias("node"),
+                                   F.col("doc_id").alias("own"), "text"), "jaccard-numbered")
+        taken = made.join(ids, made["node"] == ids["doc_id"], "left_semi")
+        if taken.isEmpty() and made.groupBy("node").count().where("count > 1").isEmpty():
+            break
+    single = among(docs, "doc_id", several, "doc_id", "left_anti")
+    return single.unionByName(made.select(F.col("node").alias("doc_id"), "text")), made.select("node", "own")
+
+
+def of_ids(edges: DataFrame, owners: DataFrame) -> DataFrame:
+    """The edges with the ids in place of the numbers that ``told_apart`` made."""
+    for end in ("a", "b"):
+        edges = edges.join(owners, edges[end] == owners["node"], "left").withColumn(
+            end, F.coalesce("own", end)).select("a", "b")
+    return edges
+
+
 def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row."""
     docs = in_small_batches(docs).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profile = stored(profiles(docs, width), "jaccard-profiles")
+    docs, owners = told_apart(docs, profile)
     kept = stored(candidates(docs, width, percent), "jaccard-candidates")
     sets = stored(gram_sets(among(docs, "doc_id", kept, "doc_id"), width), "jaccard-sets")
     same = ["n", "sig_a", "sig_b"]
@@ -325,7 +356,8 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     labels = components(edges)
     more = stored(crossing_links(block, labels, sets, percent), "jaccard-edges")
     equal = equal_rows(profile.where("n > 0 and doc_id is not null"), same, "doc_id")
-    found = components(edges.unionByName(more).unionByName(equal))
+    links = edges.unionByName(more)
+    found = components((of_ids(links, owners) if owners else links).unionByName(equal))
     return profile.join(found, profile["doc_id"] == found["node"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 

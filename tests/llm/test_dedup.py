@@ -3,6 +3,7 @@
 import brute
 import pytest
 from brute import mutated
+from pyspark.sql import functions as F
 
 from talkgrain.llm import jaccard, repeats, substrings, suffixes, text
 
@@ -51,6 +52,33 @@ def test_jaccard_null_ids_and_empty(documents):
     assert jaccard.link_components(documents([])).count() == 0
 
 
+def near(prose, words=60):
+    """A text and the same with its last word exchanged."""
+    text = prose(words)
+    return text, text.rsplit(" ", 1)[0] + " zzz"
+
+
+def component_of(docs):
+    return {(r["doc_id"], r["component_id"]) for r in jaccard.link_components(docs).collect()}
+
+
+def test_jaccard_null_id_before_near_copies(documents, prose):
+    text, other = near(prose)
+    docs = documents([(None, text), (1, text), (2, other)]).coalesce(1).sortWithinPartitions(F.asc_nulls_first("doc_id"))
+    assert component_of(docs) == {(None, None), (1, 1), (2, 1)}
+
+
+def test_jaccard_texts_of_one_id(documents, prose, monkeypatch):
+    (text, other), (far, further) = near(prose), near(prose, 400)
+    rows = [(5, text), (5, far), (6, other), (8, prose(90)), (8, prose(70)), (9, None), (9, ""), (10, text + " x")]
+    assert component_of(documents(rows, parts=1)) == {(5, 5), (6, 5), (8, 8), (9, 9), (10, 5)}
+    rows += [(3, further), (8, further), (None, further), (5, text)]
+    want = {(3, 3), (5, 3), (6, 3), (8, 3), (9, 9), (10, 3), (None, None)}
+    assert component_of(documents(rows)) == want
+    monkeypatch.setattr("talkgrain.llm.components.BROADCAST_ROWS", 0)
+    assert component_of(documents(rows)) == want
+
+
 def test_one_of_each_group_stays(documents, prose):
     rows = fixture(prose)
     best = {c for _, _, c in brute.jaccard(rows)}
