@@ -4,9 +4,24 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from talkgrain.llm import decontam, embed, html, jaccard, mixing, quality, substrings, suffixes, tokens, toxicity
+from talkgrain.llm import (
+    decontam,
+    embed,
+    html,
+    jaccard,
+    merkle,
+    mixing,
+    prefixes,
+    quality,
+    sketches,
+    substrings,
+    suffixes,
+    tokens,
+    toxicity,
+)
 from talkgrain.llm.oracle import LLM_ORACLE  # noqa: F401
 
 
@@ -58,11 +73,29 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(pages, html.fit(pages))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 2 divides the id's checksum, the proof is tried with the text without its line ends."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    without = F.replace(F.col("text"), F.lit("\n"), F.lit(""))
+    return merkle.manifest(table(spark, sf_dir, "documents"), F.when(tampered, without)).drop("source")
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 LLM_QUERIES = {
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_fingerprints": op13_fingerprints,
     "pipeline": pipeline,
     "op10_html_extraction": op10_html_extraction,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
