@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from talkgrain.llm.decontam import MASKS, PERCENT, SPAN
+from talkgrain.llm.oracle_digests import DIGESTS
 
 MIXING = r"""
 with sizes as (
@@ -85,4 +86,4 @@ for _name, _from, _key in (("DSEEDS", "dp", "doc_id"), ("BSEEDS", "bp", "item_id
         f"select {_key}, {k} as mask, {_picked(m)} as seed, i from {_from}" for k, m in enumerate(MASKS)))
 DECONTAMINATION = DECONTAMINATION.replace("SPAN", str(SPAN)).replace("PERCENT", str(PERCENT))
 
-LLM_ORACLE = {"op3_mixing": MIXING, "op9_decontamination": DECONTAMINATION}
+LLM_ORACLE = {"op3_mixing": MIXING, "op9_decontamination": DECONTAMINATION, **DIGESTS}

@@ -1,0 +1,20 @@
+"""Queries whose rows are digests against their SQL in DuckDB, on the smallest tables."""
+
+import duckdb
+import pytest
+
+from conftest import SMALL
+from talkgrain.llm.oracle import LLM_ORACLE
+from talkgrain.llm.queries import LLM_QUERIES
+
+
+@pytest.mark.parametrize("name", ["op11_prefix_trie", "op12_merkle_manifest", "op13_fingerprints"])
+def test_query(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
+    cursor = con.execute(LLM_ORACLE[name])
+    names = [d[0] for d in cursor.description]
+    got = LLM_QUERIES[name](spark, SMALL)
+    assert set(got.columns) == set(names)
+    assert sorted(map(repr, (tuple(r) for r in got.select(*names).collect()))) == sorted(map(repr, cursor.fetchall()))
