@@ -7,11 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talkgrain.operators.fulltext import marked_text, words
+
 
 def nearest(vectors: DataFrame, query: Sequence[float], k: int = 10) -> DataFrame:
     """The ``k`` vectors most similar to ``query`` by cosine: (vec_id, similarity).
 
-    One pass over the vectors; each task keeps its best ``k``.
+    One pass over the vectors; each task keeps its best ``k``. Zero vectors and those with components that
+    are null, not a number or infinite are similar to nothing. :mod:`talkgrain.operators.vectors` searches
+    for many queries at once, by an index.
     """
     given = F.array(*[F.lit(float(x)) for x in query])
     own = F.transform("embedding", lambda x: x.cast("double"))
@@ -22,7 +26,7 @@ def nearest(vectors: DataFrame, query: Sequence[float], k: int = 10) -> DataFram
     norm = F.sqrt(dot(own, own)) * F.sqrt(dot(given, given))
     scored = vectors.where(F.size("embedding") == len(query)).select(
         "vec_id", F.try_divide(dot(own, given), norm).alias("similarity"))
-    return scored.where("similarity is not null").orderBy(F.desc("similarity"), "vec_id").limit(k)
+    return scored.where("similarity is not null and not isnan(similarity)").orderBy(F.desc("similarity"), "vec_id").limit(k)
 
 
 def tokens(text: Column | str) -> Column:
@@ -32,23 +36,22 @@ def tokens(text: Column | str) -> Column:
 
 def term_table(documents: DataFrame) -> DataFrame:
     """(doc_id, term, n): the inverted table that searches start from."""
-    return documents.select("doc_id", F.explode(tokens("text")).alias("term")).groupBy(
+    return documents.select("doc_id", F.explode(words("text")).alias("term")).groupBy(
         "doc_id", "term").agg(F.count("*").alias("n"))
 
 
-def search(documents: DataFrame, terms: DataFrame, words: Sequence[str], *, lang: str | None = None) -> DataFrame:
-    """Documents that have all ``words``: (doc_id, hits, marked), matches in brackets.
+def search(documents: DataFrame, terms: DataFrame, wanted: Sequence[str], *, lang: str | None = None) -> DataFrame:
+    """Documents that have all words ``wanted``: (doc_id, hits, marked), matches in brackets.
 
     Only the terms asked for leave the term table, as one row per document.
     """
-    wanted = sorted({w.lower() for w in words})
+    wanted = sorted({w.lower() for w in wanted})
     found = terms.where(F.col("term").isin(wanted)).groupBy("doc_id").agg(
         F.count("*").alias("_n"), F.sum("n").alias("hits")).where(F.col("_n") == len(wanted))
     rows = documents if lang is None else documents.where(F.col("lang") == lang)
     asked = F.array(*[F.lit(w) for w in wanted])
-    marked = F.array_join(F.transform(F.split("text", " "), lambda w: F.when(
-        F.array_contains(asked, F.lower(w)), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w)), " ")
-    return rows.join(found, "doc_id").select("doc_id", "hits", marked.alias("marked"))
+    return rows.join(found, "doc_id").select(
+        "doc_id", "hits", marked_text(F.col("text"), asked, F.lit(False)).alias("marked"))
 
 
 def term_counts(documents: DataFrame, stop_words: DataFrame) -> DataFrame:

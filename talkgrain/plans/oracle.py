@@ -465,6 +465,43 @@ _VIEWS["term_counts"] = f"""
         SELECT term, count(*) AS n FROM doc_terms WHERE term <> '' AND term NOT IN {_STOP_WORDS}
         GROUP BY term"""
 
+# Words of full-text search, and BM25 of them (k1 1.2, b 0.75).
+_WORD = "[\\p{L}\\p{M}\\p{N}]+"
+_VIEWS["spoken"] = f"""
+        SELECT video_id || ':' || pos AS doc_id, transcript AS "text", speaker, "type",
+          strftime(published_at, '%Y-%m-%d') AS "day",
+          list_transform(regexp_extract_all(transcript, '{_WORD}'), lambda w: lower(w)) AS ws
+        FROM utterances JOIN typed USING (video_id)"""
+_VIEWS["asked"] = """
+        SELECT * FROM (VALUES (1, ['the', 'and', 'of'], false), (2, ['of', 'the'], true), (3, ['the', 'the'], true),
+          (4, ['that'], false), (5, ['to', 'the', 'a'], false), (6, ['nowhere'], false)) v(query_id, qs, phrase)"""
+_VIEWS["counted_words"] = """
+        SELECT doc_id, len(ws) AS length, term, count(*) AS n
+        FROM (SELECT doc_id, ws, unnest(ws) AS term FROM spoken) GROUP BY ALL"""
+_VIEWS["weighed"] = """
+        SELECT doc_id, term, n, ln(1 + (total - df + 0.5) / (df + 0.5)) * n * 2.2::DOUBLE
+          / (n + 1.2::DOUBLE * (0.25 + 0.75 * length / average)) AS weight
+        FROM (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM counted_words),
+          (SELECT count(*)::DOUBLE AS total, avg(len(ws)) AS average FROM spoken)"""
+_VIEWS["found"] = """
+        SELECT query_id, phrase, qs, doc_id, round(sum(weight), 6) AS score, cast(sum(n) AS BIGINT) AS n
+        FROM (SELECT *, unnest(list_distinct(qs)) AS term FROM asked) JOIN weighed USING (term)
+        GROUP BY ALL HAVING count(*) = len(list_distinct(qs))"""
+_VIEWS["answered"] = """
+        SELECT * FROM (
+          SELECT f.*, speaker, "type", "day", "text", list_filter(range(0, len(ws)),
+            lambda i: list_slice(ws, i + 1, i + len(qs)) = qs) AS starts
+          FROM found f JOIN spoken USING (doc_id))
+        WHERE NOT phrase OR len(starts) > 0"""
+
+
+def _marked(text: str, hit: str) -> str:
+    """``text`` with the words in brackets whose index i and lower-case form w fulfil ``hit``."""
+    words, gaps = f"regexp_extract_all({text}, '{_WORD}')", f"string_split_regex({text}, '{_WORD}')"
+    shown = f"list_transform({words}, lambda v, i: CASE WHEN {hit} THEN '[' || v || ']' ELSE v END)"
+    return f"array_to_string(list_transform(list_zip({gaps}, {shown}), lambda z: z[1] || coalesce(z[2], '')), '')"
+
+
 _RECURSIVE = {"merging", "long_merging", "thin_merging"}
 
 
@@ -781,12 +818,33 @@ _BODIES: dict[str, str] = {
           SELECT cast(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 7)), 6) AS similarity
         FROM embeddings ORDER BY list_cosine_similarity(cast(embedding AS DOUBLE[]), (
           SELECT cast(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 7)) DESC, vec_id LIMIT 10""",
-    "search_text": """
-        SELECT doc_id, hits, array_to_string(list_transform(string_split(text, ' '), lambda w:
-          CASE WHEN lower(w) IN ('with', 'from') THEN '[' || w || ']' ELSE w END), ' ') AS marked
-        FROM documents JOIN (SELECT doc_id, count(*) AS hits FROM doc_terms
-          WHERE term IN ('with', 'from') GROUP BY doc_id HAVING count(DISTINCT term) = 2) USING (doc_id)
-        WHERE lang = 'en'""",
+    "similar_vectors_many": """
+        SELECT query_id, cast(rank AS INTEGER) AS rank, vec_id, round(near, 6) AS similarity
+        FROM (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(cast(q.embedding AS DOUBLE[]),
+                cast(v.embedding AS DOUBLE[])) AS near,
+                row_number() OVER (PARTITION BY q.vec_id ORDER BY near DESC, v.vec_id) AS rank
+              FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0)
+        WHERE rank <= 10""",
+    "search_ranked": """
+        SELECT query_id, cast(rank AS INTEGER) AS rank, doc_id, score, hits
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank,
+                CASE WHEN phrase THEN len(starts) ELSE n END AS hits FROM answered)
+        WHERE rank <= 10""",
+    "search_filtered": f"""
+        SELECT query_id, cast(rank AS INTEGER) AS rank, doc_id, score, hits, {_marked('"text"', """
+          CASE WHEN phrase THEN len(list_filter(starts, lambda p: p < i AND i <= p + len(qs))) > 0
+          ELSE list_contains(qs, lower(v)) END""")} AS marked
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank,
+                CASE WHEN phrase THEN len(starts) ELSE n END AS hits
+              FROM answered
+              WHERE speaker = 1 AND "type" = 'FULL' AND "day" BETWEEN '2024-01-01' AND '2024-01-03')
+        WHERE rank <= 5""",
+    "search_text": f"""
+        SELECT doc_id, hits, {_marked('"text"', "lower(v) IN ('with', 'from')")} AS marked
+        FROM (SELECT *, list_filter(list_transform(regexp_extract_all(text, '{_WORD}'), lambda w: lower(w)),
+                lambda w: w IN ('with', 'from')) AS ws, len(ws) AS hits
+              FROM documents WHERE lang = 'en')
+        WHERE len(list_distinct(ws)) = 2""",
     "frequent_terms": "SELECT term, n FROM term_counts ORDER BY n DESC, term LIMIT 50",
     "topic_timeline": """
         SELECT strftime(published_at, '%Y-%m-%d') AS "day", term, count(*) AS n

@@ -15,11 +15,13 @@ from talkgrain.functions import episodes as E
 from talkgrain.functions import transcripts as X
 from talkgrain.operators import catalogue as C
 from talkgrain.operators import chunks as K
+from talkgrain.operators import fulltext as FT
 from talkgrain.operators import report as R
 from talkgrain.operators import search as Q
 from talkgrain.operators import samples as S
 from talkgrain.operators import speakers as P
 from talkgrain.operators import turns as U
+from talkgrain.operators import vectors as V
 from talkgrain.plans import tables as T
 from talkgrain.plans.scratch import scratch_dir
 from talkgrain.sources import catalogue as SC
@@ -687,6 +689,51 @@ def similar_vectors(spark: SparkSession, d: str) -> DataFrame:
     return Q.nearest(vectors, given).select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query
+def similar_vectors_many(spark: SparkSession, d: str) -> DataFrame:
+    """The ten vectors nearest to each vector whose id 50 divides, by a stored index."""
+    vectors = T.table(spark, d, "embeddings")
+    path = scratch_dir(spark, "vector-index")
+    V.write_index(vectors, path, bits=5)
+    given = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return V.search(spark, path, given, 10, probes=8, exact=True).select(
+        "query_id", "rank", "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+def _spoken(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of transcripts with what searches filter by."""
+    facts = C.classify(T.episodes(spark, d)).select(
+        "video_id", F.date_format("published_at", "yyyy-MM-dd").alias("day"), F.col("metadata.type").alias("type"))
+    lines = T.utterances(spark, d).select(
+        "video_id", F.concat_ws(":", "video_id", "pos").alias("doc_id"), F.col("transcript").alias("text"), "speaker")
+    return lines.join(facts, "video_id").select("doc_id", "text", "speaker", "day", "type")
+
+
+def _searches(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(SEARCHES), "query_id int, text string, phrase boolean")
+
+
+SEARCHES = ((1, "the and of", False), (2, "of the", True), (3, "The, the", True), (4, "That", False), (5, "to the a", False),
+            (6, "nowhere", False))
+
+
+@query
+def search_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """Words and phrases in the lines of all transcripts, the best ten of each by BM25."""
+    path = scratch_dir(spark, "text-index")
+    FT.write_index(_spoken(spark, d), path, columns=("speaker", "day", "type"))
+    return FT.search(spark, path, _searches(spark), 10)
+
+
+@query
+def search_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """The same among one speaker's lines in full episodes of some days, with the hits marked."""
+    path, lines = scratch_dir(spark, "text-index"), _spoken(spark, d)
+    FT.write_index(lines, path, columns=("speaker", "day", "type"))
+    where = "speaker = 1 and type = 'FULL' and day between '2024-01-01' and '2024-01-03'"
+    return FT.marked(FT.search(spark, path, _searches(spark), 5, where=where), _searches(spark), lines)
+
+
 @query
 def search_text(spark: SparkSession, d: str) -> DataFrame:
     documents = T.table(spark, d, "documents")
