@@ -22,9 +22,9 @@ def labelled(labels: DataFrame, column: str) -> DataFrame:
         "doc_id").agg(F.greatest(F.lit(0), F.least(F.lit(1), F.max("y"))).alias("y"))
 
 
-def sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Texts, labels and, for each row, how many labelled rows of its class it stands for. At most
-    ``per_class`` rows of each class, first by a hash of the id."""
+def labelled_texts(docs: DataFrame, labels: DataFrame, column: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, text, y) of at most ``per_class`` rows of each class, first by a hash of the id, and how
+    many labelled rows each class has."""
     rows = labelled(labels, column)
     totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64("doc_id")
@@ -35,8 +35,14 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int) -> t
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.where(F.octet_length("text") <= LEARN_BYTES)
     # One row per id: 2 * per_class ids at most, so the list is broadcast.
-    got = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(
-        F.min("text").alias("text"), F.first("y").alias("y")).orderBy("doc_id").toArrow()
+    return texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(
+        F.min("text").alias("text"), F.first("y").alias("y")), totals
+
+
+def sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Texts, labels and, for each row, how many labelled rows of its class it stands for."""
+    rows, totals = labelled_texts(docs, labels, column, per_class)
+    got = rows.orderBy("doc_id").toArrow()
     y = got.column("y").to_numpy().astype(np.int64)
     seen = np.bincount(y, minlength=2)
     weight = np.array([totals.get(k, 0) / max(1, seen[k]) for k in (0, 1)])

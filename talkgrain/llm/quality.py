@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkgrain.llm.components import among
-from talkgrain.llm.labelled import sample
+from talkgrain.llm.labelled import labelled_texts
 from talkgrain.llm.text import LOWER, in_small_batches, slices, word_hashes, word_spans
 from talkgrain.plans.scratch import stored
 
@@ -109,10 +109,15 @@ def _expanded(x: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str], y: np.ndarray, _weight: np.ndarray) -> Evidence:
-    """Class-balanced logistic regression by Newton steps; evidence is relative to even odds."""
+    """Learn from texts at hand."""
     column = pa.array(texts, pa.string())
     x = np.concatenate([features(np.zeros(0, np.uint8), np.zeros(1, np.int64)), *(
         features(data, offsets) for _, _, data, offsets in slices(column))])
+    return learn(x, y)
+
+
+def learn(x: np.ndarray, y: np.ndarray) -> Evidence:
+    """Class-balanced logistic regression by Newton steps; evidence is relative to even odds."""
     if not y.sum() or y.all():
         return Evidence(np.zeros(x.shape[1]), np.ones(x.shape[1]), np.zeros(1 + 2 * x.shape[1]))
     mean, scale = x.mean(0), x.std(0) + 1e-3
@@ -147,7 +152,22 @@ def _judged(docs: DataFrame, model: Evidence) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Evidence:
-    return train(*sample(docs, labels, "quality", per_class))
+    """Learn from labelled texts, whose features are computed in tasks: only those reach the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in slices(batch.column(2)):
+                x = features(data, offsets)
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), lists], ["doc_id", "y", "x"])
+
+    rows, _ = labelled_texts(in_small_batches(docs), labels, "quality", per_class)
+    rows = rows.select("doc_id", "y", "text").mapInArrow(run, "doc_id bigint, y int, x array<double>")
+    got = rows.orderBy("doc_id").toArrow().combine_chunks()
+    width = features(np.zeros(0, np.uint8), np.zeros(1, np.int64)).shape[1]
+    x = pa.concat_arrays(got.column("x").chunks or [pa.array([], pa.list_(pa.float64()))]).flatten()
+    return learn(x.to_numpy().reshape(-1, width), got.column("y").to_numpy().astype(np.int64))
 
 
 def _strength(sites: DataFrame, mean: float) -> float:
