@@ -102,6 +102,29 @@ def completions(counts: DataFrame, k: int = 5, longest: int = 4) -> DataFrame:
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def neighbours(term: Column) -> Column:
+    """A term, and it with each one of its characters left out: terms one edit apart have one in common."""
+    every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(term), F.lit(1))), lambda i: F.concat(
+        F.substring(term, F.lit(1), i - 1), F.substring(term, i + 1, F.length(term))))
+    return F.array_distinct(F.concat(F.array(term), every))
+
+
+def corrections(typed: DataFrame, counts: DataFrame, k: int = 5) -> DataFrame:
+    """(typed, rank, term, n, edits): the ``k`` most frequent terms that are what was typed (typed), or one
+    character more, less or other; fewer edits first.
+
+    No term is compared with all others: both sides are listed with each character left out and meet in
+    equal forms; those that meet are two edits apart at most, and are then measured.
+    """
+    asked = typed.select("typed").where("typed is not null").distinct().select("typed", F.explode(neighbours(F.col("typed"))).alias("form"))
+    known = counts.select("term", "n", F.explode(neighbours(F.col("term"))).alias("form"))
+    met = asked.join(known, "form").select("typed", "term", "n").distinct()
+    near = met.withColumn("edits", F.levenshtein("typed", "term")).where("edits <= 1")
+    order = Window.partitionBy("typed").orderBy("edits", F.desc("n"), "term")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
+        "typed", "rank", "term", "n", "edits")
+
+
 def usage(events: DataFrame) -> DataFrame:
     """(day, event_type, events, users) of a log of user events."""
     return events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(

@@ -465,6 +465,68 @@ _VIEWS["term_counts"] = f"""
         SELECT term, count(*) AS n FROM doc_terms WHERE term <> '' AND term NOT IN {_STOP_WORDS}
         GROUP BY term"""
 
+_VIEWS["person_words"] = """
+        SELECT name, term, cast(sum(n) AS BIGINT) AS n
+        FROM (SELECT video_id, speaker, term, count(*) AS n
+              FROM (SELECT video_id, speaker, unnest(list_transform(regexp_extract_all(transcript,
+                      '[\\p{L}\\p{M}\\p{N}]+'), lambda w: lower(w))) AS term FROM utterances)
+              GROUP BY ALL)
+          JOIN assigned USING (video_id, speaker)
+        GROUP BY ALL"""
+_VIEWS["person_odds"] = """
+        SELECT *, n + 500.0::DOUBLE * all_n / total AS here, all_n - n + 500.0::DOUBLE * all_n / total AS there
+        FROM (SELECT *, sum(n) OVER (PARTITION BY term) AS all_n, sum(n) OVER (PARTITION BY name) AS own,
+                sum(n) OVER () AS total FROM person_words)"""
+_VIEWS["person_scores"] = """
+        SELECT name, term, n, round((ln(here / (own + 500 - here)) - ln(there / (total - own + 500 - there)))
+          / sqrt(1 / here + 1 / there), 6) AS z FROM person_odds"""
+_VIEWS["published"] = """
+        SELECT date_diff('day', (SELECT min(cast(published_at AS DATE)) FROM episodes), cast(published_at AS DATE)) AS t,
+          list_distinct(list_transform(regexp_extract_all(description, '[\\p{L}\\p{M}\\p{N}]+'),
+            lambda w: lower(w))) AS terms
+        FROM episodes"""
+_VIEWS["term_line"] = """
+        SELECT term, t, coalesce(cases, 0) AS cases, coalesce(n, 0) AS n,
+          sum(coalesce(cases, 0)) OVER (PARTITION BY term)::DOUBLE AS all_cases,
+          sum(coalesce(n, 0)) OVER (PARTITION BY term) AS all_n, count(*) OVER (PARTITION BY term) AS days
+        FROM (SELECT term, unnest(range(0, (SELECT max(t) + 1 FROM published))) AS t
+              FROM (SELECT term FROM term_counts ORDER BY n DESC, term LIMIT 200))
+          LEFT JOIN (SELECT t, count(*) AS cases FROM published GROUP BY t) USING (t)
+          LEFT JOIN (SELECT t, term, count(*) AS n FROM (SELECT t, unnest(terms) AS term FROM published)
+                     GROUP BY ALL) USING (t, term)"""
+_VIEWS["term_costs"] = """
+        SELECT term, t, n, days, ln(days) AS step,
+          -(n * ln(least(0.9999, all_n / all_cases)) + (cases - n) * ln(1 - least(0.9999, all_n / all_cases))) AS usual,
+          -(n * ln(least(0.9999, 2 * all_n / all_cases)) + (cases - n) * ln(1 - least(0.9999, 2 * all_n / all_cases)))
+            AS burst
+        FROM term_line WHERE all_n > 0"""
+_VIEWS["term_ways"] = """
+        SELECT term, -1::BIGINT AS t, 0.0::DOUBLE AS low, max(step) AS high, '' AS low_way, '' AS high_way
+        FROM term_costs GROUP BY term
+        UNION ALL
+        SELECT w.term, c.t, usual + least(low, high), burst + least(low + step, high),
+          CASE WHEN low > high THEN high_way ELSE low_way END || '0',
+          CASE WHEN high <= low + step THEN high_way ELSE low_way END || '1'
+        FROM term_ways w JOIN term_costs c ON c.term = w.term AND c.t = w.t + 1"""
+_VIEWS["term_states"] = """
+        SELECT term, t, n, usual - burst AS gain, state, sum(CASE WHEN state = 0 THEN 1 ELSE 0 END)
+          OVER (PARTITION BY term ORDER BY t) AS run
+        FROM (SELECT c.*, cast(substr(CASE WHEN low > high THEN high_way ELSE low_way END, (c.t + 1)::INT, 1) AS INT) AS state
+              FROM term_costs c JOIN term_ways w ON w.term = c.term AND w.t = days - 1)"""
+_VIEWS["pairs"] = """
+        SELECT list_extract(w, i::INT) AS "first", list_extract(w, i::INT + 1) AS second, count(*) AS n
+        FROM (SELECT w, unnest(range(1, len(w))) AS i
+              FROM (SELECT list_transform(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}]+'), lambda w: lower(w)) AS w
+                    FROM documents))
+        GROUP BY ALL"""
+_VIEWS["pair_table"] = """
+        SELECT "first", second, n, a, a1 - a AS b, a2 - a AS c, s - a1 - a2 + a AS d, a1, a2, s
+        FROM (SELECT *, n::DOUBLE AS a, sum(n) OVER (PARTITION BY "first")::DOUBLE AS a1,
+                sum(n) OVER (PARTITION BY second)::DOUBLE AS a2, sum(n) OVER ()::DOUBLE AS s FROM pairs)"""
+_VIEWS["typed_terms"] = """
+        SELECT DISTINCT unnest([left(term, 1) || substr(term, 3), term || 'x', left(term, 1) || 'q' || substr(term, 3)]) AS typed
+        FROM (SELECT term FROM term_counts ORDER BY n DESC, term LIMIT 60)"""
+
 # Words of full-text search, and BM25 of them (k1 1.2, b 0.75).
 _WORD = "[\\p{L}\\p{M}\\p{N}]+"
 _VIEWS["spoken"] = f"""
@@ -502,7 +564,7 @@ def _marked(text: str, hit: str) -> str:
     return f"array_to_string(list_transform(list_zip({gaps}, {shown}), lambda z: z[1] || coalesce(z[2], '')), '')"
 
 
-_RECURSIVE = {"merging", "long_merging", "thin_merging"}
+_RECURSIVE = {"term_ways", "merging", "long_merging", "thin_merging"}
 
 
 def _sql(body: str) -> str:
@@ -861,6 +923,35 @@ _BODIES: dict[str, str] = {
         FROM (SELECT *, row_number() OVER (PARTITION BY video_id, speaker
                 ORDER BY length(transcript) DESC, pos) AS rank FROM utterances)
         JOIN assigned USING (video_id, speaker) WHERE rank <= 3""",
+    "person_topics": """
+        SELECT name, cast(rank AS INTEGER) AS rank, term, n, z
+        FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY z DESC, term) AS rank FROM person_scores WHERE z > 0)
+        WHERE rank <= 10""",
+    "topic_bursts": """
+        SELECT term, cast(min(t) AS INTEGER) AS first_day, cast(max(t) AS INTEGER) AS last_day,
+          cast(sum(n) AS BIGINT) AS n, round(sum(gain), 6) AS strength
+        FROM term_states WHERE state = 1 GROUP BY term, run""",
+    "collocations": f"""
+        SELECT "first", second, n, round(2 * (a * ln(a * s / (a1 * a2))
+          + CASE WHEN b > 0 THEN b * ln(b * s / (a1 * (s - a2))) ELSE 0 END
+          + CASE WHEN c > 0 THEN c * ln(c * s / ((s - a1) * a2)) ELSE 0 END
+          + CASE WHEN d > 0 THEN d * ln(d * s / ((s - a1) * (s - a2))) ELSE 0 END), 4) AS score
+        FROM pair_table
+        WHERE n >= 5 AND a * s > a1 * a2 AND "first" NOT IN {_STOP_WORDS} AND second NOT IN {_STOP_WORDS}
+        ORDER BY score DESC, "first", second LIMIT 50""",
+    "corrections": """
+        SELECT typed, cast(rank AS INTEGER) AS rank, term, n, cast(edits AS INTEGER) AS edits
+        FROM (SELECT *, CASE WHEN typed = term THEN 0 ELSE 1 END AS edits,
+                row_number() OVER (PARTITION BY typed ORDER BY edits, n DESC, term) AS rank
+              FROM typed_terms JOIN term_counts ON abs(length(typed) - length(term)) <= 1
+              WHERE CASE length(typed) - length(term)
+                WHEN 0 THEN len(list_filter(range(1, length(term) + 1),
+                  lambda i: substr(typed, i::INT, 1) <> substr(term, i::INT, 1))) <= 1
+                WHEN 1 THEN list_contains(list_transform(range(1, length(typed) + 1),
+                  lambda i: left(typed, i::INT - 1) || substr(typed, i::INT + 1)), term)
+                ELSE list_contains(list_transform(range(1, length(term) + 1),
+                  lambda i: left(term, i::INT - 1) || substr(term, i::INT + 1)), typed) END)
+        WHERE rank <= 5""",
     "completions": """
         SELECT prefix, cast(rank AS INTEGER) AS rank, term, n
         FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY n DESC, term) AS rank

@@ -20,6 +20,7 @@ from talkgrain.operators import report as R
 from talkgrain.operators import search as Q
 from talkgrain.operators import samples as S
 from talkgrain.operators import speakers as P
+from talkgrain.operators import topics as TP
 from talkgrain.operators import turns as U
 from talkgrain.operators import vectors as V
 from talkgrain.plans import tables as T
@@ -760,6 +761,34 @@ def person_quotes(spark: SparkSession, d: str) -> DataFrame:
     return Q.quotes(T.utterances(spark, d), _assigned(spark, d))
 
 
+@query
+def person_topics(spark: SparkSession, d: str) -> DataFrame:
+    return TP.distinctive_terms(TP.person_terms(T.utterances(spark, d), _assigned(spark, d)))
+
+
+@query
+def topic_bursts(spark: SparkSession, d: str) -> DataFrame:
+    """Bursts of the 200 most frequent terms in the descriptions."""
+    topics = Q.frequent_terms(_term_counts(spark, d), 200)
+    return TP.bursts(TP.term_days(T.episodes(spark, d), topics))
+
+
+@query
+def collocations(spark: SparkSession, d: str) -> DataFrame:
+    stop_words = spark.createDataFrame([(w,) for w in STOP_WORDS], "term string")
+    return TP.collocations(T.table(spark, d, "documents"), stop_words)
+
+
+@query
+def corrections(spark: SparkSession, d: str) -> DataFrame:
+    """What may be meant by terms typed without their second character, or with one too many or wrong."""
+    counts = _term_counts(spark, d)
+    typed = Q.frequent_terms(counts, 60).select(F.explode(F.expr(
+        "array(concat(left(term, 1), substring(term, 3)), concat(term, 'x'), concat(left(term, 1), 'q', substring(term, 3)))"
+    )).alias("typed"))
+    return Q.corrections(typed, counts)
+
+
 @query
 def completions(spark: SparkSession, d: str) -> DataFrame:
     return Q.completions(_term_counts(spark, d))
