@@ -962,6 +962,31 @@ _BODIES: dict[str, str] = {
         SELECT strftime(ts, '%Y-%m-%d') AS "day", event_type, count(*) AS events,
           count(DISTINCT user_id) AS users
         FROM events GROUP BY ALL""",
+    "users_by_month": """
+        SELECT strftime(ts, '%Y-%m') AS period, event_type, count(*) AS events, count(DISTINCT user_id) AS users
+        FROM events GROUP BY ALL""",
+    "session_funnel": """
+        SELECT strftime(begun, '%Y-%m-%d') AS "day", count(*) AS sessions, cast(sum(n) AS BIGINT) AS events,
+          count(*) FILTER (reached >= 1) AS step_1, count(*) FILTER (reached >= 2) AS step_2,
+          count(*) FILTER (reached >= 3) AS step_3
+        FROM (SELECT min(ts) AS begun, count(*) AS n, list_reduce(list_prepend(0, list(step ORDER BY ts, event_id)),
+                lambda s, e: CASE WHEN e = s + 1 THEN e ELSE s END) AS reached
+              FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session
+                    FROM (SELECT *, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3
+                            ELSE 0 END AS step, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)
+                            + INTERVAL 8 HOUR THEN 0 ELSE 1 END AS new FROM events))
+              GROUP BY user_id, session)
+        GROUP BY ALL""",
+    "stream_landing": "SELECT * FROM doc_chunked",
+    "stream_rejects": """
+        SELECT file_name, CASE form WHEN 'broken' THEN 'not JSON' WHEN 'bare' THEN 'no episode metadata'
+            ELSE 'unreadable date' END AS reason
+        FROM docs WHERE form <> 'whole'""",
+    "stream_type_changes": """
+        SELECT strftime(CASE WHEN cast(video_id AS BIGINT) % 8 = 5 THEN published_at + INTERVAL 1 DAY ELSE published_at END,
+            '%Y-%m-%d') AS "day",
+          CASE WHEN cast(video_id AS BIGINT) % 8 = 5 THEN 'SHORT' ELSE "type" END AS "type", count(*) AS episodes
+        FROM typed GROUP BY ALL""",
     "stream_chunks": "SELECT * FROM doc_chunked",
     "stream_upsert": "SELECT * FROM upserted",
     "stream_type_counts": """

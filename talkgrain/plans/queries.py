@@ -22,6 +22,7 @@ from talkgrain.operators import samples as S
 from talkgrain.operators import speakers as P
 from talkgrain.operators import topics as TP
 from talkgrain.operators import turns as U
+from talkgrain.operators import usage as G
 from talkgrain.operators import vectors as V
 from talkgrain.plans import tables as T
 from talkgrain.plans.scratch import scratch_dir
@@ -799,6 +800,22 @@ def usage_by_day(spark: SparkSession, d: str) -> DataFrame:
     return Q.usage(T.table(spark, d, "events"))
 
 
+@query
+def users_by_month(spark: SparkSession, d: str) -> DataFrame:
+    """Events and users per month from stored daily sketches, which hold few users exactly."""
+    path = scratch_dir(spark, "daily-users")
+    G.daily_users(T.table(spark, d, "events"), registers=18).write.parquet(path)
+    return G.users_by(spark.read.parquet(path), F.expr("left(day, 7)"))
+
+
+@query
+def session_funnel(spark: SparkSession, d: str) -> DataFrame:
+    return G.funnel(G.sessions(T.table(spark, d, "events"), STEPS, gap="8 hours"), len(STEPS))
+
+
+STEPS = ("view", "click", "purchase")
+
+
 # -- streams -----------------------------------------------------------------
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -851,3 +868,56 @@ def stream_type_counts(spark: SparkSession, d: str) -> DataFrame:
         .start().awaitTermination()
     )
     return spark.read.parquet(f"{out}/counts")
+
+
+def _landed_twice(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """Transcript files as they land, a third of them a second time, and a folder for what comes of them."""
+    path = scratch_dir(spark, "landing-twice")
+    documents = T.transcript_documents(spark, d)
+    again = documents.where("xxhash64(file_name) % 3 = 0")
+    documents.withColumn("turn", F.lit(1)).unionByName(again.withColumn("turn", F.lit(2))).withColumn(
+        "landed_at", F.lit("2024-01-01 00:00:00").cast("timestamp")).repartition(12, "turn", "file_name").write.parquet(path)
+    files = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 5)
+    return scratch_dir(spark, "landed"), I.once_each(files.parquet(path).drop("turn"))
+
+
+@query
+def stream_landing(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of files of which some land twice."""
+    out, landed = _landed_twice(spark, d)
+    I.land(landed, C.classify(T.document_episodes(spark, d)), out).option("checkpointLocation", f"{out}/progress").trigger(
+        availableNow=True).start().awaitTermination()
+    return _flat_chunks(spark.read.parquet(f"{out}/chunks"))
+
+
+@query
+def stream_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """The files among them that give no chunks."""
+    out, landed = _landed_twice(spark, d)
+    I.land(landed, C.classify(T.document_episodes(spark, d)), out).option("checkpointLocation", f"{out}/progress").trigger(
+        availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rejects").select("file_name", "reason")
+
+
+@query
+def stream_type_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Counts per type and day that follow a stream of upserts, updates with other lengths among them."""
+    out = scratch_dir(spark, "type-changes")
+    rows = T.catalogue(spark, d).select("video_id", "published_at", "duration", "metadata", F.lit(0).cast("bigint").alias("ordinal"))
+    changed = rows.where("cast(video_id as bigint) % 4 = 1").select(
+        "video_id", F.expr("published_at + interval 1 day").alias("published_at"), F.lit("PT2M").alias("duration"),
+        "metadata", F.lit(1).cast("bigint").alias("ordinal"))
+    back = rows.where("cast(video_id as bigint) % 8 = 1").withColumn("ordinal", F.lit(2).cast("bigint"))
+    for k, part in enumerate((rows, changed, back)):
+        part.coalesce(1).write.parquet(f"{out}/landed/part={k}")
+    schema = spark.read.parquet(f"{out}/landed/part=0").schema
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/landed/part=*")
+    store = "spark.sql.streaming.stateStore.providerClass"
+    held = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        I.type_changes(C.classify(files)).writeStream.format("parquet").option("path", f"{out}/changes").option(
+            "checkpointLocation", f"{out}/progress").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(store, held)
+    return I.counted_changes(spark.read.parquet(f"{out}/changes"))

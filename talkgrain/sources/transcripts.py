@@ -26,6 +26,15 @@ def stream_transcripts(
     return _documents(spark.readStream.option("maxFilesPerTrigger", per_trigger), directory, names)
 
 
+def stream_documents(spark: SparkSession, directory: str, *, names: str = "*.json", per_trigger: int = 1000) -> DataFrame:
+    """Transcript files as they land, as texts: (file_name, document, landed_at). ``landed_at`` is the
+    time the file was written."""
+    files = spark.readStream.option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", names).option(
+        "recursiveFileLookup", True).option("wholetext", True).text(directory)
+    return files.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("document"),
+                        F.col("_metadata.file_modification_time").alias("landed_at"))
+
+
 def _documents(reader, directory: str, names: str) -> DataFrame:
     return (
         reader.schema(schemas.TRANSCRIPT_DOCUMENT_DDL).option("multiLine", True)

@@ -5,6 +5,7 @@ from conftest import SMALL
 from talkgrain.operators import catalogue as C
 from talkgrain.plans import tables as T
 from talkgrain.sources import catalogue as SC
+from talkgrain.sources import transcripts as ST
 from talkgrain.streaming import incremental as I
 
 COUNTS = ["day", "type", "episodes"]
@@ -91,3 +92,42 @@ def test_rejects_are_named(spark, landed):
     found = I.rejected_stream(spark.read.parquet(landed))
     reasons = {r.reason for r in found.collect()}
     assert reasons == {"not JSON", "no episode metadata", "unreadable date"}
+
+
+def test_a_document_that_lands_again_is_chunked_once_and_bad_ones_are_named(spark, tmp_path):
+    documents = {r["file_name"]: r["document"] for r in T.transcript_documents(spark, SMALL).collect()}
+    broken = {n for n in documents if n.endswith("-broken.json")}
+    folder = tmp_path / "landed"
+    for turn in ("first", "second"):
+        (folder / turn).mkdir(parents=True)
+        for k, (name, text) in enumerate(sorted(documents.items())):
+            if turn == "first" or k % 2:
+                (folder / turn / name).write_text(text)
+    whole = next(n for n in sorted(documents) if n not in broken)
+    (folder / "third").mkdir()
+    (folder / "third" / whole).write_text("{")  # the same name with another text is another document
+    known = C.classify(T.document_episodes(spark, SMALL))
+    landed = I.once_each(ST.stream_documents(spark, str(folder), per_trigger=20))
+    I.land(landed, known, str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "progress")).trigger(
+        availableNow=True).start().awaitTermination()
+    want = I.chunk_stream(T.transcript_documents(spark, SMALL), known)
+    assert rows(spark.read.parquet(str(tmp_path / "out/chunks")).select(want.columns)) == rows(want)
+    bad = {(r["file_name"], r["reason"]) for r in spark.read.parquet(str(tmp_path / "out/rejects")).collect()}
+    assert {n for n, why in bad if why == "not JSON"} == broken | {whole}
+
+
+def test_rejects_of_parsed_files(spark, tmp_path):
+    (tmp_path / "good.json").write_text('{"results": {"utterances": []}, "episode_metadata": null}')
+    (tmp_path / "bad.json").write_text("{")
+    parsed = ST.read_transcripts(spark, str(tmp_path))
+    assert {r["file_name"]: r["reason"] for r in I.rejected_parsed(parsed).collect()} == {
+        "bad.json": "not JSON", "good.json": "no episode metadata"}
+
+
+def test_rows_that_differ_in_metadata_alone_are_told_apart(spark):
+    base = C.classify(T.catalogue(spark, SMALL)).limit(1).withColumn("ordinal", F.lit(5).cast("bigint"))
+    batches = base.unionByName(base.withColumn("metadata", F.col("metadata").withField("type", F.lit("other")))).withColumn(
+        "batch", F.lit(1))
+    got = {str(I.upserted(base.drop("ordinal"), batches.repartition(k, "metadata.type")).collect()) for k in (1, 2, 5)}
+    got |= {str(I.upserted(base.drop("ordinal"), batches.orderBy(F.desc("metadata.type"))).collect())}
+    assert len(got) == 1
