@@ -669,6 +669,19 @@ _BODIES: dict[str, str] = {
         FROM episodes""",
     "guest_hint": "SELECT video_id, phrase, name FROM hints",
     "upsert_episodes": "SELECT * FROM upserted",
+    "upsert_repairs": """
+        SELECT * REPLACE (CASE WHEN try_cast(video_id AS BIGINT) % 5 = 0 AND video_id NOT IN (SELECT video_id FROM updates)
+          THEN 'Later ' || title ELSE title END AS title) FROM upserted""",
+    "names_by_file": """
+        SELECT d.file_name, coalesce(c.video_id, CASE WHEN d.turn % 2 = 0 AND d.form IN ('whole', 'undated')
+          THEN d.video_id END) AS video_id
+        FROM docs d LEFT JOIN catalogue c ON c.transcript_filename IS NOT NULL AND c.video_id || '-1.json' = d.file_name
+        WHERE NOT d.rejected""",
+    "transcript_to_json_whole": """
+        SELECT file_name, 'm-2' AS model, '1.5' AS tag, 'in short' AS summary,
+          CASE WHEN d.turn % 2 = 0 AND d.form <> 'bare' THEN d.video_id ELSE cast(d.conv_id AS VARCHAR) END AS stamped_id,
+          "text" AS transcript
+        FROM docs d JOIN catalogue c ON c.video_id = cast(d.conv_id AS VARCHAR) WHERE NOT d.rejected""",
     "update_existing": f"""
         SELECT {_ROW} FROM latest_updates WHERE video_id IN (SELECT video_id FROM catalogue)
         UNION ALL

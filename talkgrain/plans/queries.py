@@ -230,6 +230,39 @@ def transcript_to_json(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def transcript_to_json_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Stamp transcripts that have keys beyond the schema, export them, and read those keys back."""
+    landed = T.transcript_documents(spark, d, stamped=False).withColumn("document", F.replace(
+        "document", F.lit('"results":{'), F.lit('"origin":{"model":"m-2","tags":["a",null,1.5]},"results":{"summary":"in short",')))
+    parsed = ST.accepted(ST.parse_transcripts(landed, whole=True)).withColumn(
+        "video_id", F.regexp_replace("file_name", "-.*$", ""))
+    exported = ST.as_json(ST.attach_episode_metadata(parsed, _classified(spark, d)))
+    whole = exported.select("file_name", "document", F.parse_json("document").alias("v"))
+    return whole.select(
+        "file_name", *(F.variant_get("v", path, "string").alias(name) for name, path in (
+            ("model", "$.origin.model"), ("tag", "$.origin.tags[2]"), ("summary", "$.results.summary"),
+            ("stamped_id", "$.episode_metadata.video_id"))),
+        F.get_json_object("document", "$.results.transcript").alias("transcript"))
+
+
+@query
+def names_by_file(spark: SparkSession, d: str) -> DataFrame:
+    """Which episode each transcript belongs to: the one that names its file, else the one it states."""
+    episodes = T.catalogue(spark, d).select(
+        F.col("video_id"), F.regexp_replace("transcript_filename", "\\.json$", "-1.json").alias("transcript_filename"))
+    return ST.name_by_file(ST.accepted(_parsed(spark, d, stamped=False)), episodes).select("file_name", "video_id")
+
+
+@query
+def upsert_repairs(spark: SparkSession, d: str) -> DataFrame:
+    """Upsert into a base that has every fifth video twice."""
+    base = T.stored_with_ordinal(spark, d)
+    twice = base.where("cast(video_id as bigint) % 5 = 0").withColumns(
+        {"ordinal": F.col("ordinal") + 10**6, "title": F.concat(F.lit("Later "), "title")})
+    return _flat_episodes(C.upsert(base.unionByName(twice), T.updates(spark, d)))
+
+
 @query
 def chunk_files(spark: SparkSession, d: str) -> DataFrame:
     """Write chunk documents one directory per month, read them back."""

@@ -44,15 +44,18 @@ def _documents(reader, directory: str, names: str) -> DataFrame:
     )
 
 
-def parse_transcripts(landed: DataFrame, text: str = "document") -> DataFrame:
+def parse_transcripts(landed: DataFrame, text: str = "document", *, whole: bool = False) -> DataFrame:
     """The same columns from transcripts landed as JSON text in a table.
 
     ``inline`` parses each document once: the columns it yields are not replaced
-    by the parsing expression in filters and lambdas further up.
+    by the parsing expression in filters and lambdas further up. ``whole`` adds the document
+    as it is, as a VARIANT of that name, for :func:`as_json` to write keys that the
+    schema does not name.
     """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
     parsed = F.from_json(text, schemas.TRANSCRIPT_DOCUMENT_DDL, options)
-    return landed.select("file_name", F.inline(F.array(parsed)))
+    beside = [F.try_parse_json(text).alias("whole")] if whole else []
+    return landed.select("file_name", *beside, F.inline(F.array(parsed)))
 
 
 def accepted(transcripts: DataFrame) -> DataFrame:
@@ -138,7 +141,19 @@ def attach_episode_metadata(transcripts: DataFrame, episodes: DataFrame) -> Data
 
 
 def as_json(transcripts: DataFrame) -> DataFrame:
-    """Each transcript as one JSON text, absent keys left out."""
+    """Each transcript as one JSON text, absent keys left out.
+
+    Rows with their ``whole`` document are written with all its keys, known or not; metadata attached to a
+    document that had none is added to them. Numbers keep their value, not their spelling.
+    """
+    if "whole" in transcripts.columns:
+        stamp = F.parse_json(F.to_json("episode_metadata", {"ignoreNullFields": "true"}))
+        others = F.map_filter(F.col("whole").cast("map<string,variant>"), lambda k, _: k != "episode_metadata")
+        own = F.try_variant_get("whole", "$.episode_metadata", "variant")
+        added = F.to_json(F.map_concat(others, F.create_map(F.lit("episode_metadata"), stamp)))
+        unstamped = own.isNull() | F.is_variant_null(own)
+        return transcripts.select("file_name", F.when(
+            F.col("episode_metadata").isNotNull() & unstamped, added).otherwise(F.to_json("whole")).alias("document"))
     document = F.struct("results", "metadata", "episode_metadata")
     return transcripts.select(
         "file_name", F.to_json(document, {"ignoreNullFields": "true"}).alias("document")
