@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns documents; between stages they are written as
 Parquet and read again. The last stage returns the mix: the documents it takes, with ``size`` and
 ``source_size`` in words, the source's ``target`` and the words ``taken`` from each document.
+
+Every row is judged by its own text: rows without doc_id, and several texts of one doc_id, are told apart
+for each stage that decides by id (``llm.nodes``) and keep their ids. Rows equal in id and text are one
+document and decided on alike. Null texts are empty, an empty table gives an empty mix, columns beyond
+those of documents are kept.
 """
 
 from __future__ import annotations
@@ -10,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from talkgrain.llm import decontam, jaccard, mixing, quality, suffixes
+from talkgrain.llm.nodes import own_ids, told_apart
 from talkgrain.plans.scratch import stored
 
 
@@ -19,12 +25,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    return quality.good_documents(docs, _table(spark, sf_dir, "labels"))
+    return own_ids(quality.good_documents(told_apart(docs), _table(spark, sf_dir, "labels")))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id."""
-    return jaccard.representatives(docs)
+    return own_ids(jaccard.representatives(told_apart(docs)))
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +40,7 @@ def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of the benchmark."""
-    return decontam.decontaminated(docs, _table(spark, sf_dir, "benchmark"))
+    return own_ids(decontam.decontaminated(told_apart(docs), _table(spark, sf_dir, "benchmark")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

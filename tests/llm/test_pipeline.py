@@ -14,7 +14,7 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(LLM_ORACLE))
 def test_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         duck.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     got = LLM_QUERIES[name](spark, SMALL)
     cursor = duck.execute(LLM_ORACLE[name])
@@ -24,7 +24,7 @@ def test_sql(spark, name):
 
 
 def test_one_query_per_operator():
-    assert {n.split("_")[0] for n in LLM_QUERIES} == {*(f"op{k}" for k in range(1, 11)), "pipeline"}
+    assert {n.split("_")[0] for n in LLM_QUERIES} == {*(f"op{k}" for k in range(1, 14)), "pipeline"}
 
 
 def test_stages(spark):
@@ -60,6 +60,29 @@ def test_run_equals_the_stages(spark):
     assert sorted(map(str, corpus_pipeline.run(spark, SMALL).collect())) == sorted(map(str, docs.collect()))
 
 
+def test_rows_without_id_and_texts_of_one_id_are_judged_by_themselves(spark, documents, prose):
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").orderBy("item_id").first()["text"]
+    good = [r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").join(
+        spark.read.parquet(f"{SMALL}/labels.parquet").where("quality = 1"), "doc_id").orderBy("doc_id").limit(4).collect()]
+    poor = "$$$ ### !!! " * 40
+    a, b = prose(80), prose(90)
+    rows = [(1, a), (1, b), (None, a + " tail"), (None, prose(70)), (None, item), (2, item), (2, prose(60)), (3, b), (4, b), (4, b)]
+    docs = documents(rows, extra=False)
+
+    def texts(df):
+        assert df.columns == docs.columns
+        return sorted(map(str, ((r["doc_id"], r["text"]) for r in df.collect())))
+
+    kept = texts(corpus_pipeline.distinct(spark, docs, SMALL))
+    assert len(kept) == 5  # of a and its tail one, of the copies of b one, the item once, two texts of their own
+    assert sum("tail" in k or a in k for k in kept) == 1 and sum(b in k for k in kept) == 1 and sum(item in k for k in kept) == 1
+    clean = texts(corpus_pipeline.untested(spark, docs, SMALL))
+    assert clean == sorted(str(r) for r in rows if item not in r[1])
+    mixed = documents([(5, good[0]), (5, poor), (None, good[1]), (None, poor), (6, good[2])], extra=False)
+    assert texts(corpus_pipeline.good(spark, mixed, SMALL)) == sorted(
+        str(r) for r in ((5, good[0]), (None, good[1]), (6, good[2])))
+
+
 def test_empty(spark, documents):
     docs = documents([(1, None)], extra=False).limit(0)
     for name, stage in corpus_pipeline.STAGES:
