@@ -1,11 +1,11 @@
-"""Exact word-level deduplication by prefix-partitioned suffix trees.
-
-A word goes if any ``length`` consecutive words around it also start anywhere else. Each suffix
-belongs to the partition named by a variable-length prefix: the words up to its cover sample, the
-least-hashed ``sample`` words among its first ``length``. Partitions that occur once end there, one
-with more rows than a task should hold is split by whole windows, and the others are built one at a
-time: sorted suffixes with their common prefixes are the subtree, and its internal nodes at depth
-``length`` or more with two leaves or more are the repeats (``talkgrain.llm.repeats``).
+"""Exact word-level deduplication over samples drawn by content.
+
+A word goes if any ``length`` consecutive words around it also start anywhere else. The windows of a text
+are anchored at their cover samples, the least-hashed ``sample`` words of each. Samples that occur once end
+there; the rows of the others meet by sample, are sorted by what precedes and follows it, and windows with
+equal ranks on both sides are repeats. A sample with more rows than a task should hold is split by whole
+windows (``talkgrain.llm.repeats``, shared with the byte-level operator). No suffix tree is built: this
+departs from the method of prefix-partitioned trees, as the README says.
 
 Cases: a null text has no words; fewer than ``length`` words lose nothing; a text that several rows
 have loses all its words in each; null ids and repeated rows are rows of their own; an empty table
