@@ -11,14 +11,16 @@ bounded sample of the table whose blocks stand inside or outside ``article`` or
 whose parts (menus, notices, comments, forms, adverts, sidebars) are named in many ways.
 
 Pages stay where they are: one pass, no shuffle. Cases: a null or empty page, or one without main text,
-gives an empty text; broken markup is read as far as it goes; repeated rows are read each; an empty
-table gives an empty table; only ``page_id``, ``url`` and ``html`` are read.
+gives an empty text; broken markup is read as far as it goes; a script, style, title or textarea without
+end tag takes the rest of the page, as in a browser, any other element that is never closed or closes
+itself takes nothing; repeated rows are read each; an empty table gives an empty table; only ``page_id``, ``url`` and ``html`` are read.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -42,16 +44,20 @@ CELLS = 1 << 14
 
 # Elements of HTML.
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_SKIP = "script|style|noscript|template|svg|iframe|object|textarea|select|title"
+#: Their content is characters up to their end tag, to the end of the page where there is none.
+_RAW = "script|style|textarea|title"
+#: Not shown, and elements like others: what follows one that is never closed is not inside it.
+_HIDDEN = set("iframe noscript object select svg template".split())
 _INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q"
               " s samp small span strike strong sub sup time tt u var wbr".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
            "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_SKIP})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
     r"""|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S | re.I)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/\s*$""")
 _PARTS = re.compile(r"[a-z]+")
 _WHITE = re.compile(r"\s+")
 
@@ -71,11 +77,29 @@ def _element(tag: str, attributes: str) -> str:
     return " ".join(words)
 
 
+def _hidden(tokens: list[re.Match]) -> dict[int, int]:
+    """The start of each hidden element that is closed -> the end of its end tag. An end tag closes the
+    last open element of its name, so one that is never closed stays open beside later ones."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for token in tokens:
+        tag = (token[3] or "").lower()
+        if tag not in _HIDDEN:
+            continue
+        if not token[2]:
+            if not _SELF_CLOSED.search(token[4]):
+                opened.setdefault(tag, []).append(token.start())
+        elif opened.get(tag):
+            ends[opened[tag].pop()] = token.end()
+    return ends
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page, in order."""
     out: list[Block] = []
     names: list[str] = []
     path: list[str] = []
+    depth: Counter[str] = Counter()
     held: list[str] = []
     state = {"at": (), "linked": 0}
 
@@ -93,37 +117,48 @@ def blocks(page: str) -> list[Block]:
                 return
             state["at"] = tuple(path)
         held.append(text)
-        if "a" in names:
+        if depth["a"]:
             state["linked"] += len(text)
 
+    def leave(k: int) -> None:
+        depth.subtract(names[k:])
+        del names[k:], path[k:]
+
     at = 0
-    for token in _TOKEN.finditer(page):
+    tokens = list(_TOKEN.finditer(page))
+    hidden = _hidden(tokens)
+    for token in tokens:
+        if token.start() < at:  # inside a hidden element
+            continue
         if token.start() > at:
             add(page[at:token.start()])
         at = token.end()
         if token[3] is None:
             continue
         tag = token[3].lower()
+        if tag in _HIDDEN:
+            at = hidden.get(token.start(), at)
+            continue
         if tag not in _INLINE:
             flush()
         elif tag == "br":
             add(" ")
         if token[2]:
-            if tag in names:
-                cut = len(names) - 1 - names[::-1].index(tag)
-                del names[cut:], path[cut:]
+            if depth[tag]:
+                leave(next(k for k in range(len(names) - 1, -1, -1) if names[k] == tag))
             continue
         if tag not in _INLINE:
             closes = _CLOSES.get(tag)
-            if "p" in names or closes:
+            if depth["p"] or closes:
                 for k in range(len(names) - 1, -1, -1):
                     if names[k] == "p" or closes and names[k] in closes:
-                        del names[k:], path[k:]
+                        leave(k)
                         break
                     if names[k] in ("div", "ul", "ol", "table", "article", "section", "main", "body"):
                         break
         if tag not in _VOID:
             names.append(tag)
+            depth[tag] += 1
             path.append(_element(tag, token[4] or ""))
     if at < len(page):
         add(page[at:])

@@ -49,6 +49,15 @@ def test_other_layouts(model):
     ("<p title='a>b'>k</p></div></p>", ["k"]),
     ("plain < text", ["plain < text"]), ("<script>never ends", []), ("", []), ("<p> \n </p>", []),
     ("<table><tr><td>a<td>b<tr><td>c</table>", ["a", "b", "c"]),
+    ("<article><p>one</p><svg/><p>two</p>", ["one", "two"]), ("<svg width='1' /><p>two", ["two"]),
+    ("<svg><path d=''/><text>no</text></svg><p>two", ["two"]), ("<title-bar>x</title-bar><p>two", ["x", "two"]),
+    ("<select-box>x</select-box><p>two", ["x", "two"]), ("<object data=x><p>two", ["two"]),
+    ("<iframe src='/a'><p>two", ["two"]), ("<noscript><p>two</p>", ["two"]), ("<template><p>two</p>", ["two"]),
+    ("<object><p>two</p><object>no</object><p>three", ["two", "three"]),
+    ("<object>no<object>no</object>no</object><p>two", ["two"]), ("one<svg>no</svg> two", ["one two"]),
+    ("<select><option>no</select>two</select><p>three", ["two", "three"]),
+    ("<svg><p>two<script>'</svg>'</script> three", ["two three"]), ("<svg><!-- </svg> --><p>two", ["two"]),
+    ("<textarea>no<p>no", []), ("<SVG>no</Svg ><p>two", ["two"]),
     ("<title>no</title><style>p{}</style><h1>yes", ["yes"]), ("<p>&#65;&lt;b&gt; &unknown; &am", ["A<b> &unknown; &am"]),
 ])
 def test_blocks(page, texts):
@@ -63,6 +72,15 @@ def test_padding_and_order_do_not_matter(model):
     assert np.abs(together - alone).max() < 1e-3
 
 
+@pytest.mark.parametrize("tag", ["<svg/>", "<object>", "<iframe src=x>", "<noscript>", "<select>", "<template>"])
+def test_unclosed_elements_keep_the_article(spark, model, tag):
+    page = (f"<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article><h1>A heading</h1>"
+            f"<p>The first part of it is here.</p>{tag}<p>The second part of it follows.</p></article>"
+            "<footer><p>All rights reserved</p></footer></body></html>")
+    got = html.extract(spark.createDataFrame([(1, "u", page)], "page_id bigint, url string, html string"), model)
+    assert got.collect()[0]["text"] == "A heading\nThe first part of it is here.\nThe second part of it follows."
+
+
 def test_cases(spark, model):
     long = "<article>" + "".join(f"<p>part {k} of it</p>" for k in range(5000)) + "</article>"
     rows = [(1, "u", None, 1), (2, None, "", 2), (None, "u", "<nav><a href=x>menu</a></nav>", 3), (4, "u", long, 4),
@@ -78,7 +96,8 @@ def test_cases(spark, model):
 def test_broken_markup_takes_time_in_proportion():
     import time
 
-    for piece in ('<a b="c" ', '"<a ', "<a", "<a b='", "<p>", '<div class="q>', "<!-- ", "<script>"):
+    for piece in ('<a b="c" ', '"<a ', "<a", "<a b='", "<p>", '<div class="q>', "<!-- ", "<script>", "<svg>", "<object><select>",
+                  "<svg/>", "<iframe></iframe>"):
         began = time.perf_counter()
         html.blocks(piece * 40000)
         assert time.perf_counter() - began < 5
