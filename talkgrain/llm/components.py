@@ -26,15 +26,15 @@ HOT_ROWS = 100_000
 PARTS = 64
 
 
-def join_counted(rows: DataFrame, counts: DataFrame, key: str, count: str) -> DataFrame:
-    """``rows.join(counts, key)`` where the stored ``counts`` says how many rows each key has. Keys of
+def join_counted(rows: DataFrame, counts: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+    """``rows.join(counts, key, how)`` (inner or left) where the stored ``counts`` says how many rows each key has. Keys of
     more than ``HOT_ROWS`` would gather in one task each; they are few, and join by broadcast."""
     hot = counts.where(F.col(count) > HOT_ROWS)
     if not 0 < hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return rows.join(counts, key)
+        return rows.join(counts, key, how)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
     return rows.join(F.broadcast(hot), key).unionByName(
-        rest.join(counts.where(F.col(count) <= HOT_ROWS), key))
+        rest.join(counts.where(F.col(count) <= HOT_ROWS), key, how))
 
 
 def equal_rows(rows: DataFrame, keys: list[str], node: str) -> DataFrame:

@@ -3,32 +3,42 @@
 Coarse centroids make inverted lists; a vector lies in the list of its nearest centroid as the codes
 of its residual, one byte for each subspace. Every vector goes as a query to its own list and to those
 whose border it is near: a neighbour across the border between centroids c and c' must overcome
-``(d2(x, c') - d2(x, c)) / (2 d(c, c'))``; lists are probed up to ``MARGIN`` standard deviations of what a
-random step of the largest linked length makes in one direction. In a list, table look-ups give the
-asymmetric distance of a query to every code. A code stands off its vector by a known error, so a
-distance beyond radius plus error proves that the pair does not link; all other pairs are settled by
-the exact cosine in double precision. The only loss is what the probes miss (recall is tested).
-
-Centroids are fitted on a bounded sample, every vector is indexed. Equal vectors are one node with a
-count. A task holds one tile of a list while queries stream past, and gives back link counts and, for
-components, one edge per linked vector, never all pairs of a group.
-
-Cases: a null or zero vector, one with null or non-finite components, of another length than most, or
-without an id links with nothing; rows are vectors, so repeated rows with one id link with each other
-and count so; an empty table gives an empty table; only ``vec_id`` and ``embedding`` are read.
+``(d2(x, c') - d2(x, c)) / (2 d(c, c'))``, which is at most the largest linked length. How much of that
+length links do overcome depends on how the vectors spread, and is measured: up to ``QUERIES`` vectors
+meet all vectors by brute force, and lists are probed as far as ``RECALL`` of their links need, of all
+links and of the links of each query, whichever is more. Where fewer than ``LEAST_LINKED`` queries have
+a link nothing is told by them, and lists are probed over the whole length, which loses no link. In a
+list, table look-ups give the asymmetric distance of a query to every code. A code stands off its vector
+by a known error, so a distance beyond radius plus error proves that the pair does not link; all other
+pairs are settled by the exact cosine in double precision. The only loss is what the probes miss (recall
+is tested on evenly spread vectors and on some that spread in few directions).
+
+Centroids are fitted on a bounded sample, every vector is indexed, those of each length in an index of
+their own. Equal vectors are one node with a count. A task holds one tile of a list while queries stream
+past, and gives back link counts and, for components, one edge per linked vector, never all pairs of a
+group.
+
+Cases: a null or zero vector, one with null or non-finite components, or without an id links with
+nothing; vectors of different lengths do not link; a vector may be of any size, as it is divided by its
+largest component before squares are taken, and components other than floats are read as doubles; rows
+are vectors, so repeated rows with one id link with each other and count so, and different vectors under
+one id count their links together; an empty table gives an empty table; only ``vec_id`` and
+``embedding`` are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from talkgrain.llm.components import components
+from talkgrain.llm.components import components, join_counted
 from talkgrain.plans.scratch import stored
 from talkgrain.plans.ship import ship_package
 
@@ -39,7 +49,13 @@ SAMPLE = 20_000
 MOST_LISTS = 2048
 SUBSPACES = 8
 CODES = 256
-MARGIN = 2.5
+#: Vectors whose links are searched by brute force to measure how far lists must be probed, the part of
+#: those links that the probes are to find, and the queries with a link that are needed to tell.
+QUERIES = 2000
+RECALL = 0.998
+LEAST_LINKED = 100
+#: Steps in which the part of the linked length is measured.
+STEPS = 32
 TILE = 2048
 SENT = 8192
 
@@ -65,6 +81,8 @@ def k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
 class Index:
     centroids: np.ndarray
     books: list[np.ndarray]
+    #: The part of the largest linked length up to which a border is crossed.
+    reach: float = 1.0
 
     def codes(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Residual codes, and how far each code stands off its vector."""
@@ -91,7 +109,7 @@ class Index:
         """Own list of each vector, and pairs (row, list) to probe, own list first in number order:
         of two lists only the one with the higher number is probed for the other's vectors."""
         own, d = nearest(x, self.centroids)
-        step = MARGIN * np.sqrt(2 - 2 * cosine) / np.sqrt(x.shape[1])
+        step = self.reach * np.sqrt(2 - 2 * cosine)
         _, between = nearest(self.centroids, self.centroids)
         gap = d - d[np.arange(len(x)), own][:, None]
         near = gap <= 2 * step * np.sqrt(between)[own] + 1e-12
@@ -113,19 +131,76 @@ def fit(x: np.ndarray, lists: int, seed: int = 5) -> Index:
 
 def unit(lists: pa.Array, width: int) -> np.ndarray:
     x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+    x /= np.abs(x).max(1)[:, None]
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def nodes(vectors: DataFrame) -> DataFrame:
-    """(h1, h2, node, copies, embedding): the distinct valid vectors, named by their smallest id."""
+def _valid() -> Column:
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    norm = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v)
-    valid = vectors.where("vec_id is not null and embedding is not null").where(
-        F.size("embedding") > 0).where(~bad).where(norm > 0).where(norm < float("inf"))
-    return valid.groupBy(F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2")).agg(
+    known = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()
+    return known & ~bad & F.exists("embedding", lambda v: v != 0)
+
+
+def _hashes() -> Column:
+    return F.struct(F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
+
+
+def nodes(vectors: DataFrame) -> DataFrame:
+    """(h, node, copies, embedding): the distinct valid vectors, named by their smallest id."""
+    return vectors.where(_valid()).groupBy(_hashes().alias("h")).agg(
         F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
 
 
+def _needed(shared, width: int, cosine: float):
+    """(query, step, links) of each batch: how many vectors link with a query of the broadcast, and the
+    step of the linked length up to which the border between their lists must be probed for it."""
+    radius = np.sqrt(2 - 2 * cosine)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, named, queries = shared.value
+        own_q, far_q = nearest(queries, index.centroids)
+        between = np.sqrt(nearest(index.centroids, index.centroids)[1])
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                x = unit(part.column(1), width)
+                p, q = np.nonzero(x @ queries.T >= cosine)
+                other = part.column(0).to_numpy()[p] != named[q]
+                p, q = p[other], q[other]
+                own, far = nearest(x, index.centroids)
+                low = own[p] < own_q[q]  # the list with the lower number asks the other
+                here, there = np.minimum(own[p], own_q[q]), np.maximum(own[p], own_q[q])
+                gap = np.where(low, far[p, there] - far[p, here], far_q[q, there] - far_q[q, here])
+                length = 2 * radius * between[here, there]
+                share = np.where(here == there, 0, gap / np.where(length > 0, length, np.inf))
+                step = np.ceil(np.clip(share, 0, 1) * STEPS).astype(np.int64)
+                kinds, links = np.unique(q * (STEPS + 1) + step, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(kinds // (STEPS + 1)), pa.array(kinds % (STEPS + 1)), pa.array(links)],
+                    ["query", "step", "links"])
+
+    return run
+
+
+def measured_reach(found: DataFrame, index: Index, named: np.ndarray, queries: np.ndarray, cosine: float) -> float:
+    """The part of the linked length up to which lists are to be probed."""
+    shared = found.sparkSession.sparkContext.broadcast((index, named, queries))
+    counted = found.select("node", "embedding").mapInArrow(
+        _needed(shared, queries.shape[1], cosine), "query bigint, step bigint, links bigint").groupBy(
+        "query", "step").agg(F.sum("links").alias("links")).toArrow()  # at most QUERIES * (STEPS + 1) rows
+    shared.destroy()
+    query, step, links = (c.to_numpy() for c in counted.columns)
+    if len(np.unique(query)) < LEAST_LINKED:
+        return 1.0
+
+    def enough(weight: np.ndarray) -> int:
+        part = np.cumsum(np.bincount(step, weights=weight, minlength=STEPS + 1))
+        return int(np.argmax(part >= RECALL * part[-1]))
+
+    each = links / np.bincount(query, weights=links)[query]
+    return max(1, enough(links), enough(each)) / STEPS
+
+
 def _routed(shared, width: int, cosine: float):
     """(cell, own, standing, node, copies, embedding): each vector where it stands and is sent."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,28 +285,21 @@ def _linked(shared, width: int, cosine: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE,
-                    lists: int | None = None) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row."""
-    ship_package(vectors.sparkSession)
-    vectors = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"),
-                             F.col("embedding").cast("array<float>").alias("embedding"))
-    found = stored(nodes(vectors), "embed-nodes")
-    width = found.groupBy(F.size("embedding").alias("width")).count().orderBy(
-        F.desc("count"), "width").first()
-    if width is None:
-        return vectors.select("vec_id", F.lit(0).cast("bigint").alias("n_links"),
-                              F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    width, number = width
-    found = found.where(F.size("embedding") == width)
-    picked = found.orderBy(F.xxhash64("node")).limit(sample).select("embedding").toArrow().column(0).combine_chunks()
-    picked = picked.chunk(0) if isinstance(picked, pa.ChunkedArray) else picked
-    lists = lists or int(min(MOST_LISTS, number ** 0.5, max(1, len(picked) // 8)))
-    shared = vectors.sparkSession.sparkContext.broadcast(fit(unit(picked, width), lists))
+def links_of_length(found: DataFrame, width: int, number: int, cosine: float, sample: int,
+                    lists: int | None) -> DataFrame:
+    """(node, links, root) of the ``number`` nodes, all of one length; a node may occur several times."""
+    kind = found.schema["embedding"].dataType.simpleString()
+    picked = found.orderBy(F.xxhash64("node")).limit(sample).select("node", "embedding").toArrow().combine_chunks()
+    x = unit(picked.column(1).chunk(0), width)
+    index = fit(x, lists or int(min(MOST_LISTS, number ** 0.5, max(1, len(x) // 8))))
+    if len(index.centroids) > 1:
+        index = replace(index, reach=measured_reach(
+            found, index, picked.column(0).to_numpy()[:QUERIES], x[:QUERIES], cosine))
+    shared = found.sparkSession.sparkContext.broadcast(index)
 
     routed = stored(found.select("node", "copies", "embedding").mapInArrow(
         _routed(shared, width, cosine),
-        "cell bigint, own bigint, standing boolean, node bigint, copies bigint, embedding array<float>"),
+        f"cell bigint, own bigint, standing boolean, node bigint, copies bigint, embedding {kind}"),
         "embed-routed")
     cells = routed.groupBy("cell").agg(
         F.expr(f"count_if(standing) div {TILE} + 1").alias("tiles"),
@@ -247,14 +315,31 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
     place = ["cell", "tile", "task"]
     links = stored(rows.repartition(*place).sortWithinPartitions(*place, "moves").mapInArrow(
         _linked(shared, width, cosine), "node bigint, links bigint, root bigint"), "embed-links")
+    shared.destroy()
+    return links
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE,
+                    lists: int | None = None) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every row."""
+    ship_package(vectors.sparkSession)
+    kind = vectors.schema["embedding"].dataType
+    floats = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    vectors = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast(
+        "array<float>" if floats else "array<double>").alias("embedding"))
+    found = stored(nodes(vectors), "embed-nodes")
+    widths = found.groupBy(F.size("embedding").alias("width")).count().where("count > 1").orderBy("width").collect()
+    links = reduce(DataFrame.unionByName, [
+        links_of_length(found.where(F.size("embedding") == width), width, number, cosine, sample, lists)
+        for width, number in widths], found.where("false").select(
+        "node", F.lit(0).cast("bigint").alias("links"), F.col("node").alias("root")))
     joined = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
-    told = found.join(counted, "node", "left").join(joined, "node", "left").select(
-        "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"),
-        F.coalesce("component", "node").alias("component"))
-    hashed = vectors.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.xxhash64("embedding")).alias("h1"),
-                            F.xxhash64(F.lit(1), "embedding").alias("h2"))
-    return hashed.join(told, ["h1", "h2"], "left").select(
+    told = stored(found.join(counted, "node", "left").join(joined, "node", "left").select(
+        "h", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"),
+        F.coalesce("component", "node").alias("component")), "embed-told")
+    hashed = vectors.select("vec_id", F.when(_valid(), _hashes()).alias("h"))
+    return join_counted(hashed, told, "h", "copies", "left").select(
         "vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"),
         F.coalesce("component", "vec_id").alias("component_id"),
         F.coalesce(F.col("vec_id") == F.coalesce("component", "vec_id"), F.lit(False)).alias("kept"))
