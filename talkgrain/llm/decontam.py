@@ -7,11 +7,15 @@ some hit to the same or a later one, at least ``percent`` of the tokens agree. A
 count, so neither replaced words between two copied parts nor a chance hit far away hide an overlap;
 the one with the most agreeing tokens is reported. A document with a verified overlap is contaminated.
 
+An item of fewer than ``SPAN`` tokens holds no seed. It is found where all its tokens stand in a row, by
+one 64-bit hash of them, joined with those of the texts' windows of the lengths that short items have.
+
 The benchmark's seeds are broadcast when they are at most ``BROADCAST_ROWS``, else joined by a
 shuffle; only hits go further, and only texts with hits are read again.
 
-Cases: tokens are the words of the lower-cased text; a null or empty text or item has none; a text
-or item of fewer than ``span`` tokens holds no seed and is never matched; null ids and null item ids
+Cases: tokens are the words of the lower-cased text; a null or empty text or item has none and is never
+matched; a text of fewer than ``SPAN`` tokens can hold only short items; a short item is found in every
+text that says it, also one of a single word (``shortest`` leaves out items of fewer tokens); null ids and null item ids
 match nothing; rows with one id are judged together, repeated rows stay rows; an empty benchmark
 leaves every document clean; other columns are not read.
 """
@@ -28,6 +32,8 @@ from talkgrain.plans.scratch import stored
 MASKS = ((0, 1, 2, 4, 6, 7, 10), (0, 1, 3, 5, 6, 9, 10), (0, 2, 3, 4, 7, 8, 10))
 SPAN = 11
 PERCENT = 70
+#: Items of fewer tokens are not looked for.
+SHORTEST = 1
 
 
 def tokens(text: Column) -> Column:
@@ -60,6 +66,35 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sort_array(F.collect_set("j")).alias("places"))
 
 
+def short_matches(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame | None:
+    """(doc_id, item_id, matched) of the items of fewer than ``SPAN`` tokens; None if there are none."""
+    items = benchmark.where("item_id is not null").select("item_id", tokens(F.col("text")).alias("t")).where(
+        F.size("t").between(max(1, shortest), SPAN - 1)).select(
+        "item_id", F.size("t").alias("matched"), F.transform("t", lambda w: F.xxhash64(w)).alias("w"))
+
+    def window(first, length):
+        return F.xxhash64(F.lit(length), *(F.get("w", first + o) for o in range(length)))
+
+    items = stored(items.select("item_id", "matched", F.coalesce(*(
+        F.when(F.col("matched") == n, window(F.lit(0), n)) for n in range(1, SPAN))).alias("seed")).distinct(),
+        "decontam-short")
+    lengths = [r["matched"] for r in items.select("matched").distinct().orderBy("matched").collect()]  # under SPAN
+    if not lengths:
+        return None
+    small = items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    hashed = docs.where("doc_id is not null").select(
+        "doc_id", F.transform(tokens(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
+
+    def windows(length):
+        places = F.sequence(F.lit(0), F.greatest(F.size("w") - length, F.lit(0)))
+        # A window past the end of a short text holds null.
+        return F.filter(F.transform(places, lambda i: F.when(i + length <= F.size("w"), window(i, length))),
+                        lambda h: h.isNotNull())
+
+    own = hashed.select("doc_id", F.explode(F.array_distinct(F.concat(*map(windows, lengths)))).alias("seed"))
+    return own.join(F.broadcast(items) if small else items, "seed").select("doc_id", "item_id", "matched").distinct()
+
+
 def agreeing(low: Column, end: Column) -> Column:
     """How many item tokens ``b`` from ``low`` to before ``end`` agree with ``d`` on the diagonal."""
     place = F.filter(F.sequence(low, end), lambda t: t < end)
@@ -98,14 +133,18 @@ def _step(state: Column, place: Column) -> Column:
                     F.concat(state["all"], F.array(hit)).alias("all"))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, shortest: int = SHORTEST) -> DataFrame:
     """(doc_id, item_id, matched): verified overlaps, the most agreeing tokens of each pair."""
     found = stored(hits(docs, benchmark), "decontam-hits")
     texts = among(docs, "doc_id", found, "doc_id").select("doc_id", tokens(F.col("text")).alias("d"))
     items = among(benchmark, "item_id", found, "item_id").select("item_id", tokens(F.col("text")).alias("b"))
     pairs = found.join(items, "item_id").join(texts, "doc_id")
-    return pairs.select("doc_id", "item_id", most_agreeing(percent).cast("bigint").alias("matched")).where(
-        "matched is not null").groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
+    verified = pairs.select("doc_id", "item_id", most_agreeing(percent).cast("bigint").alias("matched")).where(
+        "matched is not null")
+    short = short_matches(docs, benchmark, shortest)
+    if short is not None:
+        verified = verified.unionByName(short.withColumn("matched", F.col("matched").cast("bigint")))
+    return verified.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talkgrain.llm.decontam import MASKS, PERCENT, SPAN
+from talkgrain.llm.decontam import MASKS, PERCENT, SHORTEST, SPAN
 from talkgrain.llm.oracle_digests import DIGESTS
 
 MIXING = r"""
@@ -55,24 +55,35 @@ def _picked(mask: tuple[int, ...]) -> str:
 DECONTAMINATION = r"""
 with d as (
   select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') as w
-  from documents
+  from documents where doc_id is not null
 ), b as (
   select item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') as w
-  from benchmark
+  from benchmark where item_id is not null
 ), dp as (
   select doc_id, w, unnest(range(0, len(w) - SPAN + 1)) as i from d where len(w) >= SPAN
 ), bp as (
   select item_id, w, unnest(range(0, len(w) - SPAN + 1)) as i from b where len(w) >= SPAN
 ), ds as (DSEEDS), bs as (BSEEDS), met as (
-  select doc_id, item_id, ds.i - bs.i as shift, min(bs.i) as low, max(bs.i) as high
-  from ds join bs using (mask, seed) group by all
+  select distinct doc_id, item_id, ds.i - bs.i as shift, bs.i as place
+  from ds join bs using (mask, seed)
+), stretches as (
+  select p.doc_id, p.item_id, p.shift, p.place as low, q.place + SPAN as high
+  from met p join met q using (doc_id, item_id, shift) where p.place <= q.place
 ), judged as (
-  select doc_id, item_id, high - low + SPAN as width,
-    len(list_filter(range(low, high + SPAN), lambda t: b.w[t + 1] = d.w[t + shift + 1])) as matched
-  from met join d using (doc_id) join b using (item_id)
+  select doc_id, item_id, high - low as width,
+    len(list_filter(range(low, high), lambda t: b.w[t + 1] = d.w[t + shift + 1])) as matched
+  from stretches join d using (doc_id) join b using (item_id)
+), short as (
+  select item_id, w, len(w) as n from b where len(w) between SHORTEST and SPAN - 1
+), windows as (
+  select distinct doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: w[i:i + n - 1])) as part
+  from d, (select distinct n from short) where len(w) >= n
 ), found as (
-  select doc_id, item_id, max(matched) as matched from judged
-  where 100 * matched >= PERCENT * width group by all
+  select doc_id, item_id, max(matched) as matched from (
+    select doc_id, item_id, matched from judged where 100 * matched >= PERCENT * width
+    union all
+    select doc_id, item_id, short.n from windows join short on part = w
+  ) group by all
 ), per_doc as (
   select doc_id, count(*) as n_items, max(matched) as matched, min(item_id) as first_item
   from found group by doc_id
@@ -84,6 +95,7 @@ from documents left join per_doc using (doc_id)
 for _name, _from, _key in (("DSEEDS", "dp", "doc_id"), ("BSEEDS", "bp", "item_id")):
     DECONTAMINATION = DECONTAMINATION.replace(_name, " union all ".join(
         f"select {_key}, {k} as mask, {_picked(m)} as seed, i from {_from}" for k, m in enumerate(MASKS)))
-DECONTAMINATION = DECONTAMINATION.replace("SPAN", str(SPAN)).replace("PERCENT", str(PERCENT))
+DECONTAMINATION = DECONTAMINATION.replace("SPAN", str(SPAN)).replace("PERCENT", str(PERCENT)).replace(
+    "SHORTEST", str(SHORTEST))
 
 LLM_ORACLE = {"op3_mixing": MIXING, "op9_decontamination": DECONTAMINATION, **DIGESTS}

@@ -1,6 +1,10 @@
 """Benchmark decontamination: substitutions, cases, plans."""
 
+import duckdb
+import pytest
+
 from talkgrain.llm import decontam
+from talkgrain.llm.oracle import LLM_ORACLE
 
 
 def items(spark, rows):
@@ -71,3 +75,49 @@ def test_parts_of_an_item(spark, documents, prose):
     assert {r["doc_id"]: r["matched"] for r in got} == want
     assert want[1] == 20 and want[2] == 20 and want[4] == 59 and want[5] == 0
     assert all(r["contaminated"] == (want[r["doc_id"]] > 0) for r in got)
+
+
+def by_sql(docs, bench):
+    with duckdb.connect() as db:
+        db.register("documents", docs.toPandas())
+        db.register("benchmark", bench.toPandas())
+        return db.sql(LLM_ORACLE["op9_decontamination"]).fetchall()
+
+
+def test_sql_states_the_rule(spark, documents, prose):
+    item, other = prose(59).split(" "), prose(20).split(" ")
+    short = item[30:40]
+    rows = [(1, " ".join(item[:20] + ["zzz"] * 19 + item[39:])), (2, prose(40)), (3, " ".join(short)),
+            (4, prose(5) + " " + " ".join(short[:9])), (5, " ".join(other)), (6, ""), (7, None)]
+    for k in range(40):
+        rates = [prose.rng.choice((0, 0, 0.2, 0.4, 0.9)) for _ in range(8)]
+        rows.append((10 + k, prose(k % 4) + " " + " ".join(
+            "zzz" if prose.rng.random() < rates[t // 8] else w for t, w in enumerate(item))))
+    docs = documents(rows)
+    bench = items(spark, [(7, " ".join(item)), (8, " ".join(other)), (9, " ".join(short)), (10, short[4]), (11, None)])
+    got = decontam.contamination(docs, bench).collect()
+    assert sorted(map(tuple, got)) == sorted(by_sql(docs, bench))
+    assert {r["doc_id"]: (r["matched"], r["first_item"]) for r in got if r["doc_id"] in (1, 3, 5, 6)} == {
+        1: (20, 7), 3: (10, 9), 5: (20, 8), 6: (0, -1)}
+
+
+@pytest.mark.parametrize("rows", [500_000, 1])
+def test_short_items(spark, documents, prose, monkeypatch, rows):
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", rows)
+    ten, three = prose(10).split(" "), ["What", "is\tthis", "thing?"]
+    texts = [(1, prose(300) + " " + " ".join(ten).upper() + "\n" + prose(3)), (2, " ".join(ten[:9])),
+             (3, " ".join(ten[:4] + ["zzz"] + ten[5:])), (4, "what  IS this thing?"), (5, "this thing? is what"),
+             (6, "what is this thing? " * 500), (7, None), (8, ""), (None, " ".join(ten)), (1, prose(8)),
+             (9, " ".join(ten[:5]) + " and " + " ".join(ten[5:])), (10, prose(15) + " " + " ".join(ten + ten))]
+    bench = items(spark, [(70, " ".join(ten)), (71, " ".join(three)), (72, " "), (None, " ".join(ten)), (73, "unsaid"),
+                          (74, prose(30)), (70, " ".join(ten))])
+    got = decontam.contamination(documents(texts), bench)
+    assert "Python" not in got._jdf.queryExecution().toString() and "Arrow" not in got._jdf.queryExecution().toString()
+    hit = {1: (1, 10, 70), 10: (1, 10, 70), 4: (1, 4, 71), 6: (1, 4, 71)}
+    want = [(i, *hit.get(i, (0, 0, -1)), i in hit) for i, _ in texts]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    kept = decontam.decontaminated(documents(texts), bench).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == sorted(map(str, (2, 3, 5, 7, 8, 9, None)))
+    only = decontam.short_matches(documents(texts), bench, shortest=5).collect()
+    assert {r["item_id"] for r in only} == {70}
+    assert decontam.short_matches(documents(texts), items(spark, [(1, prose(11))])) is None
