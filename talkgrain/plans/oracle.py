@@ -587,6 +587,7 @@ def _sql(body: str) -> str:
 
 _BODIES: dict[str, str] = {
     "scan_episodes": f"SELECT {_ROW} FROM catalogue",
+    "scan_catalogue_documents": f"SELECT {_ROW} FROM catalogue",
     "scan_catalogue_lines": f"SELECT {_ROW} FROM catalogue",
     "catalogue_version": f"""
         SELECT r.* REPLACE (t."type" AS "type", t.duration_seconds AS duration_seconds)

@@ -27,6 +27,7 @@ from talkgrain.operators import vectors as V
 from talkgrain.plans import tables as T
 from talkgrain.plans.scratch import scratch_dir
 from talkgrain.sources import catalogue as SC
+from talkgrain.sources import documents as SD
 from talkgrain.sources import transcripts as ST
 from talkgrain.streaming import incremental as I
 
@@ -95,10 +96,9 @@ def _flat_episodes(rows: DataFrame) -> DataFrame:
 
 # -- sources and sinks -------------------------------------------------------
 
-@query
-def scan_episodes(spark: SparkSession, d: str) -> DataFrame:
-    """Write the catalogue as documents ``{"episodes": [...]}`` of a few hundred rows, and a broken one
-    beside them, and read all of them back."""
+def _catalogue_documents(spark: SparkSession, d: str) -> str:
+    """Where the catalogue is written as documents ``{"episodes": [...]}`` of a few hundred rows, and a
+    broken one beside them."""
     path = scratch_dir(spark, "catalogue")
     rows = T.catalogue(spark, d).withColumn("published_at", SC.iso_text("published_at"))
     documents = rows.withColumn("part", F.expr("cast(video_id as bigint) div 500")).groupBy("part").agg(
@@ -106,7 +106,19 @@ def scan_episodes(spark: SparkSession, d: str) -> DataFrame:
     broken = documents.where("part = 0").select(
         F.lit(-1).cast("bigint").alias("part"), F.expr("left(value, length(value) - 2)").alias("value"))
     documents.unionByName(broken).repartition("part").write.partitionBy("part").text(path)
-    return _flat_episodes(SC.read_catalogue(spark, f"{path}/*/"))
+    return f"{path}/*/"
+
+
+@query
+def scan_episodes(spark: SparkSession, d: str) -> DataFrame:
+    """Read back all documents of the catalogue."""
+    return _flat_episodes(SC.read_catalogue(spark, _catalogue_documents(spark, d)))
+
+
+@query
+def scan_catalogue_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Read back all documents of the catalogue by the reader that splits a document."""
+    return _flat_episodes(SD.read_large_catalogue(spark, _catalogue_documents(spark, d)))
 
 
 @query

@@ -12,8 +12,8 @@ from talkgrain.plans import tables as T
 from talkgrain.plans.queries import QUERIES
 
 STREAMS_AND_FILES = {
-    "stream_chunks", "stream_upsert", "stream_type_counts", "scan_episodes", "catalogue_version",
-    "chunk_files", "readable_files", "scan_catalogue_lines", "transcript_files", "file_inventory",
+    "stream_chunks", "stream_upsert", "stream_type_counts", "scan_episodes", "scan_catalogue_documents",
+    "catalogue_version", "chunk_files", "readable_files", "scan_catalogue_lines", "transcript_files", "file_inventory",
     "flatten_video_items",
 }
 
