@@ -32,8 +32,9 @@ from talkgrain.plans.ship import ship_package
 from talkgrain.sources.catalogue import readable, typed_episodes
 
 _STRING_END = re.compile(r'(?:[^"\\]++|\\.)*+"', re.S)
-_MARK = re.compile(r'"(?:[^"\\]++|\\.)*+"|["{\[\]]', re.S)
-_COLON = re.compile(r"\s*:\s*")
+#: The next bracket outside of strings, or the quote of a string that does not end in the piece.
+_MARK = re.compile(r'(?:[^"{\[\]]++|"(?:[^"\\]++|\\.)*+")*+(["{\[\]])', re.S)
+_NAMED = re.compile(r'(?<!\\)"episodes"\s*:\s*\Z')
 _PLACE = "path string, start bigint, "
 
 
@@ -46,27 +47,24 @@ class _Reader:
 
     def read(self, piece: str) -> Iterator[tuple[int, str]]:
         """Go over a piece and the brace after it; gives (position, mark) with the state after it."""
-        at, name = 0, None
+        at = 0
         if self.inside:
             end = _STRING_END.match(piece)
             if not end:
                 return
             self.inside, at = False, end.end()
-        for mark in _MARK.finditer(piece, at):
-            kind = mark[0]
+        while mark := _MARK.match(piece, at):
+            kind, at = mark[1], mark.end()
             if kind == '"':
                 self.inside = True
                 return
-            if kind[0] == '"':
-                name = mark if kind == '"episodes"' else None
-                continue
             if kind == "]":
                 self.down()
             else:
-                if kind == "[" and name and _COLON.fullmatch(piece, name.end(), mark.start()):
+                if kind == "[" and _NAMED.search(piece[max(0, at - 65):at - 1]):
                     self.arrays.append(self.depth)
                 self.depth += 1
-            yield mark.start(), kind
+            yield at - 1, kind
         self.down()
         yield len(piece), "}"
 
