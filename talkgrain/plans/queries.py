@@ -864,8 +864,9 @@ STEPS = ("view", "click", "purchase")
 # -- streams -----------------------------------------------------------------
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
-    files = spark.readStream.schema(T.SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet")
-    return files.parquet(d)
+    """A table as a stream of its files, whether it is one file or a folder of them: a stream reads a
+    single file only by a pattern."""
+    return spark.readStream.schema(T.SCHEMAS[name]).parquet(f"{d}/{name}.parque[t]")
 
 
 @query

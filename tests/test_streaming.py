@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from conftest import SMALL
 from talkgrain.operators import catalogue as C
 from talkgrain.plans import tables as T
+from talkgrain.plans.queries import QUERIES
 from talkgrain.sources import catalogue as SC
 from talkgrain.sources import transcripts as ST
 from talkgrain.streaming import incremental as I
@@ -131,3 +132,18 @@ def test_rows_that_differ_in_metadata_alone_are_told_apart(spark):
     got = {str(I.upserted(base.drop("ordinal"), batches.repartition(k, "metadata.type")).collect()) for k in (1, 2, 5)}
     got |= {str(I.upserted(base.drop("ordinal"), batches.orderBy(F.desc("metadata.type"))).collect())}
     assert len(got) == 1
+
+
+@pytest.mark.parametrize("files", [0, 3])
+def test_type_counts_of_a_table_in_one_file_or_in_a_folder(spark, tmp_path, files):
+    table = spark.createDataFrame(
+        [(i, f"text {i}", "en", "web", 50 * i) for i in range(60)] + [(None, "no id", "en", "web", 7)], T.SCHEMAS["documents"])
+    (tmp_path / "t").mkdir()
+    if files:
+        table.repartition(files).write.parquet(str(tmp_path / "t/documents.parquet"))
+    else:
+        table.coalesce(1).write.parquet(str(tmp_path / "whole"))
+        next((tmp_path / "whole").glob("part-*")).rename(tmp_path / "t/documents.parquet")
+    want = I.type_counts_by_day(T.episodes(spark, str(tmp_path / "t"))).select(COUNTS)
+    assert rows(QUERIES["stream_type_counts"](spark, str(tmp_path / "t")).select(COUNTS)) == rows(want)
+    assert sum(r["episodes"] for r in want.collect()) == 60
