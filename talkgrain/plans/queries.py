@@ -25,10 +25,11 @@ from talkgrain.operators import turns as U
 from talkgrain.operators import usage as G
 from talkgrain.operators import vectors as V
 from talkgrain.plans import tables as T
-from talkgrain.plans.scratch import scratch_dir
+from talkgrain.plans.scratch import scratch_dir, stored
 from talkgrain.sources import catalogue as SC
 from talkgrain.sources import documents as SD
 from talkgrain.sources import transcripts as ST
+from talkgrain.sources.listing import listed_by_cores
 from talkgrain.streaming import incremental as I
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -172,8 +173,8 @@ def scan_transcripts(spark: SparkSession, d: str) -> DataFrame:
 def _landed(spark: SparkSession, d: str, name: str) -> str:
     """Transcript documents as files, each in a folder named after it."""
     path = scratch_dir(spark, name)
-    T.transcript_documents(spark, d).withColumnRenamed("document", "value").write.partitionBy(
-        "file_name").text(path)
+    turns = T.spread_turns(T.table(spark, d, "conversations"))
+    T.documents_of(turns).withColumnRenamed("document", "value").write.partitionBy("file_name").text(path)
     return path
 
 
@@ -871,16 +872,19 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 @query
 def stream_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of transcript files as they land, some hundred files at a time."""
+    """Chunks of transcript files as they land, some hundred files at a time, or a twentieth of very many:
+    each micro-batch reads the catalogue, which is written once for all of them."""
     out = scratch_dir(spark, "stream-chunks")
+    files = T.transcript_documents(spark, d).count()
     landed = ST.stream_transcripts(
-        spark, _landed(spark, d, "landing"), names="part-*", per_trigger=300)
-    known = C.classify(T.document_episodes(spark, d))
-    (
-        I.chunk_parsed(landed, known).writeStream.format("parquet")
-        .option("path", f"{out}/chunks").option("checkpointLocation", f"{out}/progress")
-        .trigger(availableNow=True).start().awaitTermination()
-    )
+        spark, _landed(spark, d, "landing"), names="part-*", per_trigger=max(300, -(-files // 20)))
+    known = stored(C.classify(T.document_episodes(spark, d)), "stream-chunks-known")
+    with listed_by_cores(spark):
+        (
+            I.chunk_parsed(landed, known).writeStream.format("parquet")
+            .option("path", f"{out}/chunks").option("checkpointLocation", f"{out}/progress")
+            .trigger(availableNow=True).start().awaitTermination()
+        )
     return _flat_chunks(spark.read.parquet(f"{out}/chunks"))
 
 

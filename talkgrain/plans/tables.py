@@ -17,6 +17,9 @@ from talkgrain.sources.catalogue import empty_metadata
 # Turns per block when positions are counted along a conversation.
 TURN_BLOCK = 1 << 13
 
+# Turns whose documents one task writes, where there are more tasks than cores.
+TURNS_PER_TASK = 2000
+
 MS_PER_CHAR = 60
 
 _LINES = "filter(split(text, '\\n'), l -> trim(l) <> '')"
@@ -289,6 +292,14 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spread_turns(conversations: DataFrame) -> DataFrame:
+    """Conversation turns spread over tasks before documents, which are many times larger, are built of them:
+    a table that lies in one small file would be one task. Turns of one document name stay in one task."""
+    cores = conversations.sparkSession.sparkContext.defaultParallelism
+    tasks = max(3 * cores, conversations.count() // TURNS_PER_TASK)
+    return conversations.repartition(tasks, F.expr("concat(conv_id, '-', turn)"))
+
+
 def transcript_documents(spark: SparkSession, sf_dir: str, *, stamped: bool = True) -> DataFrame:
     return documents_of(table(spark, sf_dir, "conversations"), stamped=stamped)
 

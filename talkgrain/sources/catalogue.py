@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkgrain import schemas
+from talkgrain.sources.listing import listed_by_cores
 
 _EMPTY_METADATA = f"cast(null as {schemas.EPISODE_METADATA_DDL})"
 
@@ -144,7 +145,8 @@ def playlist_video_ids(items: DataFrame) -> DataFrame:
 
 def read_inventory(spark: SparkSession, directory: str) -> DataFrame:
     """Names and sizes of the files under a directory; contents are not read."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
+    with listed_by_cores(spark):
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
     return listed.select(
         F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"), "path", "length"
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from talkgrain import schemas
 from talkgrain.plans import blocks
 from talkgrain.sources.catalogue import iso_text
+from talkgrain.sources.listing import listed_by_cores
 
 
 def read_transcripts(spark: SparkSession, directory: str, *, names: str = "*.json") -> DataFrame:
@@ -16,14 +17,16 @@ def read_transcripts(spark: SparkSession, directory: str, *, names: str = "*.jso
     A file that is not valid JSON keeps its text in ``_corrupt_record``; see
     :func:`accepted` and :func:`rejected`.
     """
-    return _documents(spark.read, directory, names)
+    with listed_by_cores(spark):
+        return _documents(spark.read, directory, names)
 
 
 def stream_transcripts(
     spark: SparkSession, directory: str, *, names: str = "*.json", per_trigger: int = 1000
 ) -> DataFrame:
     """The same rows as a stream of the files that land in a directory."""
-    return _documents(spark.readStream.option("maxFilesPerTrigger", per_trigger), directory, names)
+    with listed_by_cores(spark):
+        return _documents(spark.readStream.option("maxFilesPerTrigger", per_trigger), directory, names)
 
 
 def stream_documents(spark: SparkSession, directory: str, *, names: str = "*.json", per_trigger: int = 1000) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talkgrain.operators import chunks as K
+from talkgrain.plans import tables as T
 from talkgrain.sources import catalogue as SC
 from talkgrain.sources import transcripts as ST
 
@@ -210,3 +211,43 @@ def test_documents_are_named_by_their_file(spark):
         ("w.json", '{"results": {"utterances": [{"transcript": "w"}]}}')], "file_name string, document string"))
     rows = ST.utterances(ST.name_by_file(landed, episodes)).collect()
     assert sorted((r.transcript, r.video_id) for r in rows) == [("t", "v1"), ("u", "own"), ("w", None)]
+
+
+def tasks_of(spark, group, run):
+    """What ``run`` gives, and the numbers of tasks of the stages it starts."""
+    context = spark.sparkContext
+    context.setJobGroup(group, group)
+    try:
+        got = run()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(group)]
+    return got, [tracker.getStageInfo(s).numTasks for j in jobs for s in j.stageIds]
+
+
+@pytest.mark.parametrize("kind", ["inventory", "transcripts"])
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path, kind):
+    for i in range(150):
+        (tmp_path / f"file_name={i}.json").mkdir()
+        (tmp_path / f"file_name={i}.json" / "part-0.txt").write_text("{" if i % 50 == 0 else '{"results": {"duration": 5.0}}')
+    held = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    read = {"inventory": lambda: SC.read_inventory(spark, str(tmp_path)),
+            "transcripts": lambda: ST.read_transcripts(spark, str(tmp_path), names="part-*")}[kind]
+    files, tasks = tasks_of(spark, f"list-{kind}", read)
+    assert tasks and max(tasks) <= 32
+    assert files.count() == 150
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == held
+
+
+def test_a_table_in_one_file_is_landed_by_many_tasks(spark, tmp_path):
+    rows = [(i % 90, i // 90, "system" if i % 7 == 0 else "user", f"line {i}\nmore") for i in range(400)]
+    twice = [*rows, *rows[:20], (None, 1, "user", "no id"), (None, 2, "user", "no id either")]
+    table = spark.createDataFrame(twice, T.SCHEMAS["conversations"]).coalesce(1)
+    spread = T.spread_turns(table)
+    assert spread.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    homes = T.documents_of(spread).withColumn("task", F.spark_partition_id()).groupBy("file_name").agg(
+        F.count_distinct("task").alias("n"))
+    assert {r["n"] for r in homes.collect()} == {1}
+    want, got = (sorted(map(str, T.documents_of(t).collect())) for t in (table, spread))
+    assert got == want
