@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkgrain.operators.fulltext import words
+from talkgrain.plans.scratch import stored
 from talkgrain.plans.ship import ship_package
 
 #: Words of the prior: a person with fewer of their own stays near what all say.
@@ -53,26 +54,24 @@ def distinctive_terms(counts: DataFrame, k: int = 10, prior: float = PRIOR) -> D
 def term_days(episodes: DataFrame, topics: DataFrame) -> DataFrame:
     """(term, days): for each topic, in order, every day from the first to the last with an episode: its
     number, the episodes published and those whose description has the term. Days without any are 0."""
-    dated = episodes.where("published_at is not null").select(
-        F.to_date("published_at").alias("day"), F.array_distinct(words("description")).alias("terms"))
+    dated = episodes.where("published_at is not null").withColumn("day", F.to_date("published_at"))
     per_day = dated.groupBy("day").agg(F.count("*").cast("int").alias("episodes"))
-    having = dated.select("day", F.explode("terms").alias("term")).join(topics.select("term"), "term", "left_semi").groupBy(
+    said = dated.select("day", F.explode(F.array(F.array_distinct(words("description")))).alias("terms"))
+    having = said.select("day", F.explode("terms").alias("term")).join(topics.select("term"), "term", "left_semi").groupBy(
         "term", "day").agg(F.count("*").cast("int").alias("n"))
+    # At most one row per topic and day, found by reading all descriptions twice: kept for both its uses.
+    having = stored(having, "term-days")
     ends = per_day.agg(F.min("day").alias("first"), F.max("day").alias("last")).first()
     if ends["first"] is None:
         return having.select("term", F.array().cast("array<struct<day:int,episodes:int,n:int>>").alias("days")).limit(0)
     day = F.datediff("day", F.lit(ends["first"]))
     length = (ends["last"] - ends["first"]).days
-    # One value per calendar day: the days are few, the episodes of a day are counted before they meet.
-    shown = per_day.select(day.alias("day"), "episodes").collect()
-    episodes_of = [0] * (length + 1)
-    for r in shown:
-        episodes_of[r["day"]] = r["episodes"]
-    counts = having.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct(day, "n"))).alias("n"))
-    every = F.transform(F.sequence(F.lit(0), F.lit(length)), lambda t: F.struct(
-        t.alias("day"), F.get(F.array(*map(F.lit, episodes_of)), t).alias("episodes"),
-        F.coalesce(F.element_at("n", t), F.lit(0)).alias("n")))
-    return counts.select("term", every.alias("days"))
+    # Every term meets every day as rows, so that the work grows with their number and not with its square.
+    every = having.select("term").distinct().select("term", F.explode(F.sequence(F.lit(0), F.lit(length))).alias("day"))
+    rows = every.join(per_day.select(day.alias("day"), "episodes"), "day", "left").join(
+        having.select("term", day.alias("day"), "n"), ["term", "day"], "left").select("term", F.struct(
+            "day", F.coalesce("episodes", F.lit(0)).alias("episodes"), F.coalesce("n", F.lit(0)).alias("n")).alias("at"))
+    return rows.groupBy("term").agg(F.sort_array(F.collect_list("at")).alias("days"))
 
 
 def burst_states(n: np.ndarray, episodes: np.ndarray, raised: float = RAISED, entry: float = ENTRY) -> tuple[np.ndarray, np.ndarray]:
@@ -106,8 +105,8 @@ def bursts(days: DataFrame, raised: float = RAISED, entry: float = ENTRY) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for term, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n, cases = (np.array([d[c] for d in line], np.int64) for c in ("n", "episodes"))
+            for term, line in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                n, cases = (line.values.field(c).to_numpy().astype(np.int64) for c in ("n", "episodes"))
                 if not n.sum():
                     continue
                 states, gain = burst_states(n, cases, raised, entry)
@@ -132,11 +131,12 @@ def collocations(documents: DataFrame, stop_words: DataFrame, k: int = 50, least
     """(first, second, n, score): the ``k`` pairs of neighbouring words that most go together, by Dunning's log
     likelihood ratio, among those that occur ``least`` times and more often than chance. Pairs with a
     stop word (term) are not subjects, but their words count."""
-    own = documents.select(words("text").alias("w")).where("size(w) > 1")
+    # Listed before they are filtered or taken apart: what stands above a list's expression would repeat it.
+    own = documents.select(F.explode(F.array(words("text"))).alias("w")).where("size(w) > 1")
     pairs = own.select(F.explode(F.zip_with(
         F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1),
         lambda a, b: F.struct(a.alias("first"), b.alias("second")))).alias("p"))
-    counts = pairs.groupBy("p.first", "p.second").agg(F.count("*").alias("n"))
+    counts = stored(pairs.groupBy("p.first", "p.second").agg(F.count("*").alias("n")), "pair-counts")
     left = counts.groupBy("first").agg(F.sum("n").alias("n_first"))
     right = counts.groupBy("second").agg(F.sum("n").alias("n_second"))
     whole = counts.agg(F.sum("n")).first()[0] or 0

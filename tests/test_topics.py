@@ -76,3 +76,30 @@ def test_corrections_are_one_edit_away(spark):
         got.setdefault(r["typed"], []).append((r["term"], r["edits"]))
     assert got == {"house": [("house", 0), ("hose", 1), ("mouse", 1), ("houses", 1), ("horse", 1)], "b": [("a", 1), ("é", 1)],
                    "": [("a", 1), ("é", 1)]}
+
+
+def test_days_of_terms_take_the_same_plan_however_many(spark):
+    def of(days):
+        rows = [(f"v{i}", f"2024-01-01 00:00:00", i, "rare word" if i % 9 == 0 else "word") for i in range(0, days, 3)]
+        episodes = spark.createDataFrame(rows, "video_id string, at string, i int, description string").withColumn(
+            "published_at", F.expr("cast(at as timestamp) + make_interval(0, 0, 0, i)"))
+        return topics.term_days(episodes, spark.createDataFrame([("word",), ("rare",), ("absent",)], "term string"))
+
+    long, short = of(1500), of(30)
+    # A literal per day in the plan, and a search through all days for each of them, are quadratic work.
+    size = len(long._jdf.queryExecution().optimizedPlan().toString())
+    assert size < 1.5 * len(short._jdf.queryExecution().optimizedPlan().toString())
+    got = {r["term"]: [tuple(x) for x in r["days"]] for r in long.collect()}
+    assert set(got) == {"word", "rare"}
+    assert got["rare"] == [(t, int(t % 3 == 0), int(t % 9 == 0)) for t in range(1498)]
+
+
+def test_words_of_a_text_are_found_once_for_pairs(spark, monkeypatch):
+    plans = []
+    kept = topics.stored
+    monkeypatch.setattr(topics, "stored", lambda df, name: (
+        plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(df, name))[1])
+    documents = spark.createDataFrame([("new york is new york",), ("new york new york new york",), (None,), ("one",)], "text string")
+    got = topics.collocations(documents, spark.createDataFrame([("is",)], "term string"), least=2).collect()
+    assert [(r["first"], r["second"], r["n"]) for r in got] == [("new", "york", 5), ("york", "new", 2)][:len(got)] and got
+    assert len(plans) == 1 and plans[0].split("== Initial Plan ==")[0].count("regexp_extract_all") == 1
