@@ -120,6 +120,10 @@ def type_counts_by_day(episodes: DataFrame, late: str = "1 day") -> DataFrame:
     )
 
 
+def _nulls_first(row: tuple) -> list[tuple]:
+    return [(False, 0) if pd.isna(v) else (True, v) for v in row]
+
+
 class _LastType(StatefulProcessor):
     """Holds each video's type and day; a changed row takes the old ones back and adds the new."""
 
@@ -130,8 +134,9 @@ class _LastType(StatefulProcessor):
         before = self.known.get() if self.known.exists() else None
         last = before
         for part in rows:
-            at = part.sort_values(["ordinal", "type", "day"], na_position="first").iloc[-1]
-            found = (int(at["ordinal"]), at["type"], at["day"])
+            # Plain tuples: a frame is sorted once per video, most of them of one row.
+            at = max(zip(*(part[c].tolist() for c in ("ordinal", "type", "day")), strict=True), key=_nulls_first)
+            found = (int(at[0]), *at[1:])
             if last is None or found[0] >= last[0]:
                 last = found
         if last is not None and last != before:
