@@ -870,6 +870,11 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.readStream.schema(T.SCHEMAS[name]).parquet(f"{d}/{name}.parque[t]")
 
 
+def _stored_known(spark: SparkSession, d: str) -> DataFrame:
+    """The catalogue of the transcript documents, written once for all micro-batches."""
+    return stored(C.classify(T.document_episodes(spark, d)), "stream-known")
+
+
 @query
 def stream_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of transcript files as they land, some hundred files at a time, or a twentieth of very many:
@@ -878,7 +883,7 @@ def stream_chunks(spark: SparkSession, d: str) -> DataFrame:
     files = T.transcript_documents(spark, d).count()
     landed = ST.stream_transcripts(
         spark, _landed(spark, d, "landing"), names="part-*", per_trigger=max(300, -(-files // 20)))
-    known = stored(C.classify(T.document_episodes(spark, d)), "stream-chunks-known")
+    known = _stored_known(spark, d)
     with listed_by_cores(spark):
         (
             I.chunk_parsed(landed, known).writeStream.format("parquet")
@@ -923,10 +928,12 @@ def stream_type_counts(spark: SparkSession, d: str) -> DataFrame:
 def _landed_twice(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
     """Transcript files as they land, a third of them a second time, and a folder for what comes of them."""
     path = scratch_dir(spark, "landing-twice")
-    documents = T.transcript_documents(spark, d)
-    again = documents.where("xxhash64(file_name) % 3 = 0")
-    documents.withColumn("turn", F.lit(1)).unionByName(again.withColumn("turn", F.lit(2))).withColumn(
-        "landed_at", F.lit("2024-01-01 00:00:00").cast("timestamp")).repartition(12, "turn", "file_name").write.parquet(path)
+    # Turns are spread before documents, many times larger, are built of them.
+    turns = T.table(spark, d, "conversations")
+    first, again = (T.documents_of(T.by_document(turns, files)) for files in (9, 3))
+    first.withColumn("turn", F.lit(1)).unionByName(
+        again.where("xxhash64(file_name) % 3 = 0").withColumn("turn", F.lit(2))).withColumn(
+        "landed_at", F.lit("2024-01-01 00:00:00").cast("timestamp")).write.parquet(path)
     files = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 5)
     return scratch_dir(spark, "landed"), I.once_each(files.parquet(path).drop("turn"))
 
@@ -935,7 +942,7 @@ def _landed_twice(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
 def stream_landing(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of files of which some land twice."""
     out, landed = _landed_twice(spark, d)
-    I.land(landed, C.classify(T.document_episodes(spark, d)), out).option("checkpointLocation", f"{out}/progress").trigger(
+    I.land(landed, _stored_known(spark, d), out).option("checkpointLocation", f"{out}/progress").trigger(
         availableNow=True).start().awaitTermination()
     return _flat_chunks(spark.read.parquet(f"{out}/chunks"))
 
@@ -944,24 +951,31 @@ def stream_landing(spark: SparkSession, d: str) -> DataFrame:
 def stream_rejects(spark: SparkSession, d: str) -> DataFrame:
     """The files among them that give no chunks."""
     out, landed = _landed_twice(spark, d)
-    I.land(landed, C.classify(T.document_episodes(spark, d)), out).option("checkpointLocation", f"{out}/progress").trigger(
+    I.land(landed, _stored_known(spark, d), out).option("checkpointLocation", f"{out}/progress").trigger(
         availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/rejects").select("file_name", "reason")
 
 
+#: Catalogue rows in a file of a stream of many.
+ROWS_PER_FILE = 20_000
+
+
 @query
 def stream_type_changes(spark: SparkSession, d: str) -> DataFrame:
     """Counts per type and day that follow a stream of upserts, updates with other lengths among them."""
     out = scratch_dir(spark, "type-changes")
-    rows = T.catalogue(spark, d).select("video_id", "published_at", "duration", "metadata", F.lit(0).cast("bigint").alias("ordinal"))
+    rows = stored(T.catalogue(spark, d).select(
+        "video_id", "published_at", "duration", "metadata", F.lit(0).cast("bigint").alias("ordinal")), "type-changes-rows")
     changed = rows.where("cast(video_id as bigint) % 4 = 1").select(
         "video_id", F.expr("published_at + interval 1 day").alias("published_at"), F.lit("PT2M").alias("duration"),
         "metadata", F.lit(1).cast("bigint").alias("ordinal"))
     back = rows.where("cast(video_id as bigint) % 8 = 1").withColumn("ordinal", F.lit(2).cast("bigint"))
+    # Each part is one micro-batch: one file, or as many as a large catalogue takes.
+    n = max(1, rows.count() // ROWS_PER_FILE)
     for k, part in enumerate((rows, changed, back)):
-        part.coalesce(1).write.parquet(f"{out}/landed/part={k}")
+        part.repartition(n).write.parquet(f"{out}/landed/part={k}")
     schema = spark.read.parquet(f"{out}/landed/part=0").schema
-    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/landed/part=*")
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", n).parquet(f"{out}/landed/part=*")
     store = "spark.sql.streaming.stateStore.providerClass"
     held = spark.conf.get(store)
     spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

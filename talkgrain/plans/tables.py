@@ -297,6 +297,10 @@ def spread_turns(conversations: DataFrame) -> DataFrame:
     a table that lies in one small file would be one task. Turns of one document name stay in one task."""
     cores = conversations.sparkSession.sparkContext.defaultParallelism
     tasks = max(3 * cores, conversations.count() // TURNS_PER_TASK)
+    return by_document(conversations, tasks)
+
+
+def by_document(conversations: DataFrame, tasks: int) -> DataFrame:
     return conversations.repartition(tasks, F.expr("concat(conv_id, '-', turn)"))
 
 

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL
 from talkgrain.operators import catalogue as C
+from talkgrain.plans import queries as PQ
 from talkgrain.plans import tables as T
 from talkgrain.plans.queries import QUERIES
 from talkgrain.sources import catalogue as SC
@@ -147,3 +148,32 @@ def test_type_counts_of_a_table_in_one_file_or_in_a_folder(spark, tmp_path, file
     want = I.type_counts_by_day(T.episodes(spark, str(tmp_path / "t"))).select(COUNTS)
     assert rows(QUERIES["stream_type_counts"](spark, str(tmp_path / "t")).select(COUNTS)) == rows(want)
     assert sum(r["episodes"] for r in want.collect()) == 60
+
+
+def test_type_changes_of_a_catalogue_in_many_files_are_those_of_one(spark, monkeypatch):
+    want = rows(QUERIES["stream_type_changes"](spark, SMALL).select(COUNTS))
+    out = []
+    kept = PQ.scratch_dir
+    monkeypatch.setattr(PQ, "scratch_dir", lambda spark, name: out.append(kept(spark, name)) or out[-1])
+    monkeypatch.setattr(PQ, "ROWS_PER_FILE", 60)
+    assert rows(QUERIES["stream_type_changes"](spark, SMALL).select(COUNTS)) == want
+    files = [spark.read.parquet(f"{out[0]}/landed/part={k}").inputFiles() for k in range(3)]
+    assert [len(x) for x in files] == [3, 3, 3]
+
+
+def test_the_last_row_of_a_video_is_found_among_nulls():
+    found = [(1, None, "b"), (0, "z", "z"), (1, "a", None), (1, "a", "c"), (1, float("nan"), "z")]
+    assert max(found, key=I._nulls_first) == (1, "a", "c")
+
+
+def test_turns_are_spread_before_documents_are_built_of_them(spark, monkeypatch):
+    out = []
+    kept = PQ.scratch_dir
+    monkeypatch.setattr(PQ, "scratch_dir", lambda spark, name: out.append(kept(spark, name)) or out[-1])
+    monkeypatch.setattr(PQ.T, "transcript_documents", None)  # whole documents would move once more
+    PQ._landed_twice(spark, SMALL)
+    landed = spark.read.parquet(out[0])
+    assert 1 < len(landed.inputFiles()) <= 12
+    documents = T.documents_of(T.table(spark, SMALL, "conversations"))
+    want = documents.unionByName(documents.where("xxhash64(file_name) % 3 = 0"))
+    assert rows(landed.select(want.columns)) == rows(want)
