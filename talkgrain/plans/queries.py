@@ -29,7 +29,8 @@ from talkgrain.plans.scratch import scratch_dir, stored
 from talkgrain.sources import catalogue as SC
 from talkgrain.sources import documents as SD
 from talkgrain.sources import transcripts as ST
-from talkgrain.sources.listing import listed_by_cores
+from talkgrain.sources.folders import write_folders
+from talkgrain.sources.listing import listed_by_cores, read_by_cores
 from talkgrain.streaming import incremental as I
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,10 +172,11 @@ def scan_transcripts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _landed(spark: SparkSession, d: str, name: str) -> str:
-    """Transcript documents as files, each in a folder named after it."""
+    """Transcript documents as files, each in a folder named after it; these lie in 256 others."""
     path = scratch_dir(spark, name)
     turns = T.spread_turns(T.table(spark, d, "conversations"))
-    T.documents_of(turns).withColumnRenamed("document", "value").write.partitionBy("file_name").text(path)
+    rows = T.documents_of(turns).withColumn("shelf", F.expr("pmod(hash(file_name), 256)"))
+    write_folders(rows, path, ("shelf", "file_name"), "document")
     return path
 
 
@@ -182,14 +184,16 @@ def _landed(spark: SparkSession, d: str, name: str) -> str:
 def transcript_files(spark: SparkSession, d: str) -> DataFrame:
     """The same facts from documents that lie as files, broken ones among them."""
     folder = F.regexp_extract(F.col("_metadata.file_path"), "file_name=([^/]*)/", 1)
-    files = ST.read_transcripts(spark, _landed(spark, d, "transcripts"), names="part-*")
-    return files.select(
+    files = ST.read_transcripts(spark, _landed(spark, d, "transcripts"), names="part-*", deep=True)
+    facts = files.select(
         folder.alias("file_name"),
         F.col("_corrupt_record").isNotNull().alias("rejected"),
         F.col("results.duration").alias("duration"),
         F.col("episode_metadata.video_id").alias("video_id"),
         F.expr("cast(size(results.utterances) as bigint)").alias("utterances"),
     )
+    with read_by_cores(spark):
+        return stored(facts, "transcript-facts")
 
 
 @query

@@ -11,22 +11,25 @@ from talkgrain.sources.catalogue import iso_text
 from talkgrain.sources.listing import listed_by_cores
 
 
-def read_transcripts(spark: SparkSession, directory: str, *, names: str = "*.json") -> DataFrame:
+def read_transcripts(
+    spark: SparkSession, directory: str, *, names: str = "*.json", deep: bool = False
+) -> DataFrame:
     """One row per transcript file, with its ``file_name``.
 
     A file that is not valid JSON keeps its text in ``_corrupt_record``; see
-    :func:`accepted` and :func:`rejected`.
+    :func:`accepted` and :func:`rejected`. ``deep`` reads the files of all folders below, whatever their
+    names; else the driver parses each ``name=value`` folder for a column, some 0.2 ms of one core's time.
     """
     with listed_by_cores(spark):
-        return _documents(spark.read, directory, names)
+        return _documents(spark.read, directory, names, deep)
 
 
 def stream_transcripts(
-    spark: SparkSession, directory: str, *, names: str = "*.json", per_trigger: int = 1000
+    spark: SparkSession, directory: str, *, names: str = "*.json", per_trigger: int = 1000, deep: bool = False
 ) -> DataFrame:
     """The same rows as a stream of the files that land in a directory."""
     with listed_by_cores(spark):
-        return _documents(spark.readStream.option("maxFilesPerTrigger", per_trigger), directory, names)
+        return _documents(spark.readStream.option("maxFilesPerTrigger", per_trigger), directory, names, deep)
 
 
 def stream_documents(spark: SparkSession, directory: str, *, names: str = "*.json", per_trigger: int = 1000) -> DataFrame:
@@ -38,7 +41,9 @@ def stream_documents(spark: SparkSession, directory: str, *, names: str = "*.jso
                         F.col("_metadata.file_modification_time").alias("landed_at"))
 
 
-def _documents(reader, directory: str, names: str) -> DataFrame:
+def _documents(reader, directory: str, names: str, deep: bool) -> DataFrame:
+    if deep:
+        reader = reader.option("recursiveFileLookup", True)
     return (
         reader.schema(schemas.TRANSCRIPT_DOCUMENT_DDL).option("multiLine", True)
         .option("pathGlobFilter", names).option("mode", "PERMISSIVE")
