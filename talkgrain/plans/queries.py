@@ -30,7 +30,7 @@ from talkgrain.sources import catalogue as SC
 from talkgrain.sources import documents as SD
 from talkgrain.sources import transcripts as ST
 from talkgrain.sources.folders import write_folders
-from talkgrain.sources.listing import listed_by_cores, read_by_cores
+from talkgrain.sources.listing import read_by_cores
 from talkgrain.streaming import incremental as I
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -886,9 +886,9 @@ def stream_chunks(spark: SparkSession, d: str) -> DataFrame:
     out = scratch_dir(spark, "stream-chunks")
     files = T.transcript_documents(spark, d).count()
     landed = ST.stream_transcripts(
-        spark, _landed(spark, d, "landing"), names="part-*", per_trigger=max(300, -(-files // 20)))
+        spark, _landed(spark, d, "landing"), names="part-*", per_trigger=max(300, -(-files // 20)), deep=True)
     known = _stored_known(spark, d)
-    with listed_by_cores(spark):
+    with read_by_cores(spark):
         (
             I.chunk_parsed(landed, known).writeStream.format("parquet")
             .option("path", f"{out}/chunks").option("checkpointLocation", f"{out}/progress")
