@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkgrain import schemas
+from talkgrain.sources.folders import listed
 from talkgrain.sources.listing import listed_by_cores
 
 _EMPTY_METADATA = f"cast(null as {schemas.EPISODE_METADATA_DDL})"
@@ -144,9 +145,12 @@ def playlist_video_ids(items: DataFrame) -> DataFrame:
 
 
 def read_inventory(spark: SparkSession, directory: str) -> DataFrame:
-    """Names and sizes of the files under a directory; contents are not read."""
-    with listed_by_cores(spark):
-        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
-    return listed.select(
+    """Names and sizes of the files under a directory; contents are not read. A local directory is listed by
+    tasks, so that the driver does not hold the status of every file."""
+    files = listed(spark, directory)
+    if files is None:
+        with listed_by_cores(spark):
+            files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
+    return files.select(
         F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"), "path", "length"
     )

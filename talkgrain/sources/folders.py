@@ -16,6 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talkgrain.plans.scratch import stored
+from talkgrain.sources.listing import most_tasks
+
 
 def local_path(spark: SparkSession, directory: str) -> str | None:
     """The plain path of a directory whose scheme is ``file``, stated or by default; else None."""
@@ -109,3 +112,77 @@ def _writer(directory: str, names: tuple[str, ...]):
         yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], ["files"])
 
     return write
+
+
+def listed(spark: SparkSession, directory: str) -> DataFrame | None:
+    """(path, length) of the files below a local directory, hidden and empty ones left out as Spark does; None
+    where it is no local directory. Tasks list the folders; the list is stored when this is called."""
+    place = local_path(spark, directory)
+    if place is None or not os.path.isdir(place):
+        return None
+    tasks = most_tasks(spark)
+    # Down to as many folders as there are tasks, or to the last ones; files above them are rows of their own.
+    level, above = [place], []
+    while level and len(level) < tasks:
+        below = []
+        for found in level:
+            with os.scandir(found) as entries:
+                for e in entries:
+                    (below if e.is_dir() else above).append(e.path)
+        level = below
+    starts = spark.sparkContext.parallelize(
+        [(p, place) for p in [*level, *above]], max(1, min(tasks, len(level) + len(above)))).toDF(
+        "start string, top string")
+    return stored(starts.mapInArrow(_walk(), "path string, length bigint"), "inventory-list")
+
+
+def _walk():
+    """Task function. It refers to nothing of this package, so executors need no copy."""
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
+        import pyarrow as pa
+
+        def hidden(name: str) -> bool:
+            if name.startswith(("_common_metadata", "_metadata")):
+                return False
+            return name.startswith("_") and "=" not in name or name.startswith(".") or name.endswith("._COPYING_")
+
+        def counts(name: str, size: int) -> bool:
+            return size > 0 and not (name.startswith("_") and "=" not in name)
+
+        def below(path: str):
+            folders = [path]
+            while folders:
+                with os.scandir(folders.pop()) as entries:
+                    for e in entries:
+                        if hidden(e.name):
+                            continue
+                        if e.is_dir():
+                            folders.append(e.path)
+                        elif counts(e.name, size := e.stat().st_size):
+                            yield e.path, size
+
+        def rows(found: list) -> pa.RecordBatch:
+            paths, sizes = zip(*found, strict=True) if found else ((), ())
+            return pa.RecordBatch.from_arrays(
+                [pa.array([f"file:{p}" for p in paths], pa.string()), pa.array(sizes, pa.int64())],
+                ["path", "length"])
+
+        for batch in batches:
+            for start, top in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if any(hidden(n) for n in os.path.relpath(start, top).split("/") if n != "."):
+                    continue
+                if not os.path.isdir(start):
+                    size = os.stat(start).st_size
+                    yield rows([(start, size)] if counts(os.path.basename(start), size) else [])
+                    continue
+                found = []
+                for row in below(start):
+                    found.append(row)
+                    if len(found) == 10_000:
+                        yield rows(found)
+                        found = []
+                yield rows(found)
+
+    return walk

@@ -69,6 +69,24 @@ def test_a_long_folder_is_written_in_pieces(spark, tmp_path):
     assert text == (b"z" * (1 << 20) + b"\n") * 40
 
 
+def test_inventory_is_listed_by_tasks(spark, tmp_path):
+    """The list is a table, of which the driver holds nothing; it has what Spark lists."""
+    for i in range(60):
+        (tmp_path / f"shelf={i % 40}" / f"file_name={i}.json").mkdir(parents=True)
+        (tmp_path / f"shelf={i % 40}" / f"file_name={i}.json" / "part-0.txt").write_text("x" * i)
+    (tmp_path / "_SUCCESS").write_text("")
+    (tmp_path / "top.txt").write_text("top")
+    (tmp_path / ".gone" / "below").mkdir(parents=True)
+    (tmp_path / ".gone" / "below" / "f.txt").write_text("no")
+    files = SC.read_inventory(spark, str(tmp_path))
+    want = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path)).select("path", "length")
+    assert sorted(map(tuple, files.select("path", "length").collect())) == sorted(map(tuple, want.collect()))
+    plan = files._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" in plan and "binaryFile" not in plan
+    with pytest.raises(Exception, match="(?i)does not exist"):
+        SC.read_inventory(spark, str(tmp_path / "nothing"))
+
+
 def test_small_files_are_read_many_to_a_task(spark, tmp_path):
     rows = [(i, 0, "user", f"line {i}") for i in range(700)] + [(7, 0, "user", "line 7"), (None, 1, "user", "no id")]
     spark.createDataFrame(rows, T.SCHEMAS["conversations"]).write.parquet(str(tmp_path / "conversations.parquet"))
