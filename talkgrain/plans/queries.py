@@ -293,7 +293,8 @@ def readable_files(spark: SparkSession, d: str) -> DataFrame:
     """Write readable transcripts one directory per video, read the lines back."""
     path = scratch_dir(spark, "readable")
     ST.write_readable(_readable(spark, d), path)
-    return ST.read_readable(spark, path).select("video_id", "line")
+    with read_by_cores(spark):
+        return stored(ST.read_readable(spark, path).select("video_id", "line"), "readable-lines")
 
 
 # -- catalogue ---------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from talkgrain import schemas
 from talkgrain.plans import blocks
 from talkgrain.sources.catalogue import iso_text
+from talkgrain.sources.folders import write_folders
 from talkgrain.sources.listing import listed_by_cores
 
 
@@ -200,15 +201,11 @@ def write_readable(lines: DataFrame, directory: str) -> None:
     very long video, so no task writes a whole recording of unbounded length.
     """
     part = F.greatest(blocks.block_of("line_no"), F.lit(0).cast("bigint"))
-    (
-        lines.withColumn("part", part)
-        .repartition("video_id", "part")
-        .sortWithinPartitions("video_id", "part", "line_no")
-        .select("video_id", "part", "line")
-        .write.mode("errorifexists").partitionBy("video_id", "part").text(directory)
-    )
+    rows = lines.withColumn("part", part).repartition("video_id", "part")
+    write_folders(rows, directory, ("video_id", "part"), "line", ("line_no",))
 
 
 def read_readable(spark: SparkSession, directory: str) -> DataFrame:
     """Rendered lines; video id and part come from the directory names."""
-    return spark.read.schema("line string, video_id string, part bigint").text(directory)
+    with listed_by_cores(spark):
+        return spark.read.schema("line string, video_id string, part bigint").text(directory)

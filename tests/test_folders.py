@@ -69,6 +69,16 @@ def test_a_long_folder_is_written_in_pieces(spark, tmp_path):
     assert text == (b"z" * (1 << 20) + b"\n") * 40
 
 
+def test_many_folders_take_little_time(spark, tmp_path):
+    """A folder took Spark's writer some 20 ms of one task."""
+    lines = spark.range(4000).select(
+        F.col("id").cast("string").alias("video_id"), F.lit(0).cast("bigint").alias("line_no"), F.lit("x").alias("line"))
+    began = time.perf_counter()
+    ST.write_readable(lines, str(tmp_path / "out"))
+    assert time.perf_counter() - began < 20
+    assert ST.read_readable(spark, str(tmp_path / "out")).count() == 4000
+
+
 def test_inventory_is_listed_by_tasks(spark, tmp_path):
     """The list is a table, of which the driver holds nothing; it has what Spark lists."""
     for i in range(60):
