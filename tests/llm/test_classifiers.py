@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talkgrain.llm import quality, toxicity
-from talkgrain.llm.labelled import fold
+from talkgrain.llm.labelled import fold, parted_texts
 
 LARGE = "/root/testdata/sf0.1"
 
@@ -66,6 +66,71 @@ def test_toxicity_learns():
     assert score[[0, 2]].min() > 0.5 > score[[1, 3]].max()
 
 
+def _told(spark, texts):
+    """Documents and labels of (text, toxic)."""
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id bigint, text string").repartition(4)
+    return docs, spark.createDataFrame([(k, 1, y) for k, (_, y) in enumerate(texts)], "doc_id bigint, quality int, toxic int")
+
+
+def test_toxicity_learns_from_all_parts(spark):
+    """Each foul word is in few documents, which are spread over the parts; one in ten documents comes twice."""
+    rng = np.random.default_rng(1)
+    plain = ["w" + "".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(200)]
+    foul = ["x" + "".join(chr(97 + c) for c in rng.integers(0, 26, 8)) for _ in range(40)]
+    texts = [(" ".join([*rng.choice(plain, 12), *([foul[k % 40]] if k % 2 else [])]), k % 2) for k in range(1600)]
+    docs, labels = _told(spark, texts)
+    docs = docs.unionByName(docs.where("doc_id % 10 = 0"))
+    rows, totals = parted_texts(docs, labels, "toxic", 300, 32)
+    ids = {r["doc_id"] for r in rows.collect()}
+    assert ids == {k for k in range(1600) if zlib.crc32(str(k).encode()) % 5} and sum(totals.values()) == len(ids)
+    homes = rows.select("part", F.spark_partition_id().alias("home")).distinct().collect()
+    assert len(homes) == len({r["part"] for r in homes}) == 5
+    model = toxicity.fit(docs, labels, 300)
+    again = toxicity.fit(docs.repartition(7), labels, 300)
+    assert model.embedding.tobytes() == again.embedding.tobytes() and list(model.thresholds) == list(again.thresholds)
+    pairs = held_out(toxicity.score(docs, model), labels, "toxic")
+    hit = [r["predicted"] == y for r, y in pairs]
+    assert len(hit) > 250 and np.mean(hit) > 0.95
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    """All toxic texts are longer than 20,000 bytes, which were left out."""
+    texts = [("some words of good cheer " * 30, 0) for _ in range(60)] + [
+        ("some words of good cheer " * 900 + "vile insult " * 3, 1) for _ in range(40)]
+    docs, labels = _told(spark, texts)
+    pairs = held_out(toxicity.score(docs, toxicity.fit(docs, labels)), labels, "toxic")
+    assert {y for _, y in pairs} == {0, 1} and all(r["predicted"] == y for r, y in pairs)
+
+
+def test_toxicity_batches_have_every_row():
+    y = np.array([1] * 7 + [0] * 300)
+    steps = list(toxicity._balanced(np.random.default_rng(0), y, 1))
+    assert set(np.concatenate(steps)) == set(range(307))
+    assert all(y[rows].sum() * 2 == len(rows) for rows in steps)
+    assert set(np.concatenate(list(toxicity._balanced(np.random.default_rng(0), y[:7], 1)))) == set(range(7))
+    assert not list(toxicity._balanced(np.random.default_rng(0), y[:0], 1))
+
+
+def test_toxicity_steps_on_long_texts_in_pieces(monkeypatch):
+    texts = [f"word{k} other words{k % 3} " * (3 + k % 5) for k in range(24)]
+    got = []
+    for most in (1 << 20, 100):
+        monkeypatch.setattr(toxicity, "STEP_BYTES", most)
+        adam = toxicity._Adam(toxicity._unlearned(3), np.random.default_rng(5))
+        for _ in range(3):
+            adam.learn(texts, np.arange(24, dtype=np.float32) % 2, 0.01)
+        got.append(toxicity._packed(adam.model))
+    assert got[0] == pytest.approx(got[1], abs=1e-3)
+
+
+def test_toxicity_of_one_class_in_many_parts(spark):
+    docs, labels = _told(spark, [(f"text {k}", 1) for k in range(60)])
+    got = toxicity.score(docs, toxicity.fit(docs, labels, 10)).collect()
+    assert {r["predicted"] for r in got} == {1}
+    docs, labels = _told(spark, [(f"text {k} nasty" if k % 30 == 1 else f"text {k}", int(k % 30 == 1)) for k in range(200)])
+    assert toxicity.score(docs, toxicity.fit(docs, labels, 5)).count() == 200
+
+
 def test_toxicity_ignores_neighbours(toxic):
     texts = ["you stupid idiot", "", "the and of", "clown", "", "idiot"]
     together = toxic.scores(toxicity._texts(texts))
